@@ -124,8 +124,8 @@ def ordered(df: DataFrame, value: str, descending: bool = False, ranges: int = 6
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = counted.agg(F.percentile_approx(value, probs, 10_000).alias("_cuts")).scalar()
-    place = F.size(F.filter(cuts, lambda c: c < F.col(value)))
-    cut = counted.withColumn("_range", -place if descending else place)
+    place = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
+    cut = counted.withColumn("_cuts", cuts).withColumn("_range", -place if descending else place).drop("_cuts")
     by = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy("_range").orderBy(by)
     ahead = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
@@ -183,7 +183,8 @@ def _tie_places(df: DataFrame, value: str, tie: str, ranges: int = 64) -> DataFr
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_tv"), F.col(tie).alias("_tt"))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = rows.agg(F.percentile_approx("_tt", probs, 10_000)).scalar()
-    cut = rows.withColumn("_r", F.size(F.filter(cuts, lambda c: c < F.col("_tt"))))
+    place = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_tt")))
+    cut = rows.withColumn("_cuts", cuts).withColumn("_r", place).drop("_cuts")
     ahead = W.partitionBy("_tv").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     shift = cut.groupBy("_tv", "_r").agg(F.count("*").alias("_c")).select(
         "_tv", "_r", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_shift")
