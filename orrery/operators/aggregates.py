@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.operators.keys import join_on
+from orrery.session import settled
 
 
 def _named(measures: Mapping[str, Column]) -> list[Column]:
@@ -35,53 +36,47 @@ def percentiles(
     wanted: Mapping[str, tuple[float, str]],
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact percentiles per group without gathering a group in one task.
+    """Exact percentiles per group, without shuffling the rows or gathering a group.
 
-    `wanted` maps an output name to (p, "cont" | "disc"). Distinct values are counted
-    first. A mergeable sketch brackets each wanted percentile; rows below the bracket
-    are only counted, and just the few values inside it are put in order. The bracket
-    is checked to hold the exact rank and falls back to the whole group where it does not.
+    `wanted` maps an output name to (p, "cont" | "disc"). A first scan brackets every
+    wanted percentile with a mergeable quantile sketch. In a second scan each task counts
+    its rows below a bracket into one number and keeps only the values inside it, counted
+    per value; these few are put in order. A rank that a bracket should not hold, which the
+    error bound of the sketch excludes, raises an error instead of a wrong answer.
     """
     g = list(groups)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*g, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
+    v = F.col(value).cast("double")
+    rows = df.filter(F.col(value).isNotNull()).select(*g, v.alias("_v"))
     slack = 4.0 / accuracy
-    probs = sorted({min(1.0, max(0.0, p + s)) for p, _ in wanted.values() for s in (-slack, slack)})
+    edge = {n: (max(0.0, p - slack), min(1.0, p + slack)) for n, (p, _) in wanted.items()}
+    probs = sorted({e for pair in edge.values() for e in pair})
     ask = F.array(*[F.lit(p) for p in probs])
-    sketch = df.filter(F.col(value).isNotNull()).groupBy(*g).agg(
-        F.percentile_approx(F.col(value).cast("double"), ask, accuracy).alias("_q"), F.count("*").alias("_all")
-    )
-    rows = join_on(counted, sketch, g)
-    out = None
-    for name, (p, kind) in wanted.items():
-        lo = F.get("_q", probs.index(max(0.0, p - slack)))
-        hi = F.get("_q", probs.index(min(1.0, p + slack)))
-        # 0-based rank of the wanted value, and of the next one for interpolation.
+    sketch = rows.groupBy(*g).agg(F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("*").alias("_all"))
+    framed = join_on(rows, settled(sketch) if g else sketch, g)
+
+    def bracket(i: int, name: str) -> Column:
+        p, kind = wanted[name]
+        lo, hi = (F.get("_q", F.lit(probs.index(e))) for e in edge[name])
+        # 0-based rank of the wanted value; the next one is needed to interpolate.
         rank = F.lit(p) * (F.col("_all") - 1) if kind == "cont" else F.greatest(F.ceil(F.lit(p) * F.col("_all")) - 1, F.lit(0))
-        marked = rows.select(
-            *g, "_v", "_n", rank.cast("double").alias("_rank"),
-            (F.col("_v") < lo).alias("_under"), F.col("_v").between(lo, hi).alias("_inside"),
-        )
-        below = marked.groupBy(*g).agg(
-            F.coalesce(F.sum(F.when(F.col("_under"), F.col("_n"))), F.lit(0)).alias("_below"),
-            F.coalesce(F.sum(F.when(F.col("_inside"), F.col("_n"))), F.lit(0)).alias("_held"),
-            F.max("_rank").alias("_r"),
-        )
-        holds = (F.col("_below") <= F.floor("_r")) & (F.ceil("_r") < F.col("_below") + F.col("_held"))
-        below = below.select(*g, F.when(holds, F.col("_below")).otherwise(0).alias("_below"), holds.alias("_holds"))
-        near = join_on(marked, below, g).filter(~F.col("_holds") | F.col("_inside"))
-        order = W.partitionBy(*g).orderBy("_v").rowsBetween(W.unboundedPreceding, 0) if g else W.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-        ranked = near.withColumn("_upto", F.col("_below") + F.sum("_n").over(order))
-        at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-        low, high = at(F.floor("_rank")), at(F.ceil("_rank"))
-        weight = F.max(F.col("_rank") - F.floor("_rank"))
-        exact = low + (high - low) * weight if kind == "cont" else low
-        part = ranked.groupBy(*g).agg(exact.alias(name))
-        out = part if out is None else join_on(out, part, g)
-    return out
+        return F.when(F.col("_v") <= hi, F.struct(
+            F.lit(i).alias("i"), rank.cast("double").alias("rank"), F.when(F.col("_v") >= lo, F.col("_v")).alias("v")))
+
+    kept = framed.select(*g, F.explode(F.array_compact(F.array(*[bracket(i, n) for i, n in enumerate(wanted)]))).alias("_b"))
+    counted = kept.groupBy(*g, "_b.i", "_b.rank", "_b.v").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*g, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto)
+    out = []
+    for i, (name, (_, kind)) in enumerate(wanted.items()):
+        mine = F.col("i") == i
+        at = lambda r, mine=mine: F.min(F.when(mine & F.col("v").isNotNull() & (F.col("_upto") > r), F.col("v")))
+        low, high = at(F.floor("rank")), at(F.ceil("rank"))
+        missed = F.coalesce(F.max(F.when(mine & F.col("v").isNull(), F.col("_upto") > F.floor("rank"))), F.lit(False)) | high.isNull()
+        part = F.max(F.when(mine, F.col("rank") - F.floor("rank")))
+        exact = low + (high - low) * part if kind == "cont" else low
+        lost = F.raise_error(F.lit(f"{name}: the bracket misses its rank; use a greater accuracy")).cast("double")
+        out.append(F.when(missed, lost).otherwise(exact).alias(name))
+    return placed.groupBy(*g).agg(*out)
 
 
 def nth_by_value(df: DataFrame, groups: Sequence[str], value: str, n: int, to: str, largest: bool = True) -> DataFrame:

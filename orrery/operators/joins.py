@@ -37,27 +37,30 @@ def star_join(fact: DataFrame, *dims: Dim) -> DataFrame:
     for d in dims:
         names = d.table.columns if d.keep is None else list(dict.fromkeys([*(k for _, k in d.on), *d.keep]))
         side = d.table.select(*[d.table[c].alias(d.prefix + c) for c in names])
-        # Keys of both sides are widened to one type, so the hash keys agree.
-        cond = [_wide(out[a], out, a) == _wide(side[d.prefix + b], side, d.prefix + b) for a, b in d.on]
-        out = out.join(side, cond, d.how)
+        out = out.join(side, _equal(out, side, [(a, d.prefix + b) for a, b in d.on]), d.how)
     return out
 
 
-def _wide(c: Column, df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.simpleString()
-    return c.cast("bigint") if kind in ("tinyint", "smallint", "int") else c
+def _equal(a: DataFrame, b: DataFrame, on: Sequence[tuple[str, str]]) -> list[Column]:
+    """Equalities of key pairs. Whole numbers of unlike width are widened; like types are
+    left alone, so that a partitioning both sides already have is used."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    out = []
+    for x, y in on:
+        tx, ty = a.schema[x].dataType.simpleString(), b.schema[y].dataType.simpleString()
+        wide = tx != ty and tx in whole and ty in whole
+        out.append(a[x].cast("bigint") == b[y].cast("bigint") if wide else a[x] == b[y])
+    return out
 
 
 def semi_join(df: DataFrame, members: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows whose key is in `members`; duplicates on the member side never multiply rows."""
-    cond = [_wide(df[a], df, a) == _wide(members[b], members, b) for a, b in on]
-    return df.join(members, cond, "left_semi")
+    return df.join(members, _equal(df, members, on), "left_semi")
 
 
 def anti_join(df: DataFrame, members: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows whose key is not in `members`; a NULL key is never a member."""
-    cond = [_wide(df[a], df, a) == _wide(members[b], members, b) for a, b in on]
-    return df.join(members, cond, "left_anti")
+    return df.join(members, _equal(df, members, on), "left_anti")
 
 
 exists_in = semi_join
@@ -169,7 +172,7 @@ def join_range(
     listed = right.filter((last >= first)).withColumn("_bin", F.explode(bins))
     marked = left.withColumn("_row_bin", F.floor(_position(F.col(ts)) / width))
     cond = [marked["_row_bin"] == listed["_bin"]]
-    cond += [_wide(marked[a], marked, a) == _wide(listed[b], listed, b) for a, b in keys]
+    cond += _equal(marked, listed, keys)
     cond += [listed[start].isNull() | (marked[ts] >= listed[start])]
     cond += [listed[end].isNull() | (marked[ts] < listed[end])]
     return marked.join(listed, cond, how).drop("_bin", "_row_bin")
@@ -192,28 +195,25 @@ def join_asof(
     Right rows that share key and time are resolved to the greatest values.
     """
     keys = list(keys)
-    seg = lambda c: F.date_trunc(segment, c)
+    # Hits are ordered by time and then by values, so the latest one is the greatest.
     hit = F.struct(F.col(right_ts).alias("at"), *[F.col(v) for v in values])
-    one = right.groupBy(*keys, right_ts).agg(F.max(F.struct(*values)).alias("_v"))
-    one = one.select(*keys, right_ts, "_v.*").select(*keys, F.col(right_ts).alias("_ts"), hit.alias("_hit"))
-
+    known = right.dropna(subset=[*keys, right_ts]).select(*keys, F.col(right_ts).alias("_ts"), hit.alias("_hit"))
     rows = left.select(*keys, F.col(left_ts).alias("_ts"), F.struct(*left.columns).alias("_row"))
-    both = rows.withColumn("_hit", F.lit(None).cast(one.schema["_hit"].dataType)).unionByName(
-        one.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
-    )
-    both = both.withColumn("_seg", seg(F.col("_ts")))
-    inside = W.partitionBy(*keys, "_seg").orderBy("_ts", F.col("_row").isNotNull())
-    local = both.withColumn(
-        "_local", F.last("_hit", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    ).filter(F.col("_row").isNotNull())
+    both = rows.withColumn("_hit", F.lit(None).cast(known.schema["_hit"].dataType)).unionByName(
+        known.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
+    ).withColumn("_seg", F.date_trunc(segment, F.col("_ts")))
 
-    ends = both.groupBy(*keys, "_seg").agg(F.max_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("_ts"))).alias("_end"))
+    inside = W.partitionBy(*keys, "_seg").orderBy("_ts").rangeBetween(W.unboundedPreceding, W.currentRow)
+    local = both.withColumn("_local", F.max("_hit").over(inside)).filter(F.col("_row").isNotNull())
+    ends = both.groupBy(*keys, "_seg").agg(F.max("_hit").alias("_end"))
     along = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_seg", F.last("_end", ignorenulls=True).over(along).alias("_carry"))
+    carried = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("_seg").alias("__seg"), F.max("_end").over(along).alias("_carry"))
 
-    found = F.coalesce(F.col("_local"), F.col("_carry"))
+    # Plain equality keeps the partitioning of the window; rows with a NULL key match nothing.
+    cond = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("_seg") == F.col("__seg")]
+    found = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.coalesce(F.col("_local"), F.col("_carry")))
     return (
-        join_on(local, carried, [*keys, "_seg"], "left")
+        local.join(carried, cond, "left")
         .select("_row", found.alias("_found"))
         .select("_row.*", F.col("_found.at").alias(right_ts), *[F.col(f"_found.{v}").alias(v) for v in values])
     )

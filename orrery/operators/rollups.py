@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.dates import BUCKETS, date_bucket
 from orrery.operators.joins import drill_across
-from orrery.operators.keys import join_on
 
 
 @dataclass(frozen=True)
@@ -208,19 +207,14 @@ def sketch_count(rollup: DataFrame, dims: Sequence[str], to: str, sketch: str =
 def profile_grains(df: DataFrame, grains: Mapping[str, Sequence[Column | str]], exact: bool = False) -> DataFrame:
     """Rows of each candidate grain beside the base rows, and the compression.
 
-    One scan with sketches by default. `exact` counts distinct groups, one grouped job per
-    grain; a base smaller than a grain marks the base as suspect.
+    One scan for all of them: with sketches by default; `exact` counts the distinct groups,
+    which are combined in each task before they are shuffled. A base smaller than a grain
+    marks the base as suspect.
     """
-    base = F.count("*").alias("base_rows")
     if exact:
-        total = df.agg(base)
-        parts = [df.groupBy(*cols).agg(F.lit(1)).agg(F.count("*").alias("agg_rows")).select(F.lit(n).alias("grain"), "agg_rows") for n, cols in grains.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = join_on(out, total, [])
+        out = _exact_grains(df, grains)
     else:
-        one = df.agg(base, *[F.approx_count_distinct(F.struct(*cols), 0.02).alias(f"g{i}") for i, cols in enumerate(grains.values())])
+        one = df.agg(F.count("*").alias("base_rows"), *[F.approx_count_distinct(F.struct(*cols), 0.02).alias(f"g{i}") for i, cols in enumerate(grains.values())])
         rows = F.array(*[F.struct(F.lit(n).alias("grain"), F.col(f"g{i}").alias("agg_rows")) for i, n in enumerate(grains)])
         out = one.select("base_rows", F.inline(rows))
     return out.select(
@@ -228,3 +222,22 @@ def profile_grains(df: DataFrame, grains: Mapping[str, Sequence[Column | str]],
         F.round(F.try_divide(F.col("base_rows").cast("double"), F.col("agg_rows")), 1).alias("compression"),
         (F.col("base_rows") < F.col("agg_rows")).alias("suspect_base"),
     )
+
+
+def _exact_grains(df: DataFrame, grains: Mapping[str, Sequence[Column | str]]) -> DataFrame:
+    """Groups of every grain by one pass of grouping sets."""
+    named: dict[str, str] = {}
+    for cols in grains.values():
+        for c in cols:
+            named.setdefault(str(c), f"k{len(named)}")
+    exprs = {str(c): (F.col(c) if isinstance(c, str) else c) for cols in grains.values() for c in cols}
+    keys = list(named.values())
+    sets = [[named[str(c)] for c in cols] for cols in grains.values()]
+    keyed = df.select(*[exprs[e].alias(k) for e, k in named.items()])
+    groups = keyed.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("n")
+    )
+    # A column outside a set has its bit set in the grouping id, the first column's being the highest.
+    gid = {n: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for n, s in zip(grains, sets)}
+    grain = F.coalesce(*[F.when(F.col("gid") == v, F.lit(n)) for n, v in gid.items()])
+    return groups.groupBy(grain.alias("grain")).agg(F.count("*").alias("agg_rows"), F.sum("n").alias("base_rows"))

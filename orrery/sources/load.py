@@ -68,35 +68,49 @@ BOOLEAN_TEXT = ("true", "false", "0", "1")
 DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?"
 INTEGER_PATTERN = r"^[+-]?\d+$"
-FLOAT_PATTERN = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)$"
+FLOAT_PATTERN = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """One row per column with the first type that every non-blank value fits.
 
-    A single aggregation over all rows, map-side combined; nothing is sampled.
+    A single aggregation over all rows, map-side combined; nothing is sampled. Each value
+    is put into one class, with the likelier patterns tried first.
     """
-    checks = {
-        "BOOLEAN": lambda v: F.lower(v).isin(*BOOLEAN_TEXT),
-        "INTEGER": lambda v: v.rlike(INTEGER_PATTERN),
-        "FLOAT": lambda v: F.lower(v).rlike(FLOAT_PATTERN),
-        "DATE": lambda v: v.rlike(DATE_PATTERN),
-        "TIMESTAMP": lambda v: v.rlike(TIMESTAMP_PATTERN),
-    }
-
-    def summary(name: str) -> Column:
-        v = F.trim(F.col(f"`{name}`").cast("string"))
-        v = F.when(v != "", v)
-        longest = F.coalesce(F.max(F.length(v)), F.lit(0))
-        wide = F.greatest(F.lit(256), F.ceil(longest * 1.5))
-        text = F.concat(F.lit("VARCHAR("), wide.cast("string"), F.lit(")"))
-        kind = reduce(
-            lambda acc, k: acc.when(F.bool_and(checks[k](v)), k), checks, F.when(F.count(v) == 0, "VARCHAR(256)")
-        ).otherwise(text)
-        return F.struct(F.lit(name).alias("column_name"), kind.alias("inferred_type"), F.count(v).alias("filled"))
-
-    one = df.agg(*[summary(n).alias(f"c{i}") for i, n in enumerate(df.columns)])
-    return one.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])))
+
+    text = {n: F.trim(F.col(f"`{n}`").cast("string")) for n in df.columns}
+    values = df.select(*[F.when(v != "", v).alias(f"v{i}") for i, v in enumerate(text.values())])
+
+    def kind_of(v: Column) -> Column:
+        return (
+            F.when(v.rlike(INTEGER_PATTERN), "i").when(v.rlike(FLOAT_PATTERN), "f")
+            .when(v.rlike(DATE_PATTERN), "d").when(v.rlike(TIMESTAMP_PATTERN), "t").when(v.isNotNull(), "s")
+        )
+
+    every = range(len(df.columns))
+    classed = values.select(
+        *[kind_of(F.col(f"v{i}")).alias(f"k{i}") for i in every],
+        *[((F.length(f"v{i}") <= 5) & F.lower(F.left(f"v{i}", F.lit(5))).isin(*BOOLEAN_TEXT)).alias(f"b{i}") for i in every],
+        *[F.length(f"v{i}").alias(f"l{i}") for i in every],
+    )
+
+    def summary(i: int) -> Column:
+        k = F.col(f"k{i}")
+        return F.struct(
+            F.lit(df.columns[i]).alias("column_name"), F.count(k).alias("filled"), F.bool_and(f"b{i}").alias("b"),
+            F.coalesce(F.max(f"l{i}"), F.lit(0)).alias("longest"), *[F.count(F.when(k == x, 1)).alias(x) for x in "ifdt"],
+        )
+
+    one = classed.agg(*[summary(i).alias(f"c{i}") for i in every])
+    seen = one.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])))
+    all_are = lambda *k: reduce(lambda a, b: a + b, [F.col(x) for x in k]) == F.col("filled")
+    wide = F.greatest(F.lit(256), F.ceil(F.col("longest") * 1.5))
+    kind = (
+        F.when(F.col("filled") == 0, "VARCHAR(256)").when(F.col("b"), "BOOLEAN").when(all_are("i"), "INTEGER")
+        .when(all_are("i", "f"), "FLOAT").when(all_are("d"), "DATE").when(all_are("t"), "TIMESTAMP")
+        .otherwise(F.concat(F.lit("VARCHAR("), wide.cast("string"), F.lit(")")))
+    )
+    return seen.select("column_name", kind.alias("inferred_type"), "filled")
 
 
 def _spark_type(declared: str) -> str:

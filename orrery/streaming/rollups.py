@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from orrery.operators.keys import join_on
 from orrery.session import fresh_path
 
 
@@ -85,20 +84,22 @@ def sessions(events: DataFrame, user: str, ts: str, gap_seconds: int, measures:
     spread over as many tasks as segments: inside a segment a window finds the breaks, and
     one row per (user, segment) carries the last event time and the session number on.
     """
-    rows = events.withColumn("_seg", F.date_trunc(segment, F.col(ts)))
+    # A struct key equals itself also where the user is NULL, and keeps one partitioning
+    # through the windows and the joins below.
+    rows = events.filter(F.col(ts).isNotNull()).withColumn("_key", F.struct(user)).withColumn("_seg", F.date_trunc(segment, F.col(ts)))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    ends = rows.groupBy(user, "_seg").agg(F.max(ts).alias("_last"))
-    along = W.partitionBy(user).orderBy("_seg")
-    carried = ends.select(user, "_seg", F.lag("_last").over(along).alias("_before"))
-    inside = W.partitionBy(user, "_seg").orderBy(ts)
-    marked = join_on(rows, carried, [user, "_seg"], "left").withColumn("_prev", F.coalesce(F.lag(ts).over(inside), F.col("_before")))
+    at = ["_key", "_seg"]
+    along, inside = W.partitionBy("_key").orderBy("_seg"), W.partitionBy(*at).orderBy(ts)
+    ends = rows.groupBy(*at).agg(F.max(ts).alias("_last"))
+    carried = ends.select(*at, F.lag("_last").over(along).alias("_before"))
+    marked = rows.withColumn("_lag", F.lag(ts).over(inside)).join(carried, at, "left").withColumn("_prev", F.coalesce("_lag", "_before"))
     # Equal instants follow one another without a break, whatever order they are read in.
     opens = F.col("_prev").isNull() | (micros(ts) - micros("_prev") >= gap_seconds * 1_000_000)
     marked = marked.withColumn("_open", opens.cast("int"))
-    counts = marked.groupBy(user, "_seg").agg(F.sum("_open").alias("_n"))
-    earlier = counts.select(user, "_seg", F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    counts = marked.groupBy(*at).agg(F.sum("_open").alias("_n"))
+    earlier = counts.select(*at, F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     local = marked.withColumn("_local", F.sum("_open").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)))
-    numbered = join_on(local, earlier, [user, "_seg"], "left").withColumn("session", F.col("_base") + F.col("_local"))
+    numbered = local.join(earlier, at, "left").withColumn("session", F.col("_base") + F.col("_local"))
     return numbered.groupBy(user, "session").agg(
         F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), *[m.alias(n) for n, m in measures.items()]
     )
