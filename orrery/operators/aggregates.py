@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from orrery.operators.keys import join_on
+from orrery.operators.keys import beside, join_on
 from orrery.session import settled
 
 
@@ -131,14 +131,12 @@ def metric_on_metric(
 def stat_over_aggregate(df: DataFrame, groups: Sequence[str], measure: Column, name: str) -> DataFrame:
     """Group totals with the mean and sample deviation of all totals beside each.
 
-    The two figures come from scalar subqueries over the grouped rows; a window over
+    The two figures come from a scalar subquery over the grouped rows; a window over
     everything would put them all into one task.
     """
     totals = df.groupBy(*groups).agg(measure.alias(name))
     stats = totals.agg(F.avg(name).alias("mean"), F.stddev_samp(name).alias("std_dev"))
-    return totals.select(
-        "*", stats.select("mean").scalar().alias("mean"), stats.select("std_dev").scalar().alias("std_dev")
-    )
+    return beside(totals, stats)
 
 
 def outlier_flag(df: DataFrame, groups: Sequence[str], measure: Column, name: str, z: float) -> DataFrame:

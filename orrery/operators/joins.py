@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from orrery.operators.keys import join_on
+from orrery.operators.keys import beside, join_on
 
 
 @dataclass(frozen=True)
@@ -66,12 +66,7 @@ def anti_join(df: DataFrame, members: DataFrame, on: Sequence[tuple[str, str]])
 exists_in = semi_join
 
 
-def cross_scalar(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Put every column of a one-row frame beside each row, as scalar subqueries.
-
-    A frame with more than one row fails at run time instead of multiplying rows.
-    """
-    return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
+cross_scalar = beside
 
 
 def outer_members(
@@ -165,7 +160,8 @@ def join_range(
     """
     width = int(width_days * 86400)
     span = left.agg(F.min(_position(F.col(ts))).alias("lo"), F.max(_position(F.col(ts))).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    ends = span.select(F.struct("lo", "hi")).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
     first = F.greatest(_position(F.col(start)), lo)
     last = F.least(_position(F.col(end)), hi)
     bins = F.sequence(F.floor(first / width), F.floor(last / width))

@@ -14,7 +14,16 @@ def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner")
     """
     extra = [c for c in b.columns if c not in keys]
     if not keys:
-        return a.select("*", *[b.select(c).scalar().alias(c) for c in extra])
+        return beside(a, b)
     right = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *extra)
     cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return a.join(right, cond, how).drop(*[f"__{k}" for k in keys])
+
+
+def beside(a: DataFrame, one: DataFrame) -> DataFrame:
+    """Every column of a one-row frame on each row of `a`, through a single scalar subquery.
+
+    A frame with more than one row fails at run time instead of multiplying rows.
+    """
+    row = one.select(F.struct(*one.columns)).scalar()
+    return a.select("*", *[row.getField(c).alias(c) for c in one.columns])

@@ -113,19 +113,32 @@ def rank_partitioned(measure: str, dims: Sequence[str], descending: bool = True)
 # --- order over a whole table, one value range per task -------------------------------------
 
 
+def _ranged(df: DataFrame, value: str, ranges: int, to: str) -> DataFrame:
+    """`df` with the number of its value range, about equal in distinct values.
+
+    The cut points are quantiles of the 16 * ranges values with the smallest hashes, an even
+    sample of the distinct values. They only decide which task orders which values.
+    """
+    h = F.xxhash64(value)
+    some = df.select(value).distinct().orderBy(h, value).limit(16 * ranges)
+    sample = some.agg(F.sort_array(F.collect_list(value)).alias("s"))
+    cuts = sample.select(F.filter("s", lambda v, i: i % 16 == 15)).scalar()
+    place = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
+    return df.withColumn("_cuts", cuts).withColumn(to, place).drop("_cuts")
+
+
 def ordered(df: DataFrame, value: str, descending: bool = False, ranges: int = 64) -> DataFrame:
     """Each distinct non-null value with `_n`, `_before`, `_dense` and the total `_all`.
 
     `_n` rows hold the value, `_before` rows come earlier in the order, `_dense` counts
-    the distinct values up to and including it. Rows are counted per value first. The
-    values are cut into ranges by a quantile sketch; each range is ordered by itself and
-    shifted by the totals of the ranges ahead of it.
+    the distinct values up to and including it. Rows are counted per value first, so a
+    value that fills a third of the table is one row from then on. The values are cut
+    into ranges; each range is ordered by itself and shifted by the totals of the ranges
+    ahead of it.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = counted.agg(F.percentile_approx(value, probs, 10_000).alias("_cuts")).scalar()
-    place = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    cut = counted.withColumn("_cuts", cuts).withColumn("_range", -place if descending else place).drop("_cuts")
+    cut = _ranged(counted, value, ranges, "_place")
+    cut = cut.withColumn("_range", -F.col("_place") if descending else F.col("_place")).drop("_place")
     by = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy("_range").orderBy(by)
     ahead = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
@@ -164,8 +177,6 @@ def global_ranks(df: DataFrame, value: str, descending: bool = False, tie: str |
         "rank_percentile": (1 - pct) * 100,
     }
     if tie is not None:
-        # Ties are numbered inside their value. One value that fills a third of the table
-        # would be one partition, so the numbering is itself ranged over the tie column.
         same = _tie_places(df, value, tie)
         out = out.join(same, (df[value] == same["_tv"]) & (df[tie] == same["_tt"]), "left")
         number = before + F.col("_place")
@@ -179,12 +190,12 @@ def global_ranks(df: DataFrame, value: str, descending: bool = False, tie: str |
 
 
 def _tie_places(df: DataFrame, value: str, tie: str, ranges: int = 64) -> DataFrame:
-    """Place of each row among rows of equal value, ordered by a numeric tie column."""
+    """Place of each row among rows of equal value, in the order of the tie column.
+
+    Ranges of the tie column split a value that fills a third of the table.
+    """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_tv"), F.col(tie).alias("_tt"))
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = rows.agg(F.percentile_approx("_tt", probs, 10_000)).scalar()
-    place = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_tt")))
-    cut = rows.withColumn("_cuts", cuts).withColumn("_r", place).drop("_cuts")
+    cut = _ranged(rows, "_tt", ranges, "_r")
     ahead = W.partitionBy("_tv").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     shift = cut.groupBy("_tv", "_r").agg(F.count("*").alias("_c")).select(
         "_tv", "_r", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_shift")
@@ -203,7 +214,4 @@ def rank(df: DataFrame, measure: str, descending: bool = True, to: str = "rank")
 
 def field_values(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value of an attribute with its position in ascending order, from 1."""
-    once = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    if dict(df.dtypes)[column] == "string":
-        return once.withColumn("field_index", F.row_number().over(W.orderBy(column)))
-    return ordered(once, column).select(column, F.col("_dense").alias("field_index"))
+    return ordered(df, column).select(column, F.col("_dense").alias("field_index"))
