@@ -59,8 +59,9 @@ def percentiles(
         lo, hi = (F.get("_q", F.lit(probs.index(e))) for e in edge[name])
         # 0-based rank of the wanted value; the next one is needed to interpolate.
         rank = F.lit(p) * (F.col("_all") - 1) if kind == "cont" else F.greatest(F.ceil(F.lit(p) * F.col("_all")) - 1, F.lit(0))
-        return F.when(F.col("_v") <= hi, F.struct(
-            F.lit(i).alias("i"), rank.cast("double").alias("rank"), F.when(F.col("_v") >= lo, F.col("_v")).alias("v")))
+        few = F.col("_all") <= accuracy  # such a group is ordered whole
+        return F.when(few | (F.col("_v") <= hi), F.struct(
+            F.lit(i).alias("i"), rank.cast("double").alias("rank"), F.when(few | (F.col("_v") >= lo), F.col("_v")).alias("v")))
 
     kept = framed.select(*g, F.explode(F.array_compact(F.array(*[bracket(i, n) for i, n in enumerate(wanted)]))).alias("_b"))
     counted = kept.groupBy(*g, "_b.i", "_b.rank", "_b.v").agg(F.count("*").alias("_n"))
