@@ -34,6 +34,8 @@ grouped("agg_stddev", *FLAG, v=(lambda: R(F.stddev_samp("l_quantity"), 6), "roun
         p=(lambda: R(F.stddev_pop("l_quantity"), 6), "round(stddev_pop(l_quantity), 6)"))
 grouped("agg_variance", *FLAG, v=(lambda: R(F.var_samp("l_quantity"), 6), "round(var_samp(l_quantity), 6)"),
         p=(lambda: R(F.var_pop("l_quantity"), 6), "round(var_pop(l_quantity), 6)"))
+grouped("agg_stddev_pop", *FLAG, v=(lambda: R(F.stddev_pop("l_discount"), 8), "round(stddev_pop(l_discount), 8)"))
+grouped("agg_variance_pop", *FLAG, v=(lambda: R(F.var_pop("l_discount"), 10), "round(var_pop(l_discount), 10)"))
 grouped("agg_only", "nation", "n_regionkey", many=(lambda: A.only(c("n_name")), "CASE WHEN count(DISTINCT n_name) = 1 THEN max(n_name) END"),
         one=(lambda: A.only(c("n_regionkey") * 2), "CASE WHEN count(DISTINCT n_regionkey * 2) = 1 THEN max(n_regionkey * 2)::BIGINT END"))
 grouped("agg_count_duplicates", "orders", "o_orderstatus", v=(lambda: A.count_duplicates(c("o_custkey")), "count(o_custkey) - count(DISTINCT o_custkey)"))

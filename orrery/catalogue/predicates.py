@@ -77,7 +77,7 @@ keep("rolling_date_constraint", "lineitem", "l_orderkey l_linenumber l_partkey",
 def model_filter(t):
     filters = [
         Q.Filter("o_orderpriority", "in", ["1-URGENT", "2-HIGH"]), Q.Filter("o_totalprice", ">", [100000]),
-        Q.Filter("o_orderdate", "between", [F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")]),
+        Q.Filter("o_orderdate", "between", ["01/01/1996", "12/31/1999"]),
     ]
     return Q.model_filter(t.orders, filters).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 

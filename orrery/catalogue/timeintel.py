@@ -125,6 +125,16 @@ for _name, _cols in (("growth", ["growth"]), ("growth_rate", ["growth_rate"]), (
         lambda t, k=_cols[0]: T.growth(T.period_offset(weekly_thin(t), ["c_nationkey"], "period_start", "month", "total", -1, "prior"), "total", "prior").select(
             "c_nationkey", "period_start", R(k, 2 if k == "difference" else 8).alias("v")))
 
+for _name, _by, _months in (("diff_past_quarter", "quarter", 3), ("diff_past_year", "year", 12)):
+    query(_name, f"WITH {BAL}, {_THIN} SELECT g.c_nationkey, g.period_start, round(g.total - p.total, 2) AS difference FROM g LEFT JOIN g p ON p.c_nationkey = g.c_nationkey AND p.period_start = (g.period_start - INTERVAL {_months} MONTH)::DATE")(
+        lambda t, by=_by: r2(T.growth(T.period_offset(weekly_thin(t), ["c_nationkey"], "period_start", "month", "total", -1, "prior", by), "total", "prior"), "difference").select(
+            "c_nationkey", "period_start", "difference"))
+for _name, _unit, _days in (("diff_past_day", "day", 1), ("diff_past_week", "week", 7)):
+    query(_name, f"WITH g AS (SELECT o_orderstatus, date_trunc('{_unit}', o_orderdate)::DATE AS period_start, count(*) AS n FROM orders GROUP BY 1, 2) SELECT g.*, g.n - p.n AS difference FROM g LEFT JOIN g p ON p.o_orderstatus = g.o_orderstatus AND p.period_start = g.period_start - {_days}")(
+        lambda t, u=_unit: T.growth(T.period_offset(
+            T.bucketed(t.orders, ["o_orderstatus"], "o_orderdate", "DAILY" if u == "day" else "WEEKLY", {"n": F.count("*")}),
+            ["o_orderstatus"], "period_start", u, "n", -1, "prior"), "n", "prior").select("o_orderstatus", "period_start", "n", "difference"))
+
 _Y = "sum(o_totalprice) FILTER (year(o_orderdate) = {y})"
 
 

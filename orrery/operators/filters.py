@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,7 +15,10 @@ from orrery.functions.dates import period_index, start_of
 
 @dataclass(frozen=True)
 class Filter:
-    """`column oper values`; with `tables`, it applies only when one of them takes part."""
+    """`column oper values`; with `tables`, it applies only when one of them takes part.
+
+    Texts of the form MM/DD/YYYY are dates.
+    """
 
     column: str
     oper: str
@@ -22,7 +26,7 @@ class Filter:
     tables: Sequence[str] = ()
 
     def predicate(self) -> Column:
-        c, v = F.col(self.column), list(self.values)
+        c, v = F.col(self.column), [_filter_value(x) for x in self.values]
         simple = {
             "=": lambda: c == v[0], "!=": lambda: c != v[0],
             ">": lambda: c > v[0], ">=": lambda: c >= v[0],
@@ -38,6 +42,12 @@ class Filter:
         return not self.tables or bool(set(self.tables) & set(used))
 
 
+def _filter_value(v):
+    if isinstance(v, str) and re.fullmatch(r"\d{2}/\d{2}/\d{4}", v):
+        return F.lit(f"{v[6:]}-{v[:2]}-{v[3:5]}").cast("date")
+    return v
+
+
 def model_filter(df: DataFrame, filters: Sequence[Filter], used_tables: Iterable[str] = ()) -> DataFrame:
     """Apply each filter that is unconditional or scoped to a table in use."""
     used = list(used_tables)

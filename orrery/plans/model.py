@@ -42,7 +42,6 @@ class Attribute:
     table: str
     expr: str
     bucket: str | None = None
-    order: Sequence | None = None
 
 
 @dataclass(frozen=True)

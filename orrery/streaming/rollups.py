@@ -46,6 +46,8 @@ def run_available(
 ) -> tuple[DataFrame, list[dict]]:
     """Process what is available, to parquet; returns the written rows and the progress of each batch.
 
+    Spark keeps the progress of the last `spark.sql.streaming.numRecentProgressUpdates`
+    batches; without a limit of files per batch, a run is one batch and its closing one.
     `paths` (output, state) of an earlier run go on from where it ended.
     In update mode each batch's changed rows are written under its number, so a batch
     that is run again replaces its own output; the last version of a row has the
