@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -39,9 +41,9 @@ def percentiles(
     """Exact percentiles per group, without shuffling the rows or gathering a group.
 
     `wanted` maps an output name to (p, "cont" | "disc"). A first scan brackets every
-    wanted percentile with a mergeable quantile sketch. In a second scan each task counts
-    its rows below a bracket into one number and keeps only the values inside it, counted
-    per value; these few are put in order. A rank that a bracket should not hold, which the
+    wanted percentile with a mergeable quantile sketch. Then each task counts its rows
+    below a bracket into one number and keeps only the values inside it, counted per value;
+    these few are put in order. A rank that a bracket should not hold, which the
     error bound of the sketch excludes, raises an error instead of a wrong answer.
     """
     g = list(groups)
@@ -54,25 +56,31 @@ def percentiles(
     sketch = rows.groupBy(*g).agg(F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("*").alias("_all"))
     framed = join_on(rows, settled(sketch) if g else sketch, g)
 
-    def bracket(i: int, name: str) -> Column:
+    few = F.col("_all") <= accuracy  # such a group is ordered whole
+
+    def bracket(name: str) -> tuple[Column, Column, Column]:
+        """Is the value below, is it inside, and the 0-based rank that is wanted."""
         p, kind = wanted[name]
         lo, hi = (F.get("_q", F.lit(probs.index(e))) for e in edge[name])
-        # 0-based rank of the wanted value; the next one is needed to interpolate.
         rank = F.lit(p) * (F.col("_all") - 1) if kind == "cont" else F.greatest(F.ceil(F.lit(p) * F.col("_all")) - 1, F.lit(0))
-        few = F.col("_all") <= accuracy  # such a group is ordered whole
-        return F.when(few | (F.col("_v") <= hi), F.struct(
-            F.lit(i).alias("i"), rank.cast("double").alias("rank"), F.when(few | (F.col("_v") >= lo), F.col("_v")).alias("v")))
-
-    kept = framed.select(*g, F.explode(F.array_compact(F.array(*[bracket(i, n) for i, n in enumerate(wanted)]))).alias("_b"))
-    counted = kept.groupBy(*g, "_b.i", "_b.rank", "_b.v").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(*g, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    placed = counted.withColumn("_upto", upto)
+        return ~few & (F.col("_v") < lo), few | F.col("_v").between(lo, hi), rank.cast("double")
+
+    parts = [bracket(n) for n in wanted]
+    below = framed.groupBy(*g).agg(*[F.count(F.when(under, 1)).alias(f"_b{i}") for i, (under, _, _) in enumerate(parts)])
+    near = framed.filter(reduce(or_, [inside for _, inside, _ in parts]))
+    marks = [F.when(inside, F.struct(F.lit(i).alias("i"), rank.alias("rank"))) for i, (_, inside, rank) in enumerate(parts)]
+    counted = near.select(*g, "_v", F.explode(F.array_compact(F.array(*marks))).alias("_m")).groupBy(
+        *g, F.col("_m.i").alias("i"), F.col("_m.rank").alias("rank"), F.col("_v").alias("v")
+    ).agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(*[F.when(F.col("i") == i, F.col(f"_b{i}")) for i in range(len(parts))])
+    order = W.partitionBy(*g, "i").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    placed = join_on(counted, below, g).withColumn("_below", ahead).withColumn("_upto", F.col("_below") + F.sum("_n").over(order))
     out = []
     for i, (name, (_, kind)) in enumerate(wanted.items()):
         mine = F.col("i") == i
-        at = lambda r, mine=mine: F.min(F.when(mine & F.col("v").isNotNull() & (F.col("_upto") > r), F.col("v")))
+        at = lambda r, mine=mine: F.min(F.when(mine & (F.col("_upto") > r), F.col("v")))
         low, high = at(F.floor("rank")), at(F.ceil("rank"))
-        missed = F.coalesce(F.max(F.when(mine & F.col("v").isNull(), F.col("_upto") > F.floor("rank"))), F.lit(False)) | high.isNull()
+        missed = F.coalesce(F.max(F.when(mine, F.col("_below") > F.floor("rank"))), F.lit(True)) | high.isNull()
         part = F.max(F.when(mine, F.col("rank") - F.floor("rank")))
         exact = low + (high - low) * part if kind == "cont" else low
         lost = F.raise_error(F.lit(f"{name}: the bracket misses its rank; use a greater accuracy")).cast("double")
