@@ -9,9 +9,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry_points
 import check
+from orrery import catalogue
 from conftest import SMALL
 
-QUERIES, SQLS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQLS = catalogue.QUERIES, catalogue.ORACLES
 
 
 @pytest.fixture(scope="module")
