@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontam, packing, tokens, toxicity
+from orrery.llm import decontam, jaccard, packing, tokens, toxicity
 from orrery.llm.common import table
 from orrery.llm.encode import tokenizer_path
 
@@ -45,3 +45,9 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at five words and a similarity of 0.8 or more."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
