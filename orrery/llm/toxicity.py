@@ -1,13 +1,13 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-The kernel of two words sums over the character subsequences of length two and three that
-they share, each weighted by DECAY to the length it spans in both, so that gaps and inserted
-characters lower it only a little; it is normalised to 1 for equal words, raised to a power,
-and is zero for words that lack over a quarter of the landmark's letters. A text is the set of its words (runs of
-single letters count as one word as well), and its kernel with a landmark is the largest of
-its words. Landmarks are word beginnings and words that labelled texts show to mark toxicity,
-and common words of clean texts. Kernels with the landmarks become features by K_mm^-1/2
-(Nystroem), and a linear machine with squared hinge loss and Platt's sigmoid scores them.
+The kernel of two words sums over the character subsequences of length two and three that they
+share, each weighted by DECAY to the length it spans in both, so that gaps and inserted
+characters lower it only a little. It is normalised to 1 for equal words, raised to a power, and
+zero for words that lack over a quarter of the landmark's letters. A text is the set of its
+words (runs of single letters count as one word as well), and its kernel with a landmark is the
+largest of its words. Landmarks are words and word beginnings that labelled texts show to mark
+toxicity. Kernels with the landmarks become features by K_mm^-1/2 (Nystroem), and a linear machine
+with squared hinge loss and Platt's sigmoid scores them.
 
 Null and empty texts have no word and get the score of the bias. Rows repeat as they come, ties
 in the choice of landmarks are settled by text, extra columns stay untouched, and an empty
@@ -25,19 +25,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from orrery.llm.common import WORD, small_batches, text_of
+from orrery.llm.common import flat, small_batches, text_of
 
 DECAY = 0.5
 # The normalised kernel is taken to this power (a kernel again): likeness by chance fades.
-POWER = 3
+# Below the floor it counts as zero.
+POWER, FLOOR = 3, 0.3
 # Long words are cut into overlapping pieces of this many letters: every part is seen.
 PIECE = 24
 # Bound of labelled rows a class that the machine is fitted on.
 TRAIN_ROWS = 4000
-# Landmarks that mark toxicity, and common words beside them.
-MARKS, PLAIN = 48, 16
-# A mark needs this share of the toxic texts, and three of them; ridge of the machine.
-SUPPORT, RIDGE = 0.004, 2e-4
+# Landmarks at most. One needs this share of the toxic texts (and three of them), and to be so
+# many times as frequent there as in clean ones.
+MARKS, SUPPORT, ODDS = 48, 0.01, 24
+RIDGE = 2e-4
 CACHE = 300_000
 NOT_LETTER = re.compile(r"[\W\d_]+")
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
@@ -56,28 +57,34 @@ def pieces(word: str) -> list[str]:
 
 
 def words_of(text: str) -> set[str]:
-    found = set(WORD.findall(text))
+    found = set(text.split())
     found.update("".join(m.split()) for m in SINGLES.findall(text))
     return found
 
 
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters as numbers, each word's length and where it starts."""
+    joined = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return joined, sizes, np.cumsum(sizes) - sizes
+
+
 def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
     """Words as rows of character codes, filled up with `pad`."""
+    joined, sizes, starts = _letters(words)
     out = np.full((len(words), width), pad, np.int64)
-    for i, w in enumerate(words):
-        out[i, :len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(words)), sizes)
+    out[row, np.arange(joined.size) - starts[row]] = joined
     return out
 
 
 def _masks(words: list[str]) -> np.ndarray:
     """The letters of each word as bits of one number; two letters may share a bit."""
-    joined = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    joined, sizes, starts = _letters(words)
     out = np.zeros(len(words), np.uint64)
+    some = sizes > 0
     if joined.size:
-        some = sizes > 0
-        starts = (np.cumsum(sizes) - sizes)[some]
-        out[some] = np.bitwise_or.reduceat(np.uint64(1) << (joined % 64).astype(np.uint64), starts)
+        out[some] = np.bitwise_or.reduceat(np.uint64(1) << (joined % 64).astype(np.uint64), starts[some])
     return out
 
 
@@ -115,25 +122,37 @@ class WordKernel:
         self.need = np.ceil(np.bitwise_count(self.bits) * 0.75).astype(np.int64)
         own = _codes(self.landmarks, self.width, -1)
         self.norm = np.sqrt(subsequence_kernel(own, self.codes)) if self.landmarks else np.zeros(0)
-        self.rows = np.zeros((1, len(self.landmarks)), np.float32)  # row 0: no landmark is near
-        self.more: list[np.ndarray] = []
+        self.rows = np.zeros((1024, len(self.landmarks)), np.float32)  # row 0: no landmark is near
+        self.used = 1
 
-    def _pairs(self, words: list[str]) -> np.ndarray:
+    def kernels(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        shared = np.bitwise_count(_masks(words)[:, None] & self.bits[None, :]).astype(np.int64)
-        w, mark = np.nonzero(shared >= self.need[None, :])
-        order = np.argsort([len(words[i]) for i in w], kind="stable")
+        masks = _masks(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        w, mark = [], []
+        for m, (bits, need) in enumerate(zip(self.bits, self.need, strict=True)):
+            near = np.flatnonzero((np.bitwise_count(masks & bits) >= need) & (sizes > 1))
+            w.append(near)
+            mark.append(np.full(len(near), m))
+        w, mark = flat(w, np.int64), flat(mark, np.int64)
+        order = np.argsort(sizes[w], kind="stable")
         w, mark = w[order], mark[order]
+        # Adjacent letters alone give every word this much of a kernel with itself.
+        least = (sizes - 1) * DECAY ** 4 + 4 * np.maximum(sizes - 2, 0) * DECAY ** 6
         for at in range(0, len(w), 8192):
             i, m = w[at:at + 8192], mark[at:at + 8192]
             distinct, back = np.unique(i, return_inverse=True)
             texts = [words[k] for k in distinct]
-            width = max(map(len, texts))
-            s, own = _codes(texts, width, -1), _codes(texts, width, -2)
-            norm = np.sqrt(subsequence_kernel(s, own))
-            both = norm[back] * self.norm[m]
-            k = subsequence_kernel(s[back], self.codes[m])
-            out[i, m] = np.divide(k, both, out=np.zeros_like(k), where=both > 0) ** POWER
+            k = subsequence_kernel(_codes(texts, max(map(len, texts)), -1)[back], self.codes[m]) / self.norm[m]
+            good = k >= FLOOR * np.sqrt(least[i])
+            if good.any():
+                i, m, k = i[good], m[good], k[good]
+                distinct, back = np.unique(i, return_inverse=True)
+                texts = [words[n] for n in distinct]
+                width = max(map(len, texts))
+                own = subsequence_kernel(_codes(texts, width, -1), _codes(texts, width, -2))
+                k = k / np.sqrt(own[back])
+                out[i, m] = np.where(k >= FLOOR, k ** POWER, 0)
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -142,15 +161,19 @@ class WordKernel:
             return
         if len(self.seen) + len(new) > CACHE:
             self.seen.clear()
-            self.rows = self.rows[:1]
+            self.used = 1
             new = list(words)
         parts = [pieces(plain(w)) for w in new]
-        kernels = self._pairs([p for ps in parts for p in ps])
+        kernels = self.kernels([p for ps in parts for p in ps])
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         best = np.maximum.reduceat(kernels, np.cumsum(sizes) - sizes, axis=0)
         near = best.any(1)
-        index = np.where(near, len(self.rows) + np.cumsum(near) - 1, 0)
-        self.rows = np.concatenate([self.rows, best[near]])
+        count = int(near.sum())
+        while self.used + count > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        index = np.where(near, self.used + np.cumsum(near) - 1, 0)
+        self.rows[self.used:self.used + count] = best[near]
+        self.used += count
         self.seen.update(zip(new, index.tolist(), strict=True))
 
     def features(self, texts: list[str]) -> np.ndarray:
@@ -238,24 +261,23 @@ def candidate_counts(sample: DataFrame) -> DataFrame:
 
 
 def choose_landmarks(counts: DataFrame, bad_texts: int, good_texts: int) -> list[str]:
-    """Beginnings that mark toxic texts best, none of them a beginning of another, then common words."""
+    """Beginnings that mark toxic texts best, none of them a beginning of another."""
     odds = (F.col("bad") + 0.5) / (bad_texts + 1) / ((F.col("good") + 0.5) / (good_texts + 1))
     found = (
-        counts.where((F.col("bad") >= max(3, SUPPORT * bad_texts)) & (odds >= 8)).withColumn("gain", F.col("bad") * F.log(odds))
+        counts.where((F.col("bad") >= max(3, SUPPORT * bad_texts)) & (odds >= ODDS)).withColumn("gain", F.col("bad") * F.log(odds))
         .orderBy(F.desc("gain"), F.desc(F.length("mark")), "mark").limit(40 * MARKS).collect()
     )
     marks: list[str] = []
     for r in found:
         if len(marks) < MARKS and not any(r["mark"].startswith(m) or m.startswith(r["mark"]) for m in marks):
             marks.append(r["mark"])
-    usual = counts.where((F.col("good") > 0) & (odds < 2)).orderBy(F.desc("good"), "mark").limit(PLAIN).collect()
-    return marks + [r["mark"] for r in usual]
+    return marks
 
 
 def fit_machine(features: np.ndarray, toxic: np.ndarray, landmarks: list[str]) -> Machine:
     """Squared hinge loss with balanced classes on Nystroem features by gradient steps; then Platt."""
     y = np.where(toxic == 1, 1.0, -1.0)
-    kernel = WordKernel(landmarks)._pairs(landmarks).astype(float)
+    kernel = WordKernel(landmarks).kernels(landmarks).astype(float)
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     x = np.hstack([features @ root, np.ones((len(y), 1))])
