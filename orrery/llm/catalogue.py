@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontam, jaccard, packing, tokens, toxicity
+from orrery.llm import decontam, jaccard, packing, secret_scan, tokens, toxicity
 from orrery.llm.common import table
 from orrery.llm.encode import tokenizer_path
 
@@ -51,3 +51,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at five words and a similarity of 0.8 or more."""
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
