@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from orrery.llm.common import WORD, small_batches, text_of, written
+from orrery.llm.common import WORD, small_batches, text_of, tidy_shuffles, written
 from orrery.llm.graph import components
 
 WORDS = 5
@@ -194,8 +194,34 @@ def verify(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def near_copies(docs: DataFrame, similarity: float = ABOVE / BELOW) -> DataFrame:
     """doc_id, class_id, n_links for every row of `docs`."""
+    return _classes(docs, similarity).select("doc_id", "class_id", "n_links")
+
+
+def keep_first(docs: DataFrame, similarity: float = ABOVE / BELOW) -> DataFrame:
+    """One row of each class: the one with the smallest doc_id (any of its repeats), all columns kept.
+
+    Rows without shingles stay, and so do those of a class in which no row has a doc_id.
+    """
+    classes = written(_classes(docs, similarity), "near-copies")
+    kept = classes.where("doc_id <=> class_id").select("doc_id", "k1", "k2", "n")
+    rows, kept = kept.where("n > 0 AND doc_id IS NOT NULL").count(), kept.distinct()
+    repeats = rows - kept.where("n > 0 AND doc_id IS NOT NULL").count()
+    kept = kept.select(*[F.col(c).alias(f"_near_{c}") for c in kept.columns])
+    text = F.coalesce("text", F.lit(""))
+    out = docs.withColumns({"_near_1": F.xxhash64(text), "_near_2": F.xxhash64(F.lit(1), text)}).join(kept, F.expr(
+        "doc_id <=> _near_doc_id AND _near_1 = _near_k1 AND _near_2 = _near_k2"
+    ))
+    if repeats:
+        same = Window.partitionBy("_near_doc_id", "_near_1", "_near_2").orderBy("_near_n")
+        out = out.withColumn("_near_row", F.row_number().over(same)) \
+            .where("_near_row = 1 OR _near_n = 0 OR doc_id IS NULL")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
+    tidy_shuffles(spark)
     signed = written(signatures(docs.select("doc_id", "text")), "signatures")
     texts = signed.where("n > 0").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.first("labels").alias("labels")
@@ -240,6 +266,9 @@ def near_copies(docs: DataFrame, similarity: float = ABOVE / BELOW) -> DataFrame
     known = named.join(least, "root").select(
         "k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    full = signed.where("n > 0").select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    none = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    full = signed.where("n > 0").select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2"]) \
+        .select("doc_id", "class_id", "n_links", "k1", "k2", "n")
+    none = signed.where("n = 0").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "k1", "k2", "n"
+    )
     return full.unionAll(none)
