@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontam, toxicity
+from orrery.llm import decontam, jaccard, packing, secret_scan, toxicity
 from orrery.llm.common import table, written
+from orrery.llm.encode import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +16,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(~(toxicity.score(F.col("text"), machine) >= 0.5))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest doc_id."""
+    return jaccard.keep_first(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold too much of the benchmark."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack_sequences),
 ]
 
 # Training, string kernels and tokenizers have no SQL form: the pipeline is tested against brute force.
