@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontam, jaccard, packing, secret_scan, tokens, toxicity
+from orrery.llm import decontam, jaccard, packing, quality, secret_scan, tokens, toxicity, url_rules
 from orrery.llm.common import table
 from orrery.llm.encode import tokenizer_path
 
@@ -57,3 +57,18 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found in every document."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules for every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_quality_rules"] = quality.ORACLE
+
+
+@query
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page."""
+    return url_rules.judge(table(spark, sf_dir, "pages"))
