@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontam, jaccard, packing, quality, secret_scan, tokens, toxicity, url_rules
+from orrery.llm import decontam, html_text, jaccard, packing, quality, secret_scan, tokens, toxicity, url_rules
 from orrery.llm.common import table
 from orrery.llm.encode import tokenizer_path
 
@@ -72,3 +72,9 @@ ORACLES["op5_quality_rules"] = quality.ORACLE
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for the url of every page."""
     return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
