@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import re
 
 import numpy as np
 
+from orrery.llm.common import SPACE
+
 # White space beyond ASCII, or that libraries see differently: such texts are encoded in one piece.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-S = " \t\n\r\f\v"
 # A word with the space before it, or white space up to the last character before a word.
-BYTE_CHUNKS = re.compile(f" ?[^{S}]+|[{S}]+(?![^{S}])|[{S}]+")
-WORD_CHUNKS = re.compile(f"[^{S}]+")
-CACHE, LONG = 250_000, 64
+BYTE_CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+WORD_CHUNKS = re.compile(f"[^{SPACE}]+")
+# Characters whose classes are the same in every library, and of these the letters and numbers.
+PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
+L, N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+# How the two tokenizer files cut a text into pieces for their merges.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+WORD_SPLIT = CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same cuts in plain characters.
+BYTE_PIECES = re.compile(rf"{CONTRACTIONS}| ?[{L}]+| ?[{N}]+| ?[^{SPACE}{L}{N}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+WORD_PIECES = re.compile(rf"{CONTRACTIONS}|[{L}]+|[{N}]|[^{SPACE}{L}{N}]+")
+CACHE, LONG = 400_000, 64
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself if it can be printed, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,11 +41,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Known(dict):
+    """Ids of chunks as bytes; a missing one is encoded and kept, and all are dropped when too many are."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """encode(texts) gives the ids of Tokenizer.encode_batch(texts, add_special_tokens=False).
+    """encode(text) gives the ids of Tokenizer.encode(text, add_special_tokens=False).
 
-    Where the tokenizer never joins characters across white space, texts are cut there and the ids of
-    each distinct chunk are kept; any other tokenizer gets the whole text.
+    A text of plain characters is cut into the tokenizer's pieces here, and its model encodes each
+    distinct piece once. Other texts are cut at white space, where the tokenizer never joins
+    characters across it, and each distinct chunk goes through the whole tokenizer; for any other
+    tokenizer the whole text does.
     """
 
     def __init__(self, path: str):
@@ -39,37 +75,39 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
-        first = (before.get("pretokenizers") or [before])[0]
-        self.chunks, self.odd = None, None
-        if first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not norm:
-            self.chunks, self.odd = BYTE_CHUNKS, ODD_SPACE
-        elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
-            if first["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+"):
-                self.chunks = WORD_CHUNKS
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        safe = [x.encode("utf-8", "replace").decode() for x in texts]
-        found = self.tokenizer.encode_batch(safe, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        steps = before.get("pretokenizers") or [before]
+        self.chunks, self.odd, self.pieces = None, None, None
+        if steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space") and not norm:
+            self.chunks, self.odd, self.pieces = BYTE_CHUNKS, ODD_SPACE, BYTE_PIECES
+        elif steps[0].get("type") == "Split" and (steps[0].get("pattern") or {}).get("Regex") == WORD_SPLIT and steps[1].get("type") == "ByteLevel":
+            self.chunks, self.pieces = WORD_CHUNKS, WORD_PIECES
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = (np.dtype("=u2"), "H") if small else (np.dtype("=u4"), "I")
+        self.letters = byte_letters()
+        self.space = chr(self.letters[32])
+        self.model, self.lower = self.tokenizer.model, self.pieces is WORD_PIECES
+        self.piece_ids, self.chunk_ids = Known(self._piece), Known(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        safe = text.encode("utf-8", "replace").decode()
+        return array.array(self.code, self.tokenizer.encode(safe, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", self.space)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return array.array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if self.chunks is None or (self.odd is not None and self.odd.search(text)):
-            return np.frombuffer(self._raw([text])[0], self.dtype)
-        chunks = self.chunks.findall(text)
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        passing = {}
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, ids in zip(new, self._raw(new), strict=True):
-                (self.known if len(c) <= LONG and len(new) <= CACHE else passing)[c] = ids
-        known = self.known
-        if passing:
-            return np.frombuffer(b"".join([known[c] if c in known else passing[c] for c in chunks]), self.dtype)
-        return np.frombuffer(b"".join([known[c] for c in chunks]), self.dtype)
+        if self.pieces and PLAIN.fullmatch(text):
+            pieces = self.pieces.findall(text.lower() if self.lower else text)
+            ids = b"".join(map(self.piece_ids.__getitem__, pieces))
+        elif self.chunks and not (self.odd and self.odd.search(text)):
+            ids = b"".join(map(self.chunk_ids.__getitem__, self.chunks.findall(text)))
+        else:
+            ids = self._whole(text)
+        return np.frombuffer(ids, self.dtype)
 
     def with_end(self, text: str, end: int) -> np.ndarray:
         ids = self.encode(text)
