@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.llm.common import small_batches, spans_of, text_of
+from orrery.llm.common import small_batches, spans_of, text_of, written
 
 WINDOW = 13
 # Words of a block in the shift table.
@@ -140,17 +140,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
     parts = max(1, -(-chars // table_chars))
-    found = None
+    names = docs.columns
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = [(r["item_id"], r["text"]) for r in mine.toLocalIterator()]
-        one = _search(rows, spark, F.col("text"), window)
-        docs = docs.withColumn("_bench", one if found is None else F.lit(None))
-        if found is not None:
-            docs = docs.withColumn("_bench_more", one).withColumn("_bench", _merge(found, F.col("_bench_more"))).drop("_bench_more")
-        docs = docs.withColumnRenamed("_bench", "_bench_found")
-        found = F.col("_bench_found")
-    return docs.withColumnRenamed("_bench_found", "_bench")
+        docs = docs.withColumn("_bench_part", _search(rows, spark, F.col("text"), window))
+        both = _merge(F.col("_bench"), F.col("_bench_part")) if part else F.col("_bench_part")
+        docs = docs.select(*[F.col(f"`{c}`") for c in names], both.alias("_bench"))
+        if part < parts - 1:  # a worker holds one table at a time
+            docs = written(docs, "decontamination")
+    return docs
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:

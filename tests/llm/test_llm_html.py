@@ -16,7 +16,7 @@ CASES = [
     ("<table><caption>cap</caption><tr><td>a<table><tr><td>in</table><td>b</table>", "cap\na in  b"),
     ("<pre>  a\n   b</pre>", "  a\n   b"), ("&lt;b&gt; &amp;amp; &eacute;&nbsp;x", "<b> &amp; é\xa0x"),
     ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
-    ("<select><option>a<option>b</select>", "ab"), ("</p></div>a</b>", "a"), ("a < b and <3", "a < b and <3"),
+    ("<select><option>a<option>b</select>", "a\nb"), ("</p></div>a</b>", "a"), ("a < b and <3", "a < b and <3"),
     ("<a title='>'>x</a>", "x"), ("<textarea><b>raw</b></textarea>", "<b>raw</b>"), ("<SCRIPT>x</Script>y", "y"), ("<script>never ends", ""),
     ("<dl><dt>k<dd>v<dt>l<dd>w</dl>", "k\nv\nl\nw"), ("<p>a<div>b</div>c", "a\n\nb\nc"), ("<input type=submit value=Go> <img alt=x>", "Go"),
 ]
