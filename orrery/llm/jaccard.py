@@ -208,7 +208,7 @@ def keep_first(docs: DataFrame, similarity: float = ABOVE / BELOW) -> DataFrame:
     repeats = rows - kept.where("n > 0 AND doc_id IS NOT NULL").count()
     kept = kept.select(*[F.col(c).alias(f"_near_{c}") for c in kept.columns])
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumns({"_near_1": F.xxhash64(text), "_near_2": F.xxhash64(F.lit(1), text)}).join(kept, F.expr(
+    out = docs.withColumns({"_near_1": F.xxhash64(text), "_near_2": F.xxhash64(F.lit(1), text)}).join(kept.hint("merge"), F.expr(
         "doc_id <=> _near_doc_id AND _near_1 = _near_k1 AND _near_2 = _near_k2"
     ))
     if repeats:
@@ -245,7 +245,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
 
     wanted = placed.withColumnRenamed("keeper", "doc_id").alias("p")
     rows = keyed(docs).alias("d").join(
-        wanted, F.expr("d.k1 = p.k1 AND d.k2 = p.k2 AND d.doc_id <=> p.doc_id")
+        wanted.hint("merge"), F.expr("d.k1 = p.k1 AND d.k2 = p.k2 AND d.doc_id <=> p.doc_id")
     ).select("d.text", "p.text_id", "p.root", "p.block", "p.copies")
     rows = rows.mapInPandas(hashes, "text_id long, root long, block int, copies long, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
