@@ -67,7 +67,8 @@ def segments(words: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _hashed(text: str, known: WordHashes) -> np.ndarray:
-    return np.array([known[w] for w in WORD.findall(text)], np.uint64)
+    words = WORD.findall(text)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -81,13 +82,13 @@ def cut(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for b in batches:
-            for doc_id, text, tk in zip(b["doc_id"], b["text"], b["tk"], strict=True):
-                start, windows, anchor, s1, s2 = segments(_hashed(text_of(text), known))
-                if start.size:
-                    yield pd.DataFrame({
-                        "doc_id": np.int64(doc_id), "tk": np.int64(tk), "start": start.astype(np.int32),
-                        "windows": windows.astype(np.int32), "anchor": anchor, "s1": s1, "s2": s2,
-                    })
+            found = [segments(_hashed(text_of(text), known)) for text in b["text"]]
+            count = [x[0].size for x in found]
+            start, windows, anchor, s1, s2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pd.DataFrame({
+                "doc_id": np.repeat(b["doc_id"].to_numpy(np.int64), count), "tk": np.repeat(b["tk"].to_numpy(np.int64), count),
+                "start": start.astype(np.int32), "windows": windows.astype(np.int32), "anchor": anchor, "s1": s1, "s2": s2,
+            })
 
     return rows_of(docs.where("doc_id IS NOT NULL AND text IS NOT NULL")).mapInPandas(run, SEGMENTS)
 
@@ -246,7 +247,7 @@ def search_shard(pdf: pd.DataFrame, shard_words: int = SHARD_WORDS) -> pd.DataFr
     some = [i for i, h in enumerate(hit) if h.any()]
     return pd.DataFrame({
         "s1": pdf["s1"].to_numpy()[some], "s2": pdf["s2"].to_numpy()[some],
-        "spans": [[{"start": s, "end": e} for s, e in spans_of(hit[i])] for i in some],
+        "spans": pd.Series([[{"start": s, "end": e} for s, e in spans_of(hit[i])] for i in some], dtype=object),
     })
 
 
@@ -255,49 +256,48 @@ def shared_spans(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     tidy_shuffles(spark)
-    all_cut = cut(docs)
+    all_cut = written(cut(docs), "segments")
     distinct = all_cut.groupBy("s1", "s2").agg(
-        F.min(F.struct("doc_id", "tk", "start", "windows")).alias("rep"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor")
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor")
     )
-    distinct = written(distinct, "segments")
-    anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("rep.doc_id").alias("lo"), F.max("rep.doc_id").alias("hi"))
-    shared = written(
-        distinct.join(anchors.where("n > 1 OR lo < hi"), "anchor", "left").withColumn("search", F.coalesce(F.expr("lo < hi"), F.lit(False)))
-        .where("search OR last > rep.doc_id").select("s1", "s2", "rep", "anchor", "search"), "shared"
-    )
-    searched = shared.where("search")
-    total = searched.agg(F.coalesce(F.sum(F.col("rep.windows") + WINDOW), F.lit(0))).head()[0]
+    distinct = written(distinct, "texts")
+    # Segments are asked for where their anchor has others, of different documents.
+    anchors = distinct.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi")
+    shared = distinct.join(anchors, "anchor", "left").withColumn("search", F.col("lo").isNotNull()) \
+        .where("search OR last > least").select("s1", "s2", "least", "search")
+    rows = all_cut.join(shared, ["s1", "s2"]).withColumn("copy", F.col("doc_id") > F.col("least")).where("copy OR search")
+    rows = written(rows.drop("least"), "shared")
+    asked = rows.where("search AND NOT copy")
+    total = asked.agg(F.coalesce(F.sum(F.col("windows") + WINDOW), F.lit(0))).head()[0]
     shards = max(1, -(-total // shard_words))
-    wanted = searched.groupBy("rep.doc_id", "rep.tk").agg(F.collect_list(F.struct(
-        F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows"), "anchor", "s1", "s2"
-    )).alias("cuts"))
+    wanted = asked.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "windows", "anchor", "s1", "s2")).alias("cuts"))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = {"doc_id": [], "anchor": [], "s1": [], "s2": [], "words": []}
             for r in b.itertuples(index=False):
                 words = WORD.findall(r.text)
-                yield pd.DataFrame({
-                    "doc_id": np.int64(r.doc_id), "anchor": [c["anchor"] for c in r.cuts], "s1": [c["s1"] for c in r.cuts],
-                    "s2": [c["s2"] for c in r.cuts],
-                    "words": [" ".join(words[c["start"]:c["start"] + c["windows"] + WINDOW - 1]) for c in r.cuts],
-                })
+                out["doc_id"] += [r.doc_id] * len(r.cuts)
+                for k in ("anchor", "s1", "s2"):
+                    out[k] += [c[k] for c in r.cuts]
+                out["words"] += [" ".join(words[c["start"]:c["start"] + c["windows"] + WINDOW - 1]) for c in r.cuts]
+            yield pd.DataFrame(out)
 
     # Rows with equal id and text are one source of the segment's words.
-    parts = rows_of(docs).join(wanted, ["doc_id", "tk"]).select("doc_id", "text", "cuts") \
+    parts = rows_of(docs).join(wanted.hint("merge"), ["doc_id", "tk"]).select("doc_id", "text", "cuts") \
         .mapInPandas(texts, "doc_id long, anchor long, s1 long, s2 long, words string")
     found = parts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(
         lambda pdf: search_shard(pdf.drop_duplicates(["s1", "s2"]), shard_words),
         "s1 long, s2 long, spans array<struct<start:int,end:int>>",
     )
     found = written(found, "found")
-    named = shared.select("s1", "s2", F.col("rep.doc_id").alias("least")).join(found, ["s1", "s2"], "left")
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("end")))
     moved = F.transform("spans", lambda s: F.struct(
         (s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")
     ))
-    spans = all_cut.drop("anchor").join(named, ["s1", "s2"]).select(
-        "doc_id", "tk", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(moved).alias("spans")
-    ).where("spans IS NOT NULL")
+    spans = rows.where("copy").select("doc_id", "tk", whole.alias("spans")).unionAll(
+        asked.join(found, ["s1", "s2"]).select("doc_id", "tk", moved.alias("spans"))
+    )
     return spans.groupBy("doc_id", "tk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
@@ -322,6 +322,6 @@ def dedup(docs: DataFrame, shard_words: int = SHARD_WORDS, with_text: bool = Fal
                 del out["kept"]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").array} | out)
 
-    rows = rows_of(docs).join(spans, ["doc_id", "tk"], "left").select("doc_id", "text", "spans")
+    rows = rows_of(docs).join(spans.hint("merge"), ["doc_id", "tk"], "left").select("doc_id", "text", "spans")
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return rows.mapInPandas(keep, fields + (", kept string" if with_text else ""))
