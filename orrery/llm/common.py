@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orrery.session import fresh_path
 
@@ -40,6 +40,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def built_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with more columns, as a generator's output: filters on them stay above it, so that heavy
+    expressions are evaluated once a row and are never written out inside each other's lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def text_of(value) -> str:
     """Null and NaN as the empty text."""
     return value if isinstance(value, str) else ""

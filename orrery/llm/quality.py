@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.llm.common import built_once
+
 WINDOW = 8
 # Usual function words of the four languages, in lower case.
 STOP_WORDS = {
@@ -83,16 +85,15 @@ def counts(docs: DataFrame) -> DataFrame:
     )
     docs = _repeated(docs.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))))
     lines = lambda pattern: _size(F.filter("_lines", lambda line: line.rlike(pattern)))
-    return docs.select(
-        "doc_id", _size(F.col("_words")).alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (_size(F.col("_lines")) - _size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        F.col("_repeat").alias("n_repeat_words"), _size(F.col("_lines")).alias("n_lines"),
-        _size(F.filter("_words", lambda w: F.lower(w).isin(stop_words()))).alias("n_stop_words"),
-        F.regexp_count("_text", F.lit("[A-Z][A-Z]+")).cast("long").alias("n_shouted"),
-        lines("(\\.\\.\\.|…)[ \\t-\\r]*$").alias("n_ellipsis_lines"), lines("^[ \\t]*[-*•]").alias("n_bullet_lines"),
-    )
+    return built_once(docs, {
+        "n_words": _size(F.col("_words")), "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": _size(F.col("_lines")) - _size(F.array_distinct("_lines")),
+        "n_repeat_words": F.col("_repeat"), "n_lines": _size(F.col("_lines")),
+        "n_stop_words": _size(F.filter("_words", lambda w: F.lower(w).isin(stop_words()))),
+        "n_shouted": F.regexp_count("_text", F.lit("[A-Z][A-Z]+")).cast("long"),
+        "n_ellipsis_lines": lines("(\\.\\.\\.|…)[ \\t-\\r]*$"), "n_bullet_lines": lines("^[ \\t]*[-*•]"),
+    }).drop("_text", "_words", "_lines", "_hashes", "_windows", "_sorted", "_equal", "_repeat")
 
 
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:

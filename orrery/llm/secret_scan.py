@@ -19,6 +19,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.llm.common import built_once
+
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 # The whole match must have the given number of characters; of `assign`, the value must.
 PATTERNS = {
@@ -120,13 +122,12 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """`docs` with array columns _assign, _access, _hex and _markov of (start, end)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumns({f"_{k}": base_spans(body, k) for k in PATTERNS})
+    docs = built_once(docs, {f"_{k}": base_spans(body, k) for k in PATTERNS} | {
+        "_tokens": _matches(body, TOKEN, lambda m: ratio_of(m, ratios) > THRESHOLD)
+    })
     base = F.concat("_assign", "_access", "_hex")
-    return docs.withColumn("_tokens", _matches(body, TOKEN, lambda m: ratio_of(m, ratios) > THRESHOLD)).withColumn(
-        "_markov", F.when(F.size("_tokens") > 0, F.filter("_tokens", lambda t: ~F.exists(
-            base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])
-        ))).otherwise(F.col("_tokens"))
-    ).drop("_tokens")
+    free = F.filter("_tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return built_once(docs, {"_markov": F.when(F.size("_tokens") > 0, free).otherwise(F.col("_tokens"))}).drop("_tokens")
 
 
 def _named(kinds: list[str]) -> Column:
