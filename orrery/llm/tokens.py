@@ -2,7 +2,7 @@
 
 `write_tokens` encodes texts in ascending doc_id order (range partitions, so no task holds all)
 and writes one parquet file a shard. A row is a block: the documents' ids and lengths, and a
-wavelet matrix of their tokens, each plane deflated. `read_documents` gets every id back,
+wavelet matrix of their tokens, each plane compressed. `read_documents` gets every id back,
 `token_at`, `token_counts` and `occurrences` ask the matrix by access, rank and select without
 decoding it.
 

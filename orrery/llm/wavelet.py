@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 BLOCK = 64  # bits of a rank block
 HEAD = "<4sBQ"
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 
 
 class BitPlane:
-    """Bits with counts of ones before each block of 64."""
+    """Bits with counts of ones before each block of 64, counted when first asked for."""
 
-    def __init__(self, packed: np.ndarray, size: int):
+    def __init__(self, packed: np.ndarray, size: int, zeros: int | None = None):
         pad = -len(packed) % 8
         self.words = np.concatenate([packed, np.zeros(pad + 8, np.uint8)]).view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
-        self.size, self.ones = size, int(self.before[-1])
-        self.zeros = size - self.ones
+        self.size = size
+        self.zeros = size - int(np.bitwise_count(self.words).sum()) if zeros is None else zeros
 
-    @classmethod
-    def of(cls, bits: np.ndarray) -> BitPlane:
-        return cls(np.packbits(bits, bitorder="little"), len(bits))
+    @functools.cached_property
+    def before(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+
+    def bools(self) -> np.ndarray:
+        return np.unpackbits(self.words.view(np.uint8), bitorder="little", count=self.size).view(bool)
 
     def bit(self, i):
         return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)
@@ -54,12 +57,15 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, symbols: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, now = [], np.asarray(symbols, np.uint32)
+        now = np.asarray(symbols, np.uint16 if bits <= 16 else np.uint32)
+        planes, size = [], len(now)
         for b in range(bits - 1, -1, -1):
-            ones = (now >> np.uint32(b)) & np.uint32(1) == 1
-            planes.append(BitPlane.of(ones))
-            now = np.concatenate([now[~ones], now[ones]])
-        return cls(planes, len(now))
+            ones = (now & now.dtype.type(1 << b)) != 0
+            zero = np.compress(~ones, now)
+            planes.append(BitPlane(np.packbits(ones, bitorder="little"), size, len(zero)))
+            if b:
+                now = np.concatenate([zero, np.compress(ones, now)])
+        return cls(planes, size)
 
     def access(self, i) -> np.ndarray:
         i = np.asarray(i, np.int64).copy()
@@ -105,21 +111,25 @@ class WaveletMatrix:
         return self.select(symbol, np.arange(self.count(symbol)))
 
     def symbols(self) -> np.ndarray:
-        """All symbols in order: one pass over each plane."""
-        place = np.arange(self.size)
-        out = np.zeros(self.size, np.uint32)
-        for p in self.planes:
-            bits = np.unpackbits(p.words.view(np.uint8), bitorder="little", count=self.size).astype(bool)
-            to = np.where(bits, p.zeros + np.cumsum(bits) - 1, np.cumsum(~bits) - 1)
-            out = out << np.uint32(1) | bits[place]
-            place = to[place]
-        return out
+        """All symbols in order: each plane, from the last, puts its zeros and ones back in place."""
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.size, kind)
+        for level in range(len(self.planes) - 1, -1, -1):
+            p = self.planes[level]
+            ones = p.bools()
+            now[p.zeros:] |= kind(1 << (len(self.planes) - 1 - level))
+            out = np.empty_like(now)
+            out[np.flatnonzero(~ones)] = now[:p.zeros]
+            out[np.flatnonzero(ones)] = now[p.zeros:]
+            now = out
+        return now
 
     def to_bytes(self) -> bytes:
+        squeeze = zstandard.ZstdCompressor(level=1)
         parts = [struct.pack(HEAD, MAGIC, len(self.planes), self.size)]
         for p in self.planes:
-            packed = zlib.compress(p.words.view(np.uint8)[:(self.size + 7) // 8].tobytes(), 1)
-            parts += [struct.pack("<I", len(packed)), packed]
+            packed = squeeze.compress(p.words.view(np.uint8)[:(self.size + 7) // 8].tobytes())
+            parts += [struct.pack("<QI", p.zeros, len(packed)), packed]
         return b"".join(parts)
 
     @classmethod
@@ -127,9 +137,10 @@ class WaveletMatrix:
         magic, bits, size = struct.unpack_from(HEAD, blob)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix")
-        at, planes = struct.calcsize(HEAD), []
+        at, planes, open_ = struct.calcsize(HEAD), [], zstandard.ZstdDecompressor()
         for _ in range(bits):
-            (n,) = struct.unpack_from("<I", blob, at)
-            planes.append(BitPlane(np.frombuffer(zlib.decompress(blob[at + 4:at + 4 + n]), np.uint8), size))
-            at += 4 + n
+            zeros, n = struct.unpack_from("<QI", blob, at)
+            at += struct.calcsize("<QI")
+            planes.append(BitPlane(np.frombuffer(open_.decompress(blob[at:at + n]), np.uint8), size, zeros))
+            at += n
         return cls(planes, size)
