@@ -51,42 +51,42 @@ LIVE = f"(SELECT *, {NET} AS net FROM {STAR.format(j='')} WHERE o_orderstatus <>
 
 @query("model_query", f"SELECT r_name AS region, date_trunc('year', o_orderdate)::DATE AS order_year, round(sum(net), 4) AS revenue, count(*) AS lines FROM {LIVE} GROUP BY 1, 2")
 def model_query(t):
-    return trade(t).query(["region", "order_year"], ["revenue", "lines"])
+    return trade(t).query(["region", "order_year"], ["revenue", "lines"], unsecured=True)
 
 
 @query("prune_joins", f"SELECT c_mktsegment AS segment, round(sum(net), 4) AS revenue FROM {LIVE} GROUP BY 1")
 def prune_joins(t):
     """Part and supplier hang on left joins and are not read; the inner joins all stay."""
-    return trade(t).query(["segment"], ["revenue"])
+    return trade(t).query(["segment"], ["revenue"], unsecured=True)
 
 
 @query("model_scoped_filter", f"SELECT p_brand AS brand, count(*) AS lines FROM {LIVE} LEFT JOIN part ON l_partkey = p_partkey WHERE p_size < 40 GROUP BY 1")
 def model_scoped_filter(t):
-    return trade(t).query(["brand"], ["lines"])
+    return trade(t).query(["brand"], ["lines"], unsecured=True)
 
 
 @query("model_two_facts", f"""SELECT region, lines, order_total FROM (SELECT r_name AS region, count(*) AS lines FROM {LIVE} GROUP BY 1) FULL JOIN
     (SELECT r_name AS region, round(sum(o_totalprice), 2) AS order_total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus <> 'P' GROUP BY 1) USING (region)""")
 def model_two_facts(t):
     """Order totals are not multiplied by the lines."""
-    return trade(t).query(["region"], ["lines", "order_total"])
+    return trade(t).query(["region"], ["lines", "order_total"], unsecured=True)
 
 
 @query("model_semi_additive", """WITH b AS (SELECT c_mktsegment AS segment, o_orderdate, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
     SELECT b.segment, any_value(n) AS orders, round(sum(o_totalprice), 2) AS closing FROM b JOIN (SELECT segment, max(o_orderdate) AS d, count(*) AS n FROM b GROUP BY 1) e ON b.segment = e.segment AND b.o_orderdate = e.d GROUP BY 1""")
 def model_semi_additive(t):
-    return trade(t).query(["segment"], ["orders", "closing"]).withColumn("closing", R("closing", 2))
+    return trade(t).query(["segment"], ["orders", "closing"], unsecured=True).withColumn("closing", R("closing", 2))
 
 
 @query("model_dimension_only", "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def model_dimension_only(t):
     """Without a measure only the dimension tables are read."""
-    return trade(t).query(["nation", "region"])
+    return trade(t).query(["nation", "region"], unsecured=True)
 
 
 @query("model_parameter", f"SELECT n_name AS nation, count(*) AS lines FROM {LIVE} WHERE o_totalprice >= 300000 GROUP BY 1 HAVING count(*) > 100")
 def model_parameter(t):
-    return trade(t).query(["nation"], ["lines"], filters=[(("orders",), (), "o_totalprice >= {least}")], parameters={"least": 300000.0}, having="lines > 100")
+    return trade(t).query(["nation"], ["lines"], filters=[(("orders",), (), "o_totalprice >= {least}")], parameters={"least": 300000.0}, having="lines > 100", unsecured=True)
 
 
 @query("model_row_rule", f"SELECT c_mktsegment AS segment, round(sum(net), 4) AS revenue, round(sum(net * (1 + l_tax)), 4) AS charge FROM {LIVE} WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY 1")
@@ -98,4 +98,33 @@ def model_row_rule(t):
 
 @query("model_role_playing", f"SELECT n.n_name AS seller, l.n_name AS nation, count(*) AS lines FROM {LIVE} l LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation n ON s_nationkey = n.n_nationkey GROUP BY 1, 2")
 def model_role_playing(t):
-    return trade(t).query(["seller", "nation"], ["lines"])
+    return trade(t).query(["seller", "nation"], ["lines"], unsecured=True)
+
+
+FACT_TOTALS = "SELECT r_name AS region, {m} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus <> 'P' GROUP BY 1"
+
+
+@query("model_two_facts_formula", f"""SELECT region, revenue, order_total FROM (SELECT r_name AS region, round(sum(net), 4) AS revenue FROM {LIVE} GROUP BY 1)
+    FULL JOIN ({FACT_TOTALS.format(m='round(sum(o_totalprice), 2) AS order_total')}) USING (region)""")
+def model_two_facts_formula(t):
+    """A formula of one fact does not concern the other."""
+    return trade(t).query(["region"], ["revenue", "order_total"], unsecured=True)
+
+
+@query("model_fact_filter", f"""SELECT region, lines, order_total FROM (SELECT r_name AS region, count(*) AS lines FROM {LIVE} WHERE l_quantity > 25 GROUP BY 1)
+    FULL JOIN ({FACT_TOTALS.format(m='round(sum(o_totalprice), 2) AS order_total')}) USING (region)""")
+def model_fact_filter(t):
+    """A filter on one fact's own table leaves the other's rows alone."""
+    return trade(t).query(["region"], ["lines", "order_total"], filters=[(("lineitem",), (), "l_quantity > 25")], unsecured=True)
+
+
+@query("model_column_rule", f"SELECT c_mktsegment AS segment, round(sum(net), 4) AS revenue FROM {LIVE} WHERE r_name = 'ASIA' GROUP BY 1")
+def model_column_rule(t):
+    """A user without the group gets what is not restricted."""
+    return trade(t).query(["segment"], ["revenue"], user=User("bo", user_variables={"region": ["ASIA"]}))
+
+
+@query("model_row_rule_default", f"SELECT count(*) AS lines FROM {LIVE} WHERE false")
+def model_row_rule_default(t):
+    """A user without values for the rule counts no row."""
+    return trade(t).query([], ["lines"], user=User("cy"))

@@ -144,7 +144,7 @@ def log(t):
         F.when(k > 80, names("status")).otherwise(names()).alias("filter_columns"))
 
 
-PLANS = [P.decompose_measure(P.Measure("revenue", "SUM", "net")), P.decompose_measure(P.Measure("buyers", "UNIQUE_COUNT", "customer"))]
+PLANS = [P.stored(P.Measure("revenue", "SUM", "net")), P.stored(P.Measure("buyers", "UNIQUE_COUNT", "customer"))]
 _ID = "concat_ws('|', array_to_string(dimensions, '+'), coalesce(date_column, '-'), coalesce(bucket, '-'), array_to_string(measures, '+'), array_to_string(filter_columns, '+'))"
 SHAPES = f"shapes AS (SELECT {_ID} AS shape_id, dimensions, date_column, bucket, measures, filter_columns, count(*)::DOUBLE AS weight FROM log GROUP BY ALL)"
 shapes = lambda t: A.query_shapes(log(t), SHAPE_KEYS)

@@ -9,12 +9,14 @@ small beside the data; still nothing is collected but one chosen row per round.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.dates import BUCKETS
 from orrery.operators.keys import join_on
-from orrery.operators.rollups import Plan, bucket_covers
+from orrery.operators.rollups import MAKES, Plan
 from orrery.session import shared_dir
 
 
@@ -34,15 +36,16 @@ def query_shapes(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counted.withColumn("shape_id", F.concat_ws("|", *parts))
 
 
-def extract_group_by(text: Column) -> tuple[Column, Column]:
-    """Plain names in the GROUP BY of a SQL text (upper case, unquoted), and whether a term was dropped."""
-    clause = F.regexp_extract(text, r"(?is)group\s+by\s+(.+?)(?:\border\b|\bhaving\b|\blimit\b|;|$)", 1)
-    # Commas inside parentheses belong to a call, which is dropped as a whole.
-    flat = F.regexp_replace(clause, r"\([^()]*\)", "()")
-    terms = F.filter(F.transform(F.split(flat, ","), lambda p: F.upper(F.trim(p))), lambda p: p != "")
-    plain = F.filter(terms, lambda p: p.rlike(r'^[A-Z0-9_."`]+$'))
-    names = F.transform(plain, lambda p: F.translate(p, '"`', ""))
-    return names, F.size(plain) < F.size(terms)
+def grouped_names(text: Column) -> tuple[Column, Column]:
+    """The terms of a query's GROUP BY that are names (upper case, unquoted), and whether it has others."""
+    after = F.get(F.split(text, r"(?i)\bgroup\s+by\b"), F.lit(1))
+    clause = F.get(F.split(after, r"(?i)\b(?:order|having|limit)\b|;"), F.lit(0))
+    # A comma inside the parentheses of a call does not end a term.
+    terms = F.transform(F.regexp_extract_all(clause, F.lit(r"(?:[^,(]|\([^)]*\))+"), F.lit(0)), lambda t: F.trim(t))
+    terms = F.filter(F.coalesce(terms, _empty()), lambda t: F.length(t) > 0)
+    bare = F.transform(terms, lambda t: F.upper(F.translate(t, '"`', "")))
+    names = F.filter(bare, lambda t: F.regexp_count(t, F.lit(r"[^\w.]")) == 0)
+    return names, F.size(names) != F.size(terms)
 
 
 def mine_query_log(log: DataFrame, text: str, names: Mapping[str, str] | None = None) -> DataFrame:
@@ -50,7 +53,7 @@ def mine_query_log(log: DataFrame, text: str, names: Mapping[str, str] | None =
 
     `names` maps physical names to those of the model; unknown ones are left out.
     """
-    cols, dropped = extract_group_by(F.col(text))
+    cols, dropped = grouped_names(F.col(text))
     parsed = log.select(cols.alias("columns"), dropped.alias("had_dropped"))
     if names is not None:
         table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
@@ -82,9 +85,9 @@ def weigh_shapes(shapes: DataFrame, mined: DataFrame) -> DataFrame:
 
 
 def _bucket_ok(have: Column, want: Column) -> Column:
-    """`bucket_covers` on columns."""
-    pairs = [h + ">" + w for h in BUCKETS for w in BUCKETS if bucket_covers(h, w)]
-    return have.isNull() | F.coalesce(F.concat(have, F.lit(">"), want).isin(pairs), F.lit(False))
+    """`rollups.regroups` on columns."""
+    fits = [(have == kept) & want.isin(*asked) for kept, asked in MAKES.items()]
+    return F.coalesce(reduce(or_, fits), F.lit(False)) | have.isNull()
 
 
 def coverage(shapes: DataFrame, candidates: DataFrame, plans: Sequence[Plan]) -> DataFrame:
@@ -142,13 +145,14 @@ def consolidation_report(shapes: DataFrame, candidates: DataFrame, plans: Sequen
 
 
 def candidate_grains(
-    shapes: DataFrame, plans: Sequence[Plan], similar: float = 0.5, max_width: int = 8, consolidatable: Sequence[str] = ()
+    shapes: DataFrame, plans: Sequence[Plan], similar: float = 0.5, wide: int = 8, consolidatable: Sequence[str] = ()
 ) -> DataFrame:
     """Grains worth storing: those of the shapes, unions of similar ones, and one of all columns.
 
     Sets are similar if they share at least the given part of their union. Pairs are
-    found on a shared column among the first few of each set: a pair that is similar
-    enough always shares one of those. The bucket is the finest that a served shape asks for.
+    found on a shared column among the first few of each sorted set. This loses no pair: sets of a
+    and b columns that share too few to meet there are below the wanted likeness. Grains of more
+    than `wide` columns are kept and flagged. The bucket is the finest that a served shape asks for.
     """
     cols = F.array_sort(F.array_union("dimensions", F.array_remove("filter_columns", F.coalesce(F.col("date_column"), F.lit("")))))
     base = shapes.select(cols.alias("dims"), "date_column").distinct()
@@ -163,7 +167,7 @@ def candidate_grains(
     grains = base.unionByName(merged)
     if consolidatable:
         listed = F.array_intersect(F.array_distinct(F.flatten(F.collect_set("dims"))), F.array(*[F.lit(c) for c in consolidatable]))
-        whole = base.groupBy("date_column").agg(F.array_sort(listed).alias("dims")).filter(F.size("dims").between(2, max_width))
+        whole = base.groupBy("date_column").agg(F.array_sort(listed).alias("dims")).filter(F.size("dims") >= 2)
         grains = grains.unionByName(whole.select("dims", "date_column"))
     grains = grains.distinct().select(
         F.concat_ws("|", F.array_join("dims", "+"), F.coalesce("date_column", F.lit("-"))).alias("rollup_id"),
@@ -180,14 +184,15 @@ def candidate_grains(
     named = F.coalesce(*[F.when(F.col("_f") == i, F.lit(b)) for i, b in enumerate(BUCKETS)])
     return join_on(grains.drop("bucket"), finest, ["rollup_id"]).select(
         "rollup_id", "dimensions", "date_column", F.when(~F.col("_raw"), named).alias("bucket"), "covered",
-        (F.size("dimensions") > max_width).alias("wide_grain"),
+        (F.size("dimensions") > wide).alias("wide_grain"),
     )
 
 
-def choose_rollups(shapes: DataFrame, candidates: DataFrame, plans: Sequence[Plan], base_rows: int, rounds: int = 10) -> DataFrame:
+def choose_rollups(shapes: DataFrame, candidates: DataFrame, plans: Sequence[Plan], base_rows: int, rounds: int | None = None) -> DataFrame:
     """Greedy choice by rows saved times weight against the best choice so far.
 
-    Each round groups the coverage once and brings one row to the driver. Returns the
+    Goes on until no rollup gains, or for `rounds` picks. Each round groups the coverage once and
+    brings one row to the driver. Returns the
     curve: (step, rollup_id, benefit, coverage_pct, compression).
     """
     spark = shapes.sparkSession
@@ -196,7 +201,7 @@ def choose_rollups(shapes: DataFrame, candidates: DataFrame, plans: Sequence[Pla
     total = shapes.agg(F.sum("weight")).first()[0] or 1.0
     chosen: list[str] = []
     curve = []
-    while len(chosen) < rounds:
+    while rounds is None or len(chosen) < rounds:
         mine = F.col("rollup_id").isin(chosen)
         best = served.filter(mine).groupBy("shape_id").agg(F.min("agg_rows").alias("_best"))
         now = F.coalesce(F.col("_best"), F.lit(base_rows))

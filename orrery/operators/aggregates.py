@@ -23,12 +23,18 @@ def sum_distinct_key(df: DataFrame, groups: Sequence[str], key: str, value: str,
 
 
 def mode(df: DataFrame, groups: Sequence[str], value: str, to: str) -> DataFrame:
-    """Most frequent value; the smallest one on ties.
+    """Most frequent value; the smallest one on ties, NULL for a group without values.
 
     Counted per value first, so no group has to hold all of its values in one buffer.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*groups).agg(F.min_by(F.col(value), F.struct(-F.col("_n"), F.col(value))).alias(to))
+    counted = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    order = F.struct(F.col(value).isNull(), -F.col("_n"), F.col(value))
+    return counted.groupBy(*groups).agg(F.min_by(F.col(value), order).alias(to))
+
+
+def _every_group(df: DataFrame, groups: Sequence[str], found: DataFrame) -> DataFrame:
+    """The results with a row of NULLs for each group that has none."""
+    return join_on(df.select(*groups).distinct(), found, list(groups), "left") if groups else found
 
 
 def percentiles(
@@ -44,11 +50,14 @@ def percentiles(
     wanted percentile with a mergeable quantile sketch. Then each task counts its rows
     below a bracket into one number and keeps only the values inside it, counted per value;
     these few are put in order. A rank that a bracket should not hold, which the
-    error bound of the sketch excludes, raises an error instead of a wrong answer.
+    error bound of the sketch excludes, raises an error instead of a wrong answer. Discrete
+    percentiles alone keep the column's type. A group without values gives NULL.
     """
     g = list(groups)
-    v = F.col(value).cast("double")
+    exact = all(kind == "disc" for _, kind in wanted.values()) and df.schema[value].dataType.typeName() != "string"
+    v = F.col(value) if exact else F.col(value).cast("double")
     rows = df.filter(F.col(value).isNotNull()).select(*g, v.alias("_v"))
+    kind_of = rows.schema["_v"].dataType
     slack = 4.0 / accuracy
     edge = {n: (max(0.0, p - slack), min(1.0, p + slack)) for n, (p, _) in wanted.items()}
     probs = sorted({e for pair in edge.values() for e in pair})
@@ -82,14 +91,14 @@ def percentiles(
         low, high = at(F.floor("rank")), at(F.ceil("rank"))
         missed = F.coalesce(F.max(F.when(mine, F.col("_below") > F.floor("rank"))), F.lit(True)) | high.isNull()
         part = F.max(F.when(mine, F.col("rank") - F.floor("rank")))
-        exact = low + (high - low) * part if kind == "cont" else low
-        lost = F.raise_error(F.lit(f"{name}: the bracket misses its rank; use a greater accuracy")).cast("double")
-        out.append(F.when(missed, lost).otherwise(exact).alias(name))
-    return placed.groupBy(*g).agg(*out)
+        answer = low + (high - low) * part if kind == "cont" else low
+        lost = F.raise_error(F.lit(f"{name}: the bracket misses its rank; use a greater accuracy"))
+        out.append(F.when(F.count("*") == 0, F.lit(None)).when(missed, lost.cast(kind_of)).otherwise(answer).alias(name))
+    return _every_group(df, g, placed.groupBy(*g).agg(*out))
 
 
 def nth_by_value(df: DataFrame, groups: Sequence[str], value: str, n: int, to: str, largest: bool = True) -> DataFrame:
-    """The nth largest (or smallest) value per group, repeated values counted separately.
+    """The nth largest (or smallest) value per group, repeated values counted separately; NULL if there are fewer.
 
     Counted per value first; each group keeps at most n candidates per task before
     anything is gathered.
@@ -100,13 +109,17 @@ def nth_by_value(df: DataFrame, groups: Sequence[str], value: str, n: int, to: s
     few = counted.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= n)
     reached = few.withColumn("_upto", F.sum("_n").over(place.rowsBetween(W.unboundedPreceding, 0)))
     pick = F.max if largest else F.min
-    return reached.filter(F.col("_upto") >= n).groupBy(*groups).agg(pick(value).alias(to))
+    return _every_group(df, groups, reached.filter(F.col("_upto") >= n).groupBy(*groups).agg(pick(value).alias(to)))
 
 
 def string_list(df: DataFrame, groups: Sequence[str], value: str, to: str, delimiter: str = ", ") -> DataFrame:
-    """Distinct values of a group as one ordered, delimited text."""
-    once = df.filter(F.col(value).isNotNull()).select(*groups, value).distinct()
-    return once.groupBy(*groups).agg(F.array_join(F.array_sort(F.collect_list(value)), delimiter).alias(to))
+    """Distinct values of a group as one ordered, delimited text; NULL for a group without values.
+
+    The text holds every value, so a group's values must fit in one task.
+    """
+    once = df.select(*groups, value).distinct()
+    listed = F.array_sort(F.collect_list(value))
+    return once.groupBy(*groups).agg(F.when(F.size(listed) > 0, F.array_join(listed, delimiter)).alias(to))
 
 
 def pivot_by_condition(

@@ -156,8 +156,11 @@ def join_range(
 
     Both sides meet on a time bin of `width_days` besides the keys, so Spark plans an
     equi-join. An interval is listed once per bin it touches inside the time span of
-    `left`; a NULL start or end is open. A row has one bin, so no pair comes twice.
+    `left`; a NULL start or end is open. A row has one bin, so no pair comes twice. Joins
+    that keep rows of `right` are refused: their intervals are listed more than once.
     """
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"join_range cannot keep the right side's rows: {how}")
     width = int(width_days * 86400)
     span = left.agg(F.min(_position(F.col(ts))).alias("lo"), F.max(_position(F.col(ts))).alias("hi"))
     ends = span.select(F.struct("lo", "hi")).scalar()

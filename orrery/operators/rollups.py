@@ -15,8 +15,9 @@ from orrery.operators.joins import drill_across
 class Measure:
     """A measure by kind: SUM, MIN, MAX, COUNT, AVG, RATIO, UNIQUE_COUNT or LAST_VALUE.
 
-    `column` is its input; RATIO also has `per`, LAST_VALUE a date in `over`. A RATIO with
-    `safe` is 0 on a zero divisor, else NULL.
+    `column` is its input; RATIO also has `per`, LAST_VALUE a date in `over`. A RATIO divides
+    `of` its column by `per_of` the other, each SUM or COUNT; with `safe` it is 0 on a zero
+    divisor, else NULL.
     """
 
     name: str
@@ -25,12 +26,14 @@ class Measure:
     per: str | None = None
     over: str | None = None
     safe: bool = False
+    of: str = "SUM"
+    per_of: str = "SUM"
 
     def direct(self) -> Column:
         """The measure computed from base rows."""
         c = F.col(self.column)
         if self.kind == "RATIO":
-            return self._divide(F.sum(c), F.sum(self.per)).alias(self.name)
+            return self._divide(_FUNC[self.of](c), _FUNC[self.per_of](self.per)).alias(self.name)
         fn = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "AVG": F.avg, "UNIQUE_COUNT": F.count_distinct}
         return fn[self.kind](c).alias(self.name)
 
@@ -71,25 +74,31 @@ class Plan:
         return F.col(names[0]).alias(m.name)
 
 
-def decompose_measure(m: Measure) -> Plan:
-    """SUM, MIN, MAX as they are; COUNT is summed again; AVG and RATIO are two sums.
-
-    A distinct count needs its column in the grain; a last value is no sum over time and
-    needs a snapshot rollup.
-    """
-    if m.kind in ("SUM", "MIN", "MAX"):
-        return Plan(m, (Component(f"{m.name}_{m.kind.lower()}", m.kind, m.column, m.kind),))
-    if m.kind == "COUNT":
-        return Plan(m, (Component(f"{m.name}_cnt", "COUNT", m.column, "SUM"),))
-    if m.kind == "AVG":
-        return Plan(m, (Component(f"{m.name}_sum", "SUM", m.column, "SUM"), Component(f"{m.name}_cnt", "COUNT", m.column, "SUM")))
-    if m.kind == "RATIO":
-        return Plan(m, (Component(f"{m.name}_num", "SUM", m.column, "SUM"), Component(f"{m.name}_den", "SUM", m.per, "SUM")))
-    if m.kind == "UNIQUE_COUNT":
-        return Plan(m, requires=m.column)
-    if m.kind == "LAST_VALUE":
-        return Plan(m, requires=m.over)
-    raise ValueError(f"unknown measure kind {m.kind}")
+# Stored parts of each kind: suffix of the name, function (or the measure's field that names it),
+# and the measure's field that holds the input. Kinds without parts name the field of the
+# column that the grain must hold instead: a distinct count is no sum over rows, a last value none over time.
+PARTS = {
+    "SUM": [("sum", "SUM", "column")],
+    "MIN": [("min", "MIN", "column")],
+    "MAX": [("max", "MAX", "column")],
+    "COUNT": [("cnt", "COUNT", "column")],
+    "AVG": [("sum", "SUM", "column"), ("cnt", "COUNT", "column")],
+    "RATIO": [("num", "of", "column"), ("den", "per_of", "per")],
+}
+IN_GRAIN = {"UNIQUE_COUNT": "column", "LAST_VALUE": "over"}
+# How a stored part is put together again.
+AGAIN = {"SUM": "SUM", "COUNT": "SUM", "MIN": "MIN", "MAX": "MAX"}
+
+
+def stored(m: Measure) -> Plan:
+    """How a measure is kept in a rollup."""
+    if m.kind not in PARTS | IN_GRAIN:
+        raise ValueError(f"unknown measure kind {m.kind}")
+    parts = []
+    for suffix, func, source in PARTS.get(m.kind, []):
+        func = getattr(m, func, func)
+        parts.append(Component(f"{m.name}_{suffix}", func, getattr(m, source), AGAIN[func]))
+    return Plan(m, tuple(parts), None if parts else getattr(m, IN_GRAIN[m.kind]))
 
 
 _FUNC = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count}
@@ -100,7 +109,7 @@ def build_rollup(df: DataFrame, dims: Sequence[str], grains: Mapping[str, str |
 
     The columns that distinct counts need must be among the dims.
     """
-    plans = [decompose_measure(m) for m in measures]
+    plans = [stored(m) for m in measures]
     lacking = [p.requires for p in plans if p.requires and p.requires not in dims]
     if lacking:
         raise ValueError(f"the grain lacks {lacking}")
@@ -111,7 +120,7 @@ def build_rollup(df: DataFrame, dims: Sequence[str], grains: Mapping[str, str |
 
 def reaggregate(rollup: DataFrame, dims: Sequence[str], grains: Mapping[str, str], measures: Sequence[Measure]) -> DataFrame:
     """Answer a coarser query from a rollup."""
-    plans = [decompose_measure(m) for m in measures]
+    plans = [stored(m) for m in measures]
     keys = [*dims, *[date_bucket(F.col(c), b).alias(c) for c, b in grains.items()]]
     parts = {c.alias: _FUNC[c.again](c.alias).alias(c.alias) for p in plans for c in p.components}
     unique = {p.measure.name: F.count_distinct(p.requires).alias(p.measure.name) for p in plans if p.requires}
@@ -126,16 +135,13 @@ def direct(df: DataFrame, dims: Sequence[str], grains: Mapping[str, str], measur
     return df.groupBy(*keys).agg(*[m.direct() for m in measures])
 
 
-def bucket_covers(have: str | None, want: str | None) -> bool:
-    """Can buckets `have` be grouped to buckets `want`? None is the raw date.
+# The buckets that rows of a bucket can be grouped to. Weeks cross month ends: they make weeks alone.
+MAKES = {b: {w for w in BUCKETS[i:] if b != "WEEKLY" or w == b} for i, b in enumerate(BUCKETS)}
 
-    Finer or equal, except that weeks cross month ends and so serve weeks only.
-    """
-    if have is None:
-        return True
-    if want is None:
-        return False
-    return have == want if have == "WEEKLY" else BUCKETS.index(have) <= BUCKETS.index(want)
+
+def regroups(kept: str | None, asked: str | None) -> bool:
+    """Rows kept by a bucket (None: the raw date) give the bucket that is asked for."""
+    return kept is None or asked in MAKES[kept]
 
 
 @dataclass(frozen=True)
@@ -158,22 +164,16 @@ class Request:
     filters: Mapping[str, Column] = field(default_factory=dict)
 
 
-def covers(r: Rollup, q: Request) -> bool:
-    """Dims and filter columns are in the grain, buckets are finer, measures are stored."""
-    if not set(q.dims) <= set(r.dims) or not set(q.filters) <= set(r.dims):
-        return False
-    if any(c not in r.grains or not bucket_covers(r.grains[c], b) for c, b in q.grains.items()):
-        return False
-    for m in q.measures:
-        p = decompose_measure(m)
-        if m.name not in r.measures or (not p.decomposable and p.requires not in r.dims):
-            return False
-    return True
+def lacks(r: Rollup, q: Request) -> list[str]:
+    """The columns, dates and measures of a request that a rollup cannot give; none if it can answer."""
+    columns = {*q.dims, *q.filters, *(stored(m).requires for m in q.measures)} - {None}
+    dates = {c for c, b in q.grains.items() if c not in r.grains or not regroups(r.grains[c], b)}
+    return sorted(columns - {*r.dims} | dates | {m.name for m in q.measures} - {*r.measures})
 
 
 def answer(q: Request, rollups: Sequence[Rollup], base: DataFrame) -> DataFrame:
-    """From the smallest rollup that covers the request, else from the base rows."""
-    pick = next((r for r in sorted(rollups, key=lambda r: r.rows) if covers(r, q)), None)
+    """From the smallest rollup that lacks nothing of the request, else from the base rows."""
+    pick = next((r for r in sorted(rollups, key=lambda r: r.rows) if not lacks(r, q)), None)
     rows = base if pick is None else pick.frame
     for p in q.filters.values():
         rows = rows.filter(p)

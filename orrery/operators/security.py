@@ -81,12 +81,13 @@ def column_rules(df: DataFrame, rules: Sequence[tuple[str, str]], user: User, ma
 
 
 def mask_column(c: Column, how: str) -> Column:
-    """hash: SHA-256; last4: stars but the last four characters; digits: every digit as '#'."""
+    """hash: SHA-256; last4: stars but the last four characters (all stars for four or fewer); digits: every digit as '#'."""
     s = c.cast("string")
     if how == "hash":
         return F.sha2(s, 256)
     if how == "last4":
-        return F.concat(F.repeat(F.lit("*"), F.greatest(F.length(s) - 4, F.lit(0))), F.right(s, F.lit(4)))
+        hidden = F.when(F.length(s) > 4, F.length(s) - 4).otherwise(F.length(s))
+        return F.concat(F.repeat(F.lit("*"), hidden), F.when(F.length(s) > 4, F.right(s, F.lit(4))).otherwise(F.left(s, F.lit(0))))
     if how == "digits":
         return F.regexp_replace(s, "[0-9]", "#")
     raise ValueError(f"unknown mask {how}")

@@ -79,7 +79,10 @@ def period_offset(
     A join on the period number, so a missing period gives NULL. `by` shifts in another
     unit than the rows have, such as monthly rows one year back.
     """
-    step = {("month", "year"): 12, ("month", "quarter"): 3, ("quarter", "year"): 4}.get((unit, by or unit), 1)
+    steps = {("month", "year"): 12, ("month", "quarter"): 3, ("quarter", "year"): 4, ("day", "week"): 7}
+    if by not in (None, unit) and (unit, by) not in steps:
+        raise ValueError(f"a {by} is no fixed number of {unit}s")
+    step = steps.get((unit, by), 1)
     other = grouped.select(
         *dims, (period_index(F.col(period), unit) - n * step).alias("_p"), F.col(measure).alias(to)
     )

@@ -7,6 +7,7 @@ tables (give a table a `prefix` where they are not).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -90,6 +91,7 @@ class Model:
     constraints: Mapping[str, Sequence[Sequence[tuple[str, int, str]]]] = field(default_factory=dict)
     row_rules: Sequence[RowRule] = ()
     column_rules: Sequence[tuple[str, str]] = ()
+    formula_depth: int = 3
 
     # -- metadata ------------------------------------------------------------------------
 
@@ -107,14 +109,14 @@ class Model:
         return {t for f in self._formulas([column]) for t in f.tables}
 
     def _formulas(self, names: Sequence[str]) -> list[Formula]:
-        """The named formulas and those they refer to, each after what it needs; at most three deep."""
+        """The named formulas and those they refer to, each after what it needs; at most `formula_depth` deep."""
         done: list[Formula] = []
 
         def visit(name: str, path: tuple[str, ...]) -> None:
             if name in path:
                 raise ValueError(f"formulas refer to each other in a circle: {' > '.join([*path, name])}")
-            if len(path) >= 3:
-                raise ValueError(f"formulas nest deeper than three: {' > '.join([*path, name])}")
+            if len(path) >= self.formula_depth:
+                raise ValueError(f"formulas nest deeper than {self.formula_depth}: {' > '.join([*path, name])}")
             f = self._one("formulas", name)
             for u in f.uses:
                 visit(u, (*path, name))
@@ -126,17 +128,44 @@ class Model:
         return done
 
     def _reach(self, start: str) -> dict[str, list[Join]]:
-        """Tables reachable from a table by many-to-one joins, each with the joins that lead there."""
+        """Tables reachable from a table by many-to-one joins, each with the joins that lead there.
+
+        A table that two ways lead to is refused: give it a second name and prefix.
+        """
         paths: dict[str, list[Join]] = {start: []}
         queue = [start]
         while queue:
             at = queue.pop(0)
             for j in self.joins:
-                if j.many == at and j.one not in paths:
+                if j.many == at:
+                    if j.one in paths:
+                        raise ValueError(f"more than one way leads from {start} to {j.one}")
                     paths[j.one] = [*paths[at], j]
                     queue.append(j.one)
         return paths
 
+    def _reads(self, expr: str, names: Sequence[str]) -> set[str]:
+        """The columns and formulas of a SQL text, and what those formulas are made of."""
+        words = {w for w in re.findall(r"\w+", expr)} | set(names)
+        out = set(words)
+        for f in self.formulas:
+            if f.name in words:
+                out |= {f.name} | self._reads(f.expr, [*f.uses])
+        return out
+
+    def _check_columns(self, user: User, attributes, measures, filters, having: str | None) -> None:
+        """Refuse a question that shows, groups or filters by anything the user may not read."""
+        texts = {a.name: (a.expr, ()) for a in attributes} | {m.name: (m.expr, m.uses) for m in measures}
+        texts |= {f"filter {i + 1}": (p, fs) for i, (_, fs, p) in enumerate(filters)}
+        texts |= {f"dates of {m.name}": (f"{m.last_by or ''} {m.first_by or ''}", ()) for m in measures}
+        if having is not None:
+            texts["having"] = (having, ())
+        for name, (expr, uses) in texts.items():
+            read = {name} | self._reads(expr, uses)
+            closed = sorted(read - set(allowed_columns(sorted(read), self.column_rules, user.groups)))
+            if closed:
+                raise PermissionError(f"{name} reads {closed}, which {user.name} may not")
+
     def joins_for(self, start: str, needed: set[str]) -> list[Join]:
         """Joins to make from a fact: those that lead to needed tables, and every other that changes rows.
 
@@ -201,27 +230,40 @@ class Model:
         user: User | None = None,
         having: str | None = None,
         ref: Column | None = None,
+        unsecured: bool = False,
     ) -> DataFrame:
         """Attributes and measures, grouped.
 
         A filter is (tables it reads, formulas it uses, SQL predicate). `{name}` in a
-        predicate stands for the column `_p_name`, which holds a parameter's value.
+        predicate stands for the column `_p_name`, which holds a parameter's value. A filter
+        on tables of one fact alone filters that fact; another fact, which cannot reach
+        them, keeps its rows. Where the model has rules, a question needs a user;
+        `unsecured` says that it is meant to be asked without.
         """
         atts = [self._one("attributes", a) for a in attributes]
         mes = [self._one("measures", m) for m in measures]
+        if user is None and not unsecured and (self.row_rules or self.column_rules):
+            raise PermissionError("the model has rules: name the user, or ask unsecured")
         if user is not None:
-            open_ = allowed_columns([*attributes, *measures], self.column_rules, user.groups)
-            closed = [n for n in [*attributes, *measures] if n not in open_]
-            if closed:
-                raise PermissionError(f"{closed} are not available to {user.name}")
-        formulas = self._formulas([u for m in mes for u in m.uses] + [u for _, fs, _ in filters for u in fs])
-        base_tables = {a.table for a in atts} | {x for ts, _, _ in filters for x in ts}
-
-        def grouped_rows(start: str, extra: set[str]) -> DataFrame:
-            rows = self._rows(start, base_tables | extra, formulas, user, ref)
+            self._check_columns(user, atts, mes, filters, having)
+        facts = list(dict.fromkeys(m.fact for m in mes))
+
+        def needs(flt) -> set[str]:
+            return set(flt[0]) | {t for f in self._formulas(list(flt[1])) for t in f.tables}
+
+        for flt in filters:
+            if facts and not any(needs(flt) <= set(self._reach(fact)) for fact in facts):
+                raise ValueError(f"no fact of the question reaches {sorted(needs(flt))} of the filter {flt[2]}")
+
+        def grouped_rows(start: str, uses: Sequence[str]) -> DataFrame:
+            """Rows of one fact with the formulas and filters that are its own."""
+            mine = [f for f in filters if needs(f) <= set(self._reach(start))]
+            formulas = self._formulas([*uses, *(u for f in mine for u in f[1])])
+            tables = {a.table for a in atts} | {t for f in mine for t in f[0]} | {t for f in formulas for t in f.tables}
+            rows = self._rows(start, tables, formulas, user, ref)
             for p in self.parameters:
                 rows = rows.withColumn(f"_p_{p.name}", p.value((parameters or {}).get(p.name)))
-            for _, _, predicate in filters:
+            for _, _, predicate in mine:
                 rows = rows.filter(F.expr(predicate.format(**{p.name: f"_p_{p.name}" for p in self.parameters})))
             for a in atts:
                 v = F.expr(a.expr)
@@ -230,16 +272,16 @@ class Model:
 
         if not mes:
             # No measure: only the dimension's own rows are read.
+            base_tables = {a.table for a in atts} | {t for f in filters for t in needs(f)}
             start = next((a.table for a in atts if base_tables <= set(self._reach(a.table))), None)
             if start is None:
                 raise ValueError("attributes of unrelated tables need a measure to relate them")
-            return grouped_rows(start, set()).select(*attributes).distinct()
+            return grouped_rows(start, ()).select(*attributes).distinct()
 
         parts = []
-        for fact in dict.fromkeys(m.fact for m in mes):
+        for fact in facts:
             mine = [m for m in mes if m.fact == fact]
-            extra = {t for f in formulas for t in f.tables if any(f.name in m.uses for m in mine)}
-            rows = grouped_rows(fact, extra)
+            rows = grouped_rows(fact, [u for m in mine for u in m.uses])
             plain = [m for m in mine if not (m.last_by or m.first_by)]
             if plain:
                 parts.append(rows.groupBy(*attributes).agg(*[F.expr(m.expr).alias(m.name) for m in plain]))

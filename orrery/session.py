@@ -6,11 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Rows up to which a written, counted frame is handed to every executor.
-BROADCAST_ROWS = 200_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int = 8, app: str = "orrery") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -30,19 +26,16 @@ def local_session(cpus: int = 8, app: str = "orrery") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as `spark.checkpoint.dir` names it.
 
-    Only where `spark.checkpoint.dir` is unset (tests on one machine) is a
-    temporary folder made and set.
+    Only where that is unset (tests on one machine) is a temporary folder made, once a context.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return folder
 
 
@@ -51,13 +44,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a grouped frame once and hint a broadcast if its counted rows allow it.
-
-    Meant for totals that are joined back to raw rows: the hint saves the shuffle
-    of the raw side. Beyond `max_rows` the frame is returned without a hint and
-    Spark plans a shuffle join.
-    """
+def settled(df: DataFrame) -> DataFrame:
+    """A grouped frame that is computed once, here and now, and whose size Spark then knows when it plans joins."""
     shared_dir(df.sparkSession)
-    kept = df.checkpoint()
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return df.checkpoint()

@@ -34,7 +34,7 @@ def test_load_typed(spark):
 def test_csv_round_trip_with_line_breaks(spark):
     path = fresh_path(spark, "csv")
     spark.createDataFrame([(1, 'say "hi"\nthere', None), (2, "plain", "z")], "id int, `my text` string, note string").write.csv(f"{path}/My File.csv", header=True, escape='"')
-    found = L.scan_csv_dir(spark, path)
+    found = L.scan_csv_dir(spark, path, multi_line=True)
     assert list(found) == ["MY_FILE"]
     assert sorted((r.ID, r.MY_TEXT, r.NOTE) for r in found["MY_FILE"].collect()) == [("1", 'say "hi"\nthere', None), ("2", "plain", "z")]
 
@@ -76,3 +76,13 @@ def test_refresh_leaves_other_partitions(spark):
 def test_changed_partitions(spark):
     base = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-01'), (2, DATE'2024-01-01'), (3, DATE'2024-01-02') AS b(id, d)")
     assert sorted(r.id for r in K.changed_partitions(base, base.filter("id = 1"), "d").collect()) == [1, 2]
+
+
+def test_loaded_type(spark):
+    """Declared names of other systems."""
+    known = {
+        "NUMBER(10,0)": "bigint", "number(10, 2)": "double", "NUMERIC": "bigint", "DECIMAL(5,1)": "double", "INTEGER": "bigint", "TINYINT": "bigint",
+        "FLOAT": "double", "FLOAT8": "double", "REAL": "double", "DOUBLE PRECISION": "double", "BOOL": "boolean", "BOOLEAN": "boolean", "DATE": "date",
+        "DATETIME": "timestamp", "TIMESTAMP_NTZ(9)": "timestamp", "TIMESTAMP": "timestamp", "VARCHAR(20)": "string", "TEXT": "string", "geography": "string",
+    }
+    assert {k: L.loaded_type(k) for k in known} == known

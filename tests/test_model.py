@@ -1,5 +1,7 @@
 """The semantic model: pruning, refusals, security, and what the plans read."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,26 +16,26 @@ def scanned(df):
 
 
 def test_left_joins_are_pruned_and_inner_ones_kept(t):
-    p = scanned(trade(t).query(["segment"], ["revenue"]))
+    p = scanned(trade(t).query(["segment"], ["revenue"], unsecured=True))
     assert "part.parquet" not in p and "supplier.parquet" not in p
     assert "region.parquet" in p and "nation.parquet" in p
 
 
 def test_dimension_only_reads_no_fact(t):
-    p = scanned(trade(t).query(["nation", "region"]))
+    p = scanned(trade(t).query(["nation", "region"], unsecured=True))
     assert "lineitem.parquet" not in p and "orders.parquet" not in p
 
 
 def test_filters_and_columns_reach_the_scan(t):
     t.spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
-    p = scanned(trade(t).query(["nation"], ["lines"], filters=[(("orders",), (), "o_totalprice >= {least}")], parameters={"least": 300000.0}))
+    p = scanned(trade(t).query(["nation"], ["lines"], filters=[(("orders",), (), "o_totalprice >= {least}")], parameters={"least": 300000.0}, unsecured=True))
     assert "GreaterThanOrEqual(o_totalprice,300000.0)" in p
     assert "l_comment" not in p and "l_extendedprice" not in p
 
 
 def test_unreachable_dimension_is_refused(t):
     with pytest.raises(ValueError, match="without multiplying"):
-        trade(t).query(["brand"], ["order_total"])
+        trade(t).query(["brand"], ["order_total"], unsecured=True)
 
 
 def test_formula_circle_and_depth(t):
@@ -79,3 +81,35 @@ def test_empty_group_means_nobody():
 def test_most_specific_variable_wins():
     u = Y.User("u", org_variables={"v": 1, "w": 2}, user_variables={"v": [3, 4]})
     assert u.variable("v") == [3, 4] and u.variable("w") == [2] and u.variable("x") == []
+
+
+def test_rules_fail_closed(t):
+    m, eve = trade(t), Y.User("eve", user_variables={"region": ["ASIA"]})
+    with pytest.raises(PermissionError):
+        m.query(["segment"], ["revenue"])
+    for question in (
+        dict(measures=["revenue"], filters=[((), ("charge",), "charge > 10")]),
+        dict(measures=["revenue"], filters=[(("lineitem",), (), "charge > 10")]),
+        dict(measures=["revenue"], having="max(charge) > 1"),
+    ):
+        with pytest.raises(PermissionError):
+            m.query(["segment"], user=eve, **question)
+    leak = dataclasses.replace(m, measures=[*m.measures, M.Measure("other", "lineitem", "max(charge)", uses=("charge",))],
+                               formulas=[*m.formulas, M.Formula("twice", ("lineitem",), "2 * charge", uses=("charge",))])
+    with pytest.raises(PermissionError):
+        leak.query(["segment"], ["other"], user=eve)
+    with pytest.raises(PermissionError):
+        leak.query(["segment"], ["lines"], filters=[((), ("twice",), "twice > 1")], user=eve)
+    assert leak.query(["segment"], ["other"], user=dataclasses.replace(eve, groups=("finance",))).count() > 0
+
+
+def test_filter_no_fact_reaches(t):
+    with pytest.raises(ValueError, match="no fact"):
+        trade(t).query(["region"], ["order_total"], filters=[(("part",), (), "p_size > 1")], unsecured=True)
+
+
+def test_two_ways_to_a_table(t):
+    m = trade(t)
+    two = dataclasses.replace(m, joins=[*m.joins, M.Join("supplier", "nation", [("s_nationkey", "n_nationkey")])])
+    with pytest.raises(ValueError, match="more than one way"):
+        two.query(["nation"], ["lines"], unsecured=True)
