@@ -3,9 +3,9 @@
 Words end at ASCII white space and stay as they are; a shingle is five consecutive words, and a
 text of one to four words is one shingle. Each text has a label in each of TREES prefix tries: one
 byte of LEVELS MinHash values. Matched prefixes are shortened from the whole label until a pair at the
-threshold shares one in some trie with RECALL probability. In each sorted trie, texts that share
-such a prefix with the text before them are linked as candidates; this joins all of a bucket
-without making its pairs. Connected candidates are then compared exactly, all with all, in
+threshold shares one in some trie with RECALL probability. In each sorted trie, texts under one
+node of that depth are linked to its first text as candidates; this joins all of a bucket without
+making its pairs. Connected candidates are then compared exactly, all with all, in
 blocks of bounded size that give one row a text: its links, and its class inside the block.
 
 One row a document comes out: `class_id` is the smallest doc_id of its class (documents joined by
@@ -33,7 +33,7 @@ ABOVE, BELOW = 4, 5
 TREES, LEVELS = 64, 8
 RECALL = 0.9999
 # Shingles (and 256 a text besides) of a block of texts in the exact comparison.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 CACHE = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 RANDOM = np.random.default_rng(20_260)
@@ -111,12 +111,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidate_edges(texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): texts that follow each other in a sorted trie and share a prefix of the wanted depth."""
+    """(a, b): each text and the first one under its node of a sorted trie, at the wanted depth."""
     cut = 8 * (LEVELS - depth(similarity))
     rows = texts.select("text_id", F.posexplode("labels").alias("tree", "label")) \
         .withColumn("prefix", F.shiftrightunsigned("label", cut))
-    trie = Window.partitionBy("tree", "prefix").orderBy("label", "text_id")
-    return rows.select(F.col("text_id").alias("a"), F.lag("text_id").over(trie).alias("b")).where("b IS NOT NULL")
+    trie = Window.partitionBy("tree", "prefix").orderBy("text_id")
+    return rows.select(F.col("text_id").alias("a"), F.first("text_id").over(trie).alias("b")).where("a <> b")
 
 
 def shared_counts(texts: list[np.ndarray], first: int, same: bool) -> np.ndarray:
