@@ -90,7 +90,7 @@ def set_mixed(t):
 
 
 @query("topn_with_others", """WITH b AS (SELECT p_brand, sum(l_quantity) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY qty DESC) AS k FROM b)
-    SELECT CASE WHEN k <= 5 THEN p_brand ELSE 'Others' END AS p_brand, sum(qty) AS l_quantity FROM r GROUP BY 1""")
+    SELECT CASE WHEN k <= 5 THEN p_brand ELSE 'Others' END AS p_brand, k > 5 AS is_rest, sum(qty) AS l_quantity FROM r GROUP BY 1, 2""")
 def topn_with_others(t):
     lines = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).groupBy("p_brand").agg(F.sum("l_quantity").alias("l_quantity"))
     return S.topn_with_others(lines, "p_brand", "l_quantity", 5)

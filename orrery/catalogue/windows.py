@@ -20,11 +20,11 @@ def monthly(t):
 
 def daily(t):
     """Shipped quantity by flag and day; days without shipments are gaps."""
-    return t.lineitem.filter(c("l_quantity") > 45).groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("qty"))
+    return t.lineitem.groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("qty"))
 
 
 M = "(SELECT o_orderstatus, date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1, 2)"
-DAY = "(SELECT l_returnflag, l_shipdate::DATE AS day, sum(l_quantity) AS qty FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2)"
+DAY = "(SELECT l_returnflag, l_shipdate::DATE AS day, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2)"
 BY, ORDER = ["o_orderstatus"], ["month"]
 OVER = "OVER (PARTITION BY o_orderstatus ORDER BY month {frame})"
 

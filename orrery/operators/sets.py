@@ -121,11 +121,11 @@ def in_set(df: DataFrame, member: str, members: DataFrame, to: str) -> DataFrame
 
 
 def topn_with_others(df: DataFrame, member: str, measure: str, n: int, others: str = "Others") -> DataFrame:
-    """Totals of the top n members, and one row for all the rest."""
+    """Totals of the top n members, and one row for all the rest, told from a member of its name by `is_rest`."""
     top = ranked_members(df, member, F.sum(measure), n)
     flagged = in_set(df, member, top, "_in")
     name = F.when(F.col("_in"), F.col(member).cast("string")).otherwise(others)
-    return flagged.groupBy(name.alias(member)).agg(F.sum(measure).alias(measure))
+    return flagged.groupBy(name.alias(member), (~F.col("_in")).alias("is_rest")).agg(F.sum(measure).alias(measure))
 
 
 def set_query(

@@ -113,6 +113,11 @@ def rank_partitioned(measure: str, dims: Sequence[str], descending: bool = True)
 # --- order over a whole table, one value range per task -------------------------------------
 
 
+def _parts(df: DataFrame) -> int:
+    """Value ranges to cut into: two for each task of a shuffle as the session is set for its data."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _ranged(df: DataFrame, value: str, ranges: int, to: str) -> DataFrame:
     """`df` with the number of its value range, about equal in distinct values.
 
@@ -127,7 +132,7 @@ def _ranged(df: DataFrame, value: str, ranges: int, to: str) -> DataFrame:
     return df.withColumn("_cuts", cuts).withColumn(to, place).drop("_cuts")
 
 
-def ordered(df: DataFrame, value: str, descending: bool = False, ranges: int = 64) -> DataFrame:
+def ordered(df: DataFrame, value: str, descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Each distinct non-null value with `_n`, `_before`, `_dense` and the total `_all`.
 
     `_n` rows hold the value, `_before` rows come earlier in the order, `_dense` counts
@@ -137,7 +142,7 @@ def ordered(df: DataFrame, value: str, descending: bool = False, ranges: int = 6
     ahead of it.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    cut = _ranged(counted, value, ranges, "_place")
+    cut = _ranged(counted, value, ranges or _parts(df), "_place")
     cut = cut.withColumn("_range", -F.col("_place") if descending else F.col("_place")).drop("_place")
     by = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy("_range").orderBy(by)
@@ -189,13 +194,13 @@ def global_ranks(df: DataFrame, value: str, descending: bool = False, tie: str |
     return out.select(df["*"], *[c.alias(k) for k, c in cols.items()])
 
 
-def _tie_places(df: DataFrame, value: str, tie: str, ranges: int = 64) -> DataFrame:
+def _tie_places(df: DataFrame, value: str, tie: str, ranges: int | None = None) -> DataFrame:
     """Place of each row among rows of equal value, in the order of the tie column.
 
     Ranges of the tie column split a value that fills a third of the table.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_tv"), F.col(tie).alias("_tt"))
-    cut = _ranged(rows, "_tt", ranges, "_r")
+    cut = _ranged(rows, "_tt", ranges or _parts(df), "_r")
     ahead = W.partitionBy("_tv").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     shift = cut.groupBy("_tv", "_r").agg(F.count("*").alias("_c")).select(
         "_tv", "_r", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_shift")

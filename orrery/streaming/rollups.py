@@ -54,6 +54,8 @@ def run_available(
     greatest `batch`.
     """
     spark = df.sparkSession
+    # Counts over all batches need the progress of all batches.
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(1 << 20))
     out, state = paths or (fresh_path(spark, label), fresh_path(spark, label + "-state"))
     writer = df.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":

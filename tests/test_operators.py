@@ -55,7 +55,7 @@ def test_top_members_keep_ties(spark):
     df = spark.createDataFrame([("a", 5), ("b", 4), ("c", 4), ("d", 1)], "m string, v int")
     assert rows(S.ranked_members(df, "m", F.sum("v"), 2)) == [("a",), ("b",), ("c",)]
     assert rows(S.ranked_members(df, "m", F.sum("v"), 1, top=False)) == [("d",)]
-    assert rows(S.topn_with_others(df, "m", "v", 1)) == [("Others", 9), ("a", 5)]
+    assert rows(S.topn_with_others(df, "m", "v", 1)) == [("Others", True, 9), ("a", False, 5)]
 
 
 def test_pass_through_filters(spark):
