@@ -29,7 +29,7 @@ RULES = [
     ("mean_word_length", "word_chars", "n_words", 1.5, 20),
     ("symbols_a_word", "n_symbols", "n_words", 0, 0.3),
     ("stop_words", "n_stop_words", "n_words", 0.02, 1),
-    ("repeated_lines", "n_dup_lines", "n_lines", 0, 0.3),
+    ("repeated_lines", "n_dup_lines", "n_lines", 0, 0.5),
     ("shouted_words", "n_shouted", "n_words", 0, 0.5),
     ("ellipsis_lines", "n_ellipsis_lines", "n_lines", 0, 0.5),
     ("bullet_lines", "n_bullet_lines", "n_lines", 0, 0.9),
