@@ -50,10 +50,13 @@ query("agg_skew", """SELECT l_returnflag, round(avg(pow(d, 3)) / pow(avg(d * d),
     lambda t: t.lineitem.groupBy("l_returnflag").agg(R(F.skewness("l_extendedprice"), 6).alias("v")))
 
 
-@query("agg_approx_distinct")
+@query("agg_approx_distinct", "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS within FROM lineitem GROUP BY 1")
 def agg_approx_distinct(t):
-    """A sketch; the unit test checks the error against the exact count."""
-    return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("orders"))
+    """A sketch beside the exact count: is it within 6 %, three standard errors?"""
+    by = t.lineitem.groupBy("l_returnflag")
+    near = by.agg(F.approx_count_distinct("l_orderkey", 0.02).alias("_near"))
+    both = by.agg(F.count_distinct("l_orderkey").alias("orders")).join(near, "l_returnflag")
+    return both.select("l_returnflag", "orders", (F.abs(c("_near") - c("orders")) <= 0.06 * c("orders")).alias("within"))
 
 
 @query("agg_sum_distinct_key", """SELECT o_orderstatus, round(sum(p), 2) AS total FROM
@@ -79,10 +82,14 @@ def agg_percentile_disc(t):
     return G.percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p90": (0.9, "disc")})
 
 
-@query("agg_percentile_approx")
+@query("agg_percentile_approx", "SELECT l_returnflag, count(*) AS lines, true AS within FROM lineitem GROUP BY 1")
 def agg_percentile_approx(t):
-    """A sketch; the unit test checks the rank error against the exact percentile."""
-    return t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.9, 10_000).alias("p90"))
+    """A sketch beside exact counts: do at least 89.9 % of the rows reach up to it, and at most 90.1 % stay below?"""
+    near = t.lineitem.groupBy(c("l_returnflag").alias("_f")).agg(F.percentile_approx("l_extendedprice", 0.9, 10_000).alias("_p"))
+    both = t.lineitem.join(near, c("l_returnflag") == c("_f"))
+    below, upto = (F.count(F.when(x, 1)) for x in (c("l_extendedprice") < c("_p"), c("l_extendedprice") <= c("_p")))
+    n = F.count("*")
+    return both.groupBy("l_returnflag").agg(n.alias("lines"), ((upto >= 0.899 * n) & (below <= 0.901 * n)).alias("within"))
 
 
 @query("agg_fractile", "SELECT round(quantile_cont(o_totalprice, 0.9), 6) AS f FROM orders")

@@ -76,15 +76,24 @@ def profile_rows(t):
     return L.profile_rows({n: getattr(t, n) for n in ("orders", "customer", "lineitem", "events")})
 
 
-@query("generate_table")
+@query("generate_table", """SELECT count(*) AS rows, (max(o_orderkey) + 1)::BIGINT AS last_id, (sum(o_orderkey) + count(*))::BIGINT AS id_sum, 2 AS choices,
+    true AS scores_fit, true AS dates_fit, true AS even, true AS again FROM orders""")
 def generate_table(t):
-    """One synthetic row per order; the unit test checks ranges, choices and repeatability."""
+    """One synthetic row per order, reduced to what its schema promises: ids, choices, ranges, an even spread, and the same rows again."""
     columns = [
         {"name": "order_id", "type": "INTEGER"}, {"name": "behaviour", "type": "VARCHAR(20)", "values": ["calm", "speeding"]},
         {"name": "score", "type": "FLOAT", "min": 0, "max": 10}, {"name": "customer_name", "type": "VARCHAR"}, {"name": "order_date", "type": "DATE"},
         {"name": "amount", "type": "FLOAT"}, {"name": "qty", "type": "INTEGER"}, {"name": "status", "type": "VARCHAR"}, {"name": "email", "type": "VARCHAR"},
     ]
-    return G.generate_table(t.spark, columns, seed=7, ids=t.orders.select(c("o_orderkey").alias("id")))
+    made, again = (G.generate_table(t.spark, columns, seed=7, ids=t.orders.select(c("o_orderkey").alias("id"))) for _ in range(2))
+    mark = F.sum(F.xxhash64(*made.columns).cast("decimal(38,0)"))
+    n = F.count("*")
+    return made.agg(
+        n.alias("rows"), F.max("order_id").alias("last_id"), F.sum("order_id").alias("id_sum"), F.count_distinct("behaviour").alias("choices"),
+        F.bool_and(c("score").between(0, 10)).alias("scores_fit"), F.bool_and(F.year("order_date").between(2023, 2025)).alias("dates_fit"),
+        (F.abs(F.count(F.when(c("behaviour") == "calm", 1)) - n / 2) <= 3 * F.sqrt(n / 4)).alias("even"),
+        (mark == again.agg(mark.alias("m")).scalar()).alias("again"),
+    )
 
 
 @query("load_table", "SELECT 'replace' AS how, count(*) AS rows FROM orders UNION ALL SELECT 'skip', count(*) FROM orders")
