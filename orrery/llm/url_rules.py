@@ -3,7 +3,7 @@
 A given rule is (verdict, host, path): it fits its host and all subdomains if the url's path starts
 with the rule's, and the longest one wins. Urls that a rule fits are the labelled ones: their
 tokens and verdict make FP-growth's baskets. Token combinations that imply `block` with enough
-support and confidence are the mined rules. They are matched by an inverted index: a join of each
+support and confidence are the mined rules, without those that hold all of a smaller one. They are matched by an inverted index: a join of each
 other url's tokens with the tokens of the rules, and a rule fires where all its tokens are met.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; path: on to `?`, `#` or the
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.llm.common import written
+
 # The contract's rules: verdict, host, path.
 RULES = [
     ("allow", "com", "/"),
@@ -62,7 +64,14 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         (F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") > 0)
         & ~F.array_contains("antecedent", ALLOW)
     ).select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), "antecedent")
-    return rules.select("rule_id", F.explode("antecedent").alias("token"), F.size("antecedent").alias("size"))
+    index = written(
+        rules.select("rule_id", F.explode("antecedent").alias("token"), F.size("antecedent").alias("size")), "url-rules"
+    )
+    # A rule that holds all of a smaller one's tokens never fires without it: the smaller says it all.
+    small = index.select(F.col("rule_id").alias("inner"), "token", F.col("size").alias("inner_size"))
+    spare = index.join(small, "token").where("inner_size < size").groupBy("rule_id", "inner", "inner_size") \
+        .agg(F.count(F.lit(1)).alias("n")).where("n = inner_size").select("rule_id").distinct()
+    return index.join(spare, "rule_id", "left_anti")
 
 
 def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
