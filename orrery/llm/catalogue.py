@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontam, html_text, jaccard, packing, quality, secret_scan, substring, tokens, toxicity, url_rules
+from orrery.llm import decontam, html_text, jaccard, oracles, packing, quality, secret_scan, substring, tokens, toxicity, url_rules
 from orrery.llm.common import table
 from orrery.llm.encode import tokenizer_path
 
@@ -84,3 +84,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that smaller documents also have."""
     return substring.dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_substring_dedup"] = oracles.SUBSTRING
+ORACLES["op8_decontamination"] = oracles.DECONTAMINATION
