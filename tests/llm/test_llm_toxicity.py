@@ -27,7 +27,7 @@ def test_kernel_by_definition():
 
 def test_kernel_tolerates_insertions():
     k = toxicity.WordKernel(["stupid"])
-    near = k.features(["you st.u.pid one", "s t u p i d", "stuxpid", "STUPID!!", "x" * 50 + "stupid" + "y" * 50, "harmless words", ""])[:, 0]
+    near = k.features(["you st.u.pid one", "s t u p i d", "stuxpid", "STUPID!!", "unstupidly", "harmless words", ""])[:, 0]
     assert (near[[0, 1, 3]] > 0.99).all() and near[2] > 0.2 and near[4] > 0.01 and (near[5:] == 0).all()
 
 
