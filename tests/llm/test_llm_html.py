@@ -20,6 +20,21 @@ CASES = [
     ("<a title='>'>x</a>", "x"), ("<textarea><b>raw</b></textarea>", "<b>raw</b>"), ("<SCRIPT>x</Script>y", "y"), ("<script>never ends", ""),
     ("<dl><dt>k<dd>v<dt>l<dd>w</dl>", "k\nv\nl\nw"), ("<p>a<div>b</div>c", "a\n\nb\nc"), ("<input type=submit value=Go> <img alt=x>", "Go"),
 ]
+MEDIA_CASES = [
+    ("@media print{.n{display:none}}", "a b"), ("@media (max-width:600px){.n{display:none}}", "a b"), ("@media screen{.n{display:none}}", "b"),
+    ("@media only screen and (min-width: 48em){.n{display:none}}", "b"), ("@media print, (width >= 1000px){.n{display:none}}", "b"),
+    ("@media not print{.n{display:none}}", "b"), ("@media not all and (min-width:600px){.n{display:none}}", "a b"),
+    ("@media (400px<=width<=900px){.n{display:none}}", "a b"), ("@media (orientation:portrait) or (hover:none){.n{display:none}}", "a b"),
+    ("@media (unheard-of:1){.n{display:none}}", "a b"), ("@media screen{@media print{.n{display:none}}}", "a b"),
+    ("@media print{.x{color:red}.n{display:none}}.n{color:red}", "a b"), ("@media print{.x{color:red}}.n{display:none}", "b"),
+    ("@supports (display:grid){@media all{.n{display:none}}}", "b"), ("@keyframes k{from{top:0}}.n{display:none}", "b"),
+    (".n{display:none}.n{display:block}", "a\nb"), (".n{display:block}.n{display:none}", "b"), ("#i{display:block}.n{display:none}", "a b"),
+    (".n{display:none!important}#i{display:block}", "b"), (".n{display:none}@media print{.n{display:block}}", "b"),
+    (".n{display:none}@media (min-width:600px){.n{display:block}}", "a b"), (".n.m{display:block}.n{display:none}", "a b"),
+    (".n{visibility:hidden}.n{visibility:visible}", "a b"), (".n{display:none;display:nonsense}", "b"), ("/* .n{display:none} */", "a b"),
+    (".x::after{content:'}.n{display:none}'}", "a b"), ("@import 'x.css';.n{display:none", "b"), (".x{.n{display:none}}", "a b"),
+    (".n{@media print{display:none}}", "a b"), ("@layer u{.n{display:none}}p{margin:0}b{display:block}", "a b"), (":not(.q, .n, .r){display:none}", "a b"),
+]
 
 
 @pytest.mark.parametrize("page, text", CASES)
@@ -27,6 +42,20 @@ def test_cases(page, text):
     assert html_text.render(page)[0] == text
 
 
+@pytest.mark.parametrize("sheet, text", MEDIA_CASES)
+def test_style_sheets(sheet, text):
+    page = f"<style>{sheet}</style><b class='n m' id=i>a</b> <i>b</i>"
+    assert html_text.render(page)[0].replace("\n", " ") == text.replace("\n", " ")
+
+
+def test_where_styles_stand():
+    body = "<p class=n>a</p><p hidden class=s>b</p><p class=n style='display:block'>c"
+    assert html_text.render("<style>.n{display:none}.s{display:block}</style>" + body)[0] == "b\n\nc"
+    assert html_text.render("<style media=print>.n{display:none}</style>" + body)[0] == "a\n\nc"
+    assert html_text.render("<noscript><style>.n{display:none}</style></noscript>" + body)[0] == "a\n\nc"
+    assert html_text.render("<style>" + "@media screen{" * 20_000 + ".n{display:none}</style>" + body)[0] == "c"
+
+
 def test_depth_and_length():
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     assert html_text.render(deep)[0] == "x"
