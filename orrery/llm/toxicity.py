@@ -6,7 +6,8 @@ characters lower it only a little. It is normalised to 1 for equal words, raised
 zero for words that lack over a quarter of the landmark's letters. A text is the set of its
 words (runs of single letters count as one word as well), and its kernel with a landmark is the
 largest of its words. Landmarks are words and word beginnings that labelled texts show to mark
-toxicity. Kernels with the landmarks become features by K_mm^-1/2 (Nystroem), and a linear machine
+toxicity: each toxic training text names the strongest marks it has, so that every text with a mark
+is covered, whatever its language's share. A word that begins with a landmark has the kernel 1. Kernels with the landmarks become features by K_mm^-1/2 (Nystroem), and a linear machine
 with squared hinge loss and Platt's sigmoid scores them.
 
 Null and empty texts have no word and get the score of the bias. Rows repeat as they come, ties
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from orrery.llm.common import flat, small_batches, text_of
+from orrery.llm.common import flat, small_batches, text_of, written
 
 DECAY = 0.5
 # The normalised kernel is taken to this power (a kernel again): likeness by chance fades.
@@ -33,11 +34,15 @@ DECAY = 0.5
 POWER, FLOOR = 3, 0.3
 # Long words are cut into overlapping pieces of this many letters: every part is seen.
 PIECE = 24
-# Bound of labelled rows a class that the machine is fitted on.
-TRAIN_ROWS = 4000
-# Landmarks at most. One needs this share of the toxic texts (and three of them), and to be so
-# many times as frequent there as in clean ones.
-MARKS, SUPPORT, ODDS = 48, 0.01, 24
+# Labelled rows a class that the machine is fitted on, besides some toxic texts of each landmark;
+# landmarks are chosen from all labelled training rows.
+TRAIN_ROWS, TEXTS_A_MARK = 4000, 8
+# A mark needs so many toxic texts, to be so many times as frequent there as in clean ones, and counts
+# that fewer than one of all candidates would reach by chance: a few texts, whatever the number of
+# labels. A text names so many of its marks.
+SUPPORT, ODDS, NAMED = 3, 24, 8
+# Labels and candidates that are broadcast at once; more take more passes over the texts.
+LABELS_A_PASS, CANDIDATES_A_PASS = 1_000_000, 200_000
 RIDGE = 2e-4
 CACHE = 300_000
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -122,6 +127,7 @@ class WordKernel:
         self.need = np.ceil(np.bitwise_count(self.bits) * 0.75).astype(np.int64)
         own = _codes(self.landmarks, self.width, -1)
         self.norm = np.sqrt(subsequence_kernel(own, self.codes)) if self.landmarks else np.zeros(0)
+        self.exact = {m: i for i, m in enumerate(self.landmarks)}
         self.rows = np.zeros((1024, len(self.landmarks)), np.float32)  # row 0: no landmark is near
         self.used = 1
 
@@ -153,6 +159,11 @@ class WordKernel:
                 own = subsequence_kernel(_codes(texts, width, -1), _codes(texts, width, -2))
                 k = k / np.sqrt(own[back])
                 out[i, m] = np.where(k >= FLOOR, k ** POWER, 0)
+        for i, word in enumerate(words):
+            for n in range(2, min(len(word), self.width) + 1):
+                m = self.exact.get(word[:n])
+                if m is not None and (n > 3 or n == len(word)):
+                    out[i, m] = 1
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -217,61 +228,99 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of about `rows` labelled training texts a class: all of them where there are fewer.
-
-    The bound is kept by a hash of the id against the share wanted. The chosen ids are at most
-    about twice `rows`, so they may be broadcast and the texts are not shuffled.
-    """
-    known = (
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, share): the labelled training rows, with a hash of the id as a share of one."""
+    return (
         labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        .withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30))
     )
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for toxic, n in counts.items():
-        keep = keep | ((F.col("toxic") == toxic) & (share < min(1.0, rows / n)))
-    chosen = known.where(keep)
-    ids = docs.sparkSession.createDataFrame(chosen.toPandas().astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int") \
-        if counts else chosen
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 
-def candidate_counts(sample: DataFrame) -> DataFrame:
-    """For each word and word beginning of four letters or more: texts of each class that have it."""
+def labelled_texts(docs: DataFrame, known: DataFrame, count: int) -> DataFrame:
+    """text, toxic, share of `docs` with a label: texts are not shuffled, labels are broadcast part by part."""
+    parts = max(1, -(-count // LABELS_A_PASS))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts))
+    found = None
+    for i in range(parts):
+        joined = docs.select("doc_id", "text").join(F.broadcast(known.where(part == i)), "doc_id").select("text", "toxic", "share")
+        found = joined if found is None else found.unionAll(joined)
+    return found
+
+
+def candidates(text: str) -> set[str]:
+    """A text's words, and their beginnings of four to twelve letters."""
+    found = set()
+    for w in {q for w in words_of(text) for q in pieces(plain(w))}:
+        if len(w) > 3:
+            found.update(w[:n] for n in range(4, min(len(w), 12) + 1))
+        elif len(w) > 1:
+            found.add(w)
+    return found
+
+
+def candidate_counts(texts: DataFrame, among: set[str] | None = None) -> DataFrame:
+    """mark, n: how many texts have each candidate."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = [Counter(), Counter()]
+        tally = Counter()
         for b in batches:
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                found = set()
-                for w in words_of(text_of(text)):
-                    for p in pieces(plain(w)):
-                        found.update(p[:n] for n in range(4, min(len(p), 12) + 1))
-                tally[toxic].update(found)
-        keys = [k for k in tally[0].keys() | tally[1].keys()]
+            for text in b["text"]:
+                found = candidates(text_of(text))
+                tally.update(found if among is None else found & among)
+        keys = list(tally)
         for at in range(0, len(keys), 50_000):
             part = keys[at:at + 50_000]
-            yield pd.DataFrame({"mark": part, "bad": [tally[1][k] for k in part], "good": [tally[0][k] for k in part]})
+            yield pd.DataFrame({"mark": part, "n": [tally[k] for k in part]})
+
+    return texts.select("text").mapInPandas(count, "mark string, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+
+
+def marking(texts: DataFrame, bad_texts: int, good_texts: int) -> dict[str, float]:
+    """Candidates with the support and the odds, over all labelled training texts, and their gain."""
+    bad = written(candidate_counts(texts.where("toxic = 1")).where(F.col("n") >= SUPPORT), "toxicity-candidates")
+    parts = max(1, -(-bad.count() // CANDIDATES_A_PASS))
+    tried, found = bad.count(), {}
+    share = bad_texts / (bad_texts + good_texts)
+    for i in range(parts):
+        counts = bad.where(F.pmod(F.xxhash64("mark"), F.lit(parts)) == i).toPandas()
+        toxic = dict(zip(counts["mark"], counts["n"].tolist(), strict=True))
+        good = candidate_counts(texts.where("toxic = 0"), set(toxic)).toPandas()
+        clean = dict(zip(good["mark"], good["n"].tolist(), strict=True))
+        for mark, n in toxic.items():
+            m = clean.get(mark, 0)
+            # Logarithm of the chance (by Chernoff's bound) that so many of a word's texts are toxic.
+            chance = n * np.log(share * (n + m) / n) + (m * np.log((1 - share) * (n + m) / m) if m else 0.0)
+            if n * good_texts >= ODDS * m * bad_texts and np.log(tried) + chance <= 0:
+                found[mark] = n * float(np.log((n + 0.5) / (bad_texts + 1) / ((m + 0.5) / (good_texts + 1))))
+    return found
 
-    return sample.mapInPandas(count, "mark string, bad long, good long").groupBy("mark").agg(
-        F.sum("bad").alias("bad"), F.sum("good").alias("good")
-    )
 
+def strongest(marks: set[str], gain: dict[str, float]) -> list[str]:
+    """The marks with most gain, ties by length and letters, none of them a beginning of another."""
+    found: list[str] = []
+    for m in sorted(marks, key=lambda m: (-gain[m], -len(m), m)):
+        if not any(m.startswith(x) or x.startswith(m) for x in found):
+            found.append(m)
+            if len(found) == NAMED:
+                break
+    return found
 
-def choose_landmarks(counts: DataFrame, bad_texts: int, good_texts: int) -> list[str]:
-    """Beginnings that mark toxic texts best, none of them a beginning of another."""
-    odds = (F.col("bad") + 0.5) / (bad_texts + 1) / ((F.col("good") + 0.5) / (good_texts + 1))
-    found = (
-        counts.where((F.col("bad") >= max(3, SUPPORT * bad_texts)) & (odds >= ODDS)).withColumn("gain", F.col("bad") * F.log(odds))
-        .orderBy(F.desc("gain"), F.desc(F.length("mark")), "mark").limit(40 * MARKS).collect()
-    )
-    marks: list[str] = []
-    for r in found:
-        if len(marks) < MARKS and not any(r["mark"].startswith(m) or m.startswith(r["mark"]) for m in marks):
-            marks.append(r["mark"])
-    return marks
+
+def named_marks(texts: DataFrame, gain: dict[str, float]) -> DataFrame:
+    """text, share, marks: the strongest marks of each text."""
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            marks = [strongest(candidates(text_of(x)) & gain.keys(), gain) for x in b["text"]]
+            yield pd.DataFrame({"text": b["text"], "share": b["share"], "marks": marks})
+
+    return texts.select("text", "share").mapInPandas(name, "text string, share double, marks array<string>")
+
+
+def choose_landmarks(votes: dict[str, int]) -> list[str]:
+    """All marks that toxic texts name but those that begin with another one: their texts have that one too."""
+    return sorted(m for m in votes if not any(m[:n] in votes for n in range(4, len(m))))
 
 
 def fit_machine(features: np.ndarray, toxic: np.ndarray, landmarks: list[str]) -> Machine:
@@ -309,21 +358,32 @@ def fit_machine(features: np.ndarray, toxic: np.ndarray, landmarks: list[str]) -
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
-    """The machine for `score`; only landmarks, counts and one short feature row a text reach the driver."""
+    """The machine for `score`; only candidates, landmarks, counts and one short feature row a text reach the driver."""
     small_batches(docs.sparkSession)
-    sample = train_sample(docs, labels, rows)
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    known = known_labels(labels)
+    texts = labelled_texts(docs, known, known.count())
+    totals = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return None
-    landmarks = choose_landmarks(candidate_counts(sample), totals[1], totals[0])
+    gain = marking(texts, totals[1], totals[0])
+    named = written(named_marks(texts.where("toxic = 1"), gain), "toxicity-named")
+    votes = {r["mark"]: r["count"] for r in named.select(F.explode("marks").alias("mark")).groupBy("mark").count().collect()}
+    landmarks = choose_landmarks(votes)
+    usual = rows / totals[1]
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kernel = WordKernel(landmarks)
         for b in batches:
-            yield pd.DataFrame({"f": list(kernel.features([text_of(x) for x in b["text"]])), "toxic": b["toxic"]})
-
-    rows_in = sample.mapInPandas(features, "f array<float>, toxic int").toPandas()
-    return fit_machine(np.stack(rows_in["f"].to_list()).astype(float), rows_in["toxic"].to_numpy(), landmarks)
+            # Of rarely named marks all texts are kept, of the others some at least.
+            keep = [s < max([usual, *(TEXTS_A_MARK / votes[m] for m in ms)]) for s, ms in zip(b["share"], b["marks"], strict=True)] \
+                if "marks" in b else [True] * len(b)
+            yield pd.DataFrame({"f": list(kernel.features([text_of(x) for x, k in zip(b["text"], keep, strict=True) if k]))})
+
+    clean = texts.where((F.col("toxic") == 0) & (F.col("share") < rows / totals[0])).select("text")
+    bad, good = (
+        np.array([r for r in x.mapInPandas(features, "f array<float>").toPandas()["f"]], float).reshape(-1, len(landmarks)) for x in (named, clean)
+    )
+    return fit_machine(np.vstack([bad, good]), np.repeat([1, 0], [len(bad), len(good)]), landmarks)
 
 
 def score(text: Column, machine: Machine | None) -> Column:

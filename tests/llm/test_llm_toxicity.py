@@ -51,6 +51,30 @@ def test_held_out_documents(spark):
     assert sum(caught) >= 0.8 * len(caught)
 
 
+def test_rare_insults_are_landmarks(spark):
+    """Sixty insults, each in seven of 420 toxic texts, words of three letters among them, are found in other texts."""
+    common = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("rumal", "nosit", "lakem")]
+    insults = [f"{a}{b}{c}{d}" for a in "qxz" for b in "jwyk" for c in "äöüßø" for d in ("", "vhpq")]
+    insults = insults[:60]
+    texts = []
+    for i in range(4000):  # 60 insults in seven toxic texts each; common words in all
+        words = [common[(i * k + k * k) % len(common)] for k in range(1, 9)]
+        texts.append((i, " ".join(words + ([insults[i % 60]] if i < 420 else [])), int(i < 420)))
+    texts += [(10_000 + i, f"{common[i % 60]} {insults[i]} {common[(i * 7) % 60]}", 1) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    known = docs.where("doc_id < 10000")
+    machine = toxicity.train(known, known.select("doc_id", "toxic"))
+    covered = [w for w in insults if any(w.startswith(m) for m in machine.landmarks)]
+    assert len(covered) > 48
+    out = docs.where("doc_id >= 10000").withColumn("s", toxicity.score(docs["text"], machine)).collect()
+    assert sum(r.s >= 0.5 for r in out if any(w in covered for w in r.text.split())) >= 0.9 * len(covered)
+
+
+def test_beginnings_are_landmarks():
+    k = toxicity.WordKernel(["bomentec", "zot"]).features(["bomenteci", "bomente", "zot", "zotter"])
+    assert k[0, 0] == 1 and k[1, 0] < 1 and k[2, 1] == 1 and k[3, 1] < 1
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, awkward())
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
