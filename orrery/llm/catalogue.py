@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontam, html_text, jaccard, oracles, packing, quality, secret_scan, substring, tokens, toxicity, url_rules
+from orrery.llm import decontam, html_text, jaccard, oracles, packing, quality, secret_scan, substring, token_counts, tokens, toxicity, url_rules, vector_codes, whitening
 from orrery.llm.common import table
 from orrery.llm.encode import tokenizer_path
 
@@ -86,5 +86,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code and the errors of every vector, with the digest of the codebooks."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.counted(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 ORACLES["op1_substring_dedup"] = oracles.SUBSTRING
 ORACLES["op8_decontamination"] = oracles.DECONTAMINATION
+ORACLES["op11_vector_codes"] = oracles.lloyd(vector_codes.ROUNDS)

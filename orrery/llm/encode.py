@@ -63,7 +63,7 @@ class Encoder:
     A text of plain characters is cut into the tokenizer's pieces here, and its model encodes each
     distinct piece once. Other texts are cut at white space, where the tokenizer never joins
     characters across it, and each distinct chunk goes through the whole tokenizer; for any other
-    tokenizer the whole text does.
+    tokenizer the whole text does, and so does a text that holds the string of an added token.
     """
 
     def __init__(self, path: str):
@@ -71,7 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
@@ -99,14 +99,19 @@ class Encoder:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
         return array.array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def cut(self, text: str) -> tuple[Known, list[str]] | None:
+        """The parts of a text that can be encoded alone and the map of their ids; None where only the whole text can."""
+        if any(s in text for s in self.added):
+            return None
         if self.pieces and PLAIN.fullmatch(text):
-            pieces = self.pieces.findall(text.lower() if self.lower else text)
-            ids = b"".join(map(self.piece_ids.__getitem__, pieces))
-        elif self.chunks and not (self.odd and self.odd.search(text)):
-            ids = b"".join(map(self.chunk_ids.__getitem__, self.chunks.findall(text)))
-        else:
-            ids = self._whole(text)
+            return self.piece_ids, self.pieces.findall(text.lower() if self.lower else text)
+        if self.chunks and not (self.odd and self.odd.search(text)):
+            return self.chunk_ids, self.chunks.findall(text)
+        return None
+
+    def encode(self, text: str) -> np.ndarray:
+        parts = self.cut(text)
+        ids = b"".join(map(parts[0].__getitem__, parts[1])) if parts else self._whole(text)
         return np.frombuffer(ids, self.dtype)
 
     def with_end(self, text: str, end: int) -> np.ndarray:

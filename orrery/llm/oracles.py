@@ -48,3 +48,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def lloyd(rounds: int) -> str:
+    """Codebooks by rounds of plain distances between all parts and entries."""
+    steps = "".join(f"""
+, near{k} AS MATERIALIZED (
+  SELECT r, p, min(d * 256 + e) AS m FROM (
+    SELECT r, p, e, sum((val.v - book{k}.v) * (val.v - book{k}.v))::BIGINT AS d FROM val JOIN book{k} USING (p, i) GROUP BY r, p, e
+  ) GROUP BY r, p
+), book{k + 1} AS MATERIALIZED (
+  SELECT p, e, i, coalesce(mean.v, book{k}.v) AS v FROM book{k} LEFT JOIN (
+    SELECT p, (m % 256)::BIGINT AS e, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM val JOIN near{k} USING (r, p) GROUP BY ALL
+  ) mean USING (p, e, i)
+)""" for k in range(rounds + 1))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), num AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, vec_id, label, x, len(x) // 4 AS w FROM kept
+), val AS MATERIALIZED (
+  SELECT r, (q - 1) // w AS p, (q - 1) % w AS i, x[q] AS v FROM num, unnest(range(1, len(x) + 1)) AS t(q)
+), book0 AS MATERIALIZED (
+  SELECT p, r - 1 AS e, i, v FROM val WHERE r <= 256
+){steps}, digest AS (
+  SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM book{rounds}
+), coded AS (
+  SELECT r, string_agg(format('{{:02x}}', (m % 256)::BIGINT), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM near{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM num JOIN coded USING (r), digest
+"""

@@ -16,18 +16,21 @@ def direct(name, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(encode.tokenizer_path(name))
-    tokenizer.encode_special_tokens = True
     return [e.ids + [2] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_chunks_encode_as_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(encode.tokenizer_path(name))
     parts = ["a", "b", "é", "É", "'s", "'", "1", "23", " ", "  ", "\n", "\t", "\xa0", "　", "!", "日本", "ß", "İ", "Σ", "́",
-             "<|endoftext|>", "\r\n", "\x0b", "\x1c", "ﬁ", "🙂", "_", "'re", "x" * 90]
+             "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "\r\n", "\x0b", "\x1c", "ﬁ", "🙂", "_", "'re", "x" * 90]
     draw, e = random.Random(3), encode.Encoder(encode.tokenizer_path(name))
     for _ in range(4000):
         text = "".join(draw.choices(parts, k=draw.randint(0, 14)))
-        assert e.encode(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert e.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert e.encode("x <|endoftext|> y").tolist() == plain.encode("x <|endoftext|> y", add_special_tokens=False).ids
 
 
 def test_wavelet_matrix():
