@@ -122,7 +122,7 @@ _PERIODS = """(SELECT p_brand AS brand, i, make_date(1995 + i, 1 + base % 6, 1):
 def join_range(t):
     lines = J.star_join(t.lineitem, J.Dim(t.part, [("l_partkey", "p_partkey")])).select("l_shipdate", "l_quantity", "p_brand")
     periods = _periods(t).withColumnRenamed("p_brand", "brand")
-    rows = J.join_range(lines, periods, "l_shipdate", "valid_from", "valid_to", keys=[("p_brand", "brand")], width_days=90)
+    rows = J.join_range(lines, periods, "l_shipdate", "valid_from", "valid_to", keys=[("p_brand", "brand")])
     return rows.groupBy("i").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("qty"))
 
 
@@ -132,7 +132,7 @@ def join_date_period(t):
     first = F.min("o_orderdate")
     p = t.orders.groupBy(c("o_orderpriority").alias("label")).agg(
         (first + F.expr("INTERVAL '100' DAY")).alias("a"), (first + F.expr("INTERVAL '400' DAY")).alias("b"))
-    rows = J.join_range(t.lineitem.select("l_shipdate"), p, "l_shipdate", "a", "b", width_days=30, how="inner")
+    rows = J.join_range(t.lineitem.select("l_shipdate"), p, "l_shipdate", "a", "b", how="inner")
     return rows.groupBy("label").agg(F.count("*").alias("lines"))
 
 
@@ -141,7 +141,7 @@ def join_tz_bridge(t):
     bridge = t.spark.sql("""SELECT * FROM VALUES ('Z1', TIMESTAMP_NTZ '2023-01-01', TIMESTAMP_NTZ '2024-01-15', 9), ('Z1', TIMESTAMP_NTZ '2024-01-15', CAST(NULL AS TIMESTAMP_NTZ), 10),
         ('Z2', TIMESTAMP_NTZ '2023-01-01', CAST(NULL AS TIMESTAMP_NTZ), 0) AS b(zone, utc_start, utc_end, hours)""")
     mine = bridge.filter(c("zone") == "Z1")
-    rows = J.join_range(t.events, mine, "ts", "utc_start", "utc_end", width_days=7)
+    rows = J.join_range(t.events, mine, "ts", "utc_start", "utc_end")
     local = c("ts") + F.make_interval(hours=c("hours"))
     return rows.groupBy(F.to_date(local).alias("local_day")).agg(F.count("*").alias("n"))
 

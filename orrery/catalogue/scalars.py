@@ -280,7 +280,7 @@ def network_days(t):
     base = F.lit("1996-01-01").cast("date")
     s = F.date_add(base, (c("event_id") % 700).cast("int"))
     spans = t.events.select("event_id", s.alias("s"), F.date_add(s, (c("user_id") % 60).cast("int")).alias("e"))
-    return D.network_days(spans, "event_id", "s", "e", holidays, "h").select("event_id", "network_days")
+    return D.network_days(spans, "s", "e", holidays, "h").select("event_id", "network_days")
 
 
 # --- templates and named SQL functions ---------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.operators.joins import join_range
+from orrery.functions.search import blocks, place
 
 today = F.current_date
 now = F.current_timestamp
@@ -363,24 +363,18 @@ def business_duration_str(start: Column, end: Column) -> Column:
     return F.concat(F.floor(m / 60).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
 
 
-def network_days(df: DataFrame, key: str, start: str, end: str, holidays: DataFrame, holiday: str) -> DataFrame:
-    """Weekdays from start to end, both counted, less the holidays that fall on them.
+def network_days(df: DataFrame, start: str, end: str, holidays: DataFrame, holiday: str) -> DataFrame:
+    """`df` with its weekdays from start to end, both counted, less the holidays that fall on them.
 
-    Holidays are counted through a range join binned by month, so neither side is
-    multiplied by the other. `key` must be unique.
+    The distinct holidays on weekdays, at most as many as there are days, travel to the rows as one sorted list;
+    each row finds how many lie up to its end and before its start, so that `df` is neither joined nor shuffled.
     """
-    days = holidays.select(F.col(holiday).alias("_h")).filter(~is_weekend(F.col("_h"))).distinct()
-    spans = df.select(key, F.col(start).alias("_s"), F.date_add(F.col(end), 1).alias("_e"))
-    hits = join_range(days, spans, "_h", "_s", "_e", width_days=31, how="inner")
-    lost = hits.groupBy(key).agg(F.count("*").alias("_lost"))
-    return (
-        df.join(lost, key, "left")
-        .withColumn(
-            "network_days",
-            business_days(F.col(start), F.col(end), inclusive=True) - F.coalesce(F.col("_lost"), F.lit(0)),
-        )
-        .drop("_lost")
-    )
+    days = holidays.select(F.to_date(holiday).alias("_h")).where(F.col("_h").isNotNull() & ~is_weekend(F.col("_h")))
+    listed = days.agg(blocks(F.array_sort(F.collect_set("_h"))).alias("_b")).scalar()
+    found = df.withColumn("_holidays", listed)
+    a, b = F.to_date(start), F.to_date(end)
+    lost = F.when(a <= b, place(b, F.col("_holidays"), upto=True) - place(a, F.col("_holidays"))).otherwise(0)
+    return found.withColumn("network_days", business_days(F.col(start), F.col(end), inclusive=True) - lost).drop("_holidays")
 
 
 # --- durations -----------------------------------------------------------------------------

@@ -13,7 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from orrery.operators.keys import beside, join_on
+from orrery.operators.keys import beside, equal_pairs, join_on
+from orrery.operators.ranges import join_range  # noqa: F401
+from orrery.operators.segments import cut_hot
 
 
 @dataclass(frozen=True)
@@ -37,30 +39,18 @@ def star_join(fact: DataFrame, *dims: Dim) -> DataFrame:
     for d in dims:
         names = d.table.columns if d.keep is None else list(dict.fromkeys([*(k for _, k in d.on), *d.keep]))
         side = d.table.select(*[d.table[c].alias(d.prefix + c) for c in names])
-        out = out.join(side, _equal(out, side, [(a, d.prefix + b) for a, b in d.on]), d.how)
-    return out
-
-
-def _equal(a: DataFrame, b: DataFrame, on: Sequence[tuple[str, str]]) -> list[Column]:
-    """Equalities of key pairs. Whole numbers of unlike width are widened; like types are
-    left alone, so that a partitioning both sides already have is used."""
-    whole = ("tinyint", "smallint", "int", "bigint")
-    out = []
-    for x, y in on:
-        tx, ty = a.schema[x].dataType.simpleString(), b.schema[y].dataType.simpleString()
-        wide = tx != ty and tx in whole and ty in whole
-        out.append(a[x].cast("bigint") == b[y].cast("bigint") if wide else a[x] == b[y])
+        out = out.join(side, equal_pairs(out, side, [(a, d.prefix + b) for a, b in d.on]), d.how)
     return out
 
 
 def semi_join(df: DataFrame, members: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows whose key is in `members`; duplicates on the member side never multiply rows."""
-    return df.join(members, _equal(df, members, on), "left_semi")
+    return df.join(members, equal_pairs(df, members, on), "left_semi")
 
 
 def anti_join(df: DataFrame, members: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows whose key is not in `members`; a NULL key is never a member."""
-    return df.join(members, _equal(df, members, on), "left_anti")
+    return df.join(members, equal_pairs(df, members, on), "left_anti")
 
 
 exists_in = semi_join
@@ -137,85 +127,45 @@ def lookup_value(
     return df.join(first, df[key] == first["_k"], "left").drop("_k")
 
 
-def _position(c: Column) -> Column:
-    """Seconds since 1970 for dates and timestamps."""
-    return F.unix_seconds(c.cast("timestamp"))
-
-
-def join_range(
-    left: DataFrame,
-    right: DataFrame,
-    ts: str,
-    start: str,
-    end: str,
-    keys: Sequence[tuple[str, str]] = (),
-    width_days: float = 30,
-    how: str = "left",
-) -> DataFrame:
-    """Rows of `right` whose half-open interval [start, end) holds `left.ts`.
-
-    Both sides meet on a time bin of `width_days` besides the keys, so Spark plans an
-    equi-join. An interval is listed once per bin it touches inside the time span of
-    `left`; a NULL start or end is open. A row has one bin, so no pair comes twice. Joins
-    that keep rows of `right` are refused: their intervals are listed more than once.
-    """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"join_range cannot keep the right side's rows: {how}")
-    width = int(width_days * 86400)
-    span = left.agg(F.min(_position(F.col(ts))).alias("lo"), F.max(_position(F.col(ts))).alias("hi"))
-    ends = span.select(F.struct("lo", "hi")).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
-    first = F.greatest(_position(F.col(start)), lo)
-    last = F.least(_position(F.col(end)), hi)
-    bins = F.sequence(F.floor(first / width), F.floor(last / width))
-    listed = right.filter((last >= first)).withColumn("_bin", F.explode(bins))
-    marked = left.withColumn("_row_bin", F.floor(_position(F.col(ts)) / width))
-    cond = [marked["_row_bin"] == listed["_bin"]]
-    cond += _equal(marked, listed, keys)
-    cond += [listed[start].isNull() | (marked[ts] >= listed[start])]
-    cond += [listed[end].isNull() | (marked[ts] < listed[end])]
-    return marked.join(listed, cond, how).drop("_bin", "_row_bin")
-
-
 def join_asof(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_ts: str,
-    right_ts: str,
-    values: Sequence[str],
-    segment: str = "day",
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str],
 ) -> DataFrame:
     """Each left row with the latest right row at or before it, per key.
 
-    The time line is cut into segments. Inside a (key, segment) a window finds the
-    latest right row; what earlier segments leave behind is carried in through one row
-    per (key, segment). So a hot key is spread over as many tasks as it has segments.
-    Right rows that share key and time are resolved to the greatest values.
+    Both sides are stacked and shuffled once by key; a window finds the latest right row. The time lines of hot
+    keys are cut into segments of about equally many rows (`segments`), each a task's work, and what earlier
+    segments leave behind comes in through one row per (hot key, segment). Right rows that share key and time
+    are resolved to the greatest values; a NULL key or time matches nothing.
     """
     keys = list(keys)
     # Hits are ordered by time and then by values, so the latest one is the greatest.
     hit = F.struct(F.col(right_ts).alias("at"), *[F.col(v) for v in values])
     known = right.dropna(subset=[*keys, right_ts]).select(*keys, F.col(right_ts).alias("_ts"), hit.alias("_hit"))
     rows = left.select(*keys, F.col(left_ts).alias("_ts"), F.struct(*left.columns).alias("_row"))
+    cuts = cut_hot(rows.select(*keys, "_ts").unionByName(known.select(*keys, "_ts")), keys, "_ts")
     both = rows.withColumn("_hit", F.lit(None).cast(known.schema["_hit"].dataType)).unionByName(
         known.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
-    ).withColumn("_seg", F.date_trunc(segment, F.col("_ts")))
-
-    inside = W.partitionBy(*keys, "_seg").orderBy("_ts").rangeBetween(W.unboundedPreceding, W.currentRow)
-    local = both.withColumn("_local", F.max("_hit").over(inside)).filter(F.col("_row").isNotNull())
-    ends = both.groupBy(*keys, "_seg").agg(F.max("_hit").alias("_end"))
-    along = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("_seg").alias("__seg"), F.max("_end").over(along).alias("_carry"))
-
-    # Plain equality keeps the partitioning of the window; rows with a NULL key match nothing.
-    cond = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("_seg") == F.col("__seg")]
-    found = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.coalesce(F.col("_local"), F.col("_carry")))
-    return (
-        local.join(carried, cond, "left")
-        .select("_row", found.alias("_found"))
-        .select("_row.*", F.col("_found.at").alias(right_ts), *[F.col(f"_found.{v}").alias(v) for v in values])
     )
+    parts = keys
+    if cuts:
+        both, parts = cuts.on(both, "_ts"), [*keys, "_seg", "_share"]
+    upto = W.partitionBy(*parts).orderBy("_ts").rangeBetween(W.unboundedPreceding, W.currentRow)
+    latest = both.withColumn("_latest", F.max("_hit").over(upto)).where(F.col("_row").isNotNull())
+    if cuts:
+        ends = cuts.on(known, "_ts").groupBy(*keys, "_seg").agg(F.max("_hit").alias("_end"))
+        # At most two rows per shuffle partition: the hot keys' segments. An instant's own hits count for all its rows.
+        line = join_on(cuts.numbered(), ends, [*keys, "_seg"], "left")
+        ahead = W.partitionBy(*keys).orderBy("_seg")
+        before = F.max("_end").over(ahead.rowsBetween(W.unboundedPreceding, -1))
+        carried = F.when(F.col("_instant"), F.max("_end").over(ahead.rowsBetween(W.unboundedPreceding, 0))).otherwise(before)
+        carry = line.select(*keys, "_seg", carried.alias("_carry"))
+        latest = join_on(latest, F.broadcast(carry), [*keys, "_seg"], "left")
+        timed = F.col("_ts").isNotNull()
+        latest = latest.withColumn("_latest", F.when(timed, F.greatest("_latest", "_carry")))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("_ts").isNotNull())
+    found = F.when(whole, F.col("_latest"))
+    return latest.select("_row", found.alias("_found")).select(
+        "_row.*", F.col("_found.at").alias(right_ts), *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def discover_joins(tables: Mapping[str, DataFrame], name_of=lambda c: c.lower()) -> DataFrame:

@@ -1,10 +1,29 @@
-"""Joins on equally named columns where NULL equals NULL."""
+"""Conditions of joins: key pairs, and equally named columns where NULL equals NULL."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def equal_pairs(a: DataFrame, b: DataFrame, on: Sequence[tuple[str, str]]) -> list[Column]:
+    """Equalities of key pairs. Whole numbers of unlike width are widened; like types are
+    left alone, so that a partitioning both sides already have is used."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    out = []
+    for x, y in on:
+        tx, ty = a.schema[x].dataType.simpleString(), b.schema[y].dataType.simpleString()
+        wide = tx != ty and tx in whole and ty in whole
+        out.append(a[x].cast("bigint") == b[y].cast("bigint") if wide else a[x] == b[y])
+    return out
+
+
+def share_of(df: DataFrame, n: Column) -> Column:
+    """A number below n for each row, which spreads equal rows too: the reading task's number counts besides the
+    row's hash. Unlike a random number it is the same when a lost task runs again."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), n).cast("int")
 
 
 def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from orrery.operators.keys import join_on
+from orrery.operators.segments import cut_hot, micros
 from orrery.session import fresh_path
 
 
@@ -81,30 +83,49 @@ def late_rows(progress: Sequence[Mapping]) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))
 
 
-def sessions(events: DataFrame, user: str, ts: str, gap_seconds: int, measures: Mapping[str, Column], segment: str = "day") -> DataFrame:
-    """Sessions of a batch of events: a new one starts after `gap_seconds` without an event.
+def sessions(events: DataFrame, user: str, ts: str, gap_seconds: int, measures: Mapping[str, Column]) -> DataFrame:
+    """Sessions of a batch of events: a new one starts after `gap_seconds` without an event. Events without a time have none.
 
-    The time line is cut into segments, so that a user with a third of all events is
-    spread over as many tasks as segments: inside a segment a window finds the breaks, and
-    one row per (user, segment) carries the last event time and the session number on.
+    Events are shuffled once by user, and windows find and number the breaks. The time lines of hot users are cut
+    into segments of about equally many events (`segments`); into each comes the last time before it and
+    the number of sessions begun by then, from one row per (hot user, segment).
     """
-    # A struct key equals itself also where the user is NULL, and keeps one partitioning
-    # through the windows and the joins below.
-    rows = events.filter(F.col(ts).isNotNull()).withColumn("_key", F.struct(user)).withColumn("_seg", F.date_trunc(segment, F.col(ts)))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    at = ["_key", "_seg"]
-    along, inside = W.partitionBy("_key").orderBy("_seg"), W.partitionBy(*at).orderBy(ts)
-    ends = rows.groupBy(*at).agg(F.max(ts).alias("_last"))
-    carried = ends.select(*at, F.lag("_last").over(along).alias("_before"))
-    marked = rows.withColumn("_lag", F.lag(ts).over(inside)).join(carried, at, "left").withColumn("_prev", F.coalesce("_lag", "_before"))
-    # Equal instants follow one another without a break, whatever order they are read in.
-    opens = F.col("_prev").isNull() | (micros(ts) - micros("_prev") >= gap_seconds * 1_000_000)
-    marked = marked.withColumn("_open", opens.cast("int"))
-    counts = marked.groupBy(*at).agg(F.sum("_open").alias("_n"))
-    earlier = counts.select(*at, F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    local = marked.withColumn("_local", F.sum("_open").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)))
-    numbered = local.join(earlier, at, "left").withColumn("session", F.col("_base") + F.col("_local"))
-    return numbered.groupBy(user, "session").agg(
+    rows = events.where(F.col(ts).isNotNull())
+    cuts = cut_hot(rows.select(user, ts), [user], ts)
+    parts = [user]
+    if cuts:
+        rows, parts = cuts.on(rows, ts), [user, "_seg", "_share"]
+        at = [user, "_seg"]
+        is_hot = F.broadcast(cuts.table.select(F.col(user).alias("_hot")))
+        hot = rows.join(is_hot, F.col(user).eqNullSafe(F.col("_hot")), "left_semi")
+        ahead = W.partitionBy(user).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
+        # One row per hot user and segment: at most two per shuffle partition.
+        line = join_on(cuts.numbered(), hot.groupBy(*at).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last")), at, "left")
+        line = line.withColumn("_before", F.max("_last").over(ahead)).select(*at, "_first", "_before")
+        rows = join_on(rows, F.broadcast(line), at, "left")
+    inside = W.partitionBy(*parts).orderBy(ts)
+
+    def opens(before: Column, now: Column) -> Column:
+        # Equal instants follow one another without a break, whatever order they are read in.
+        gone = micros(now) - micros(before)
+        return (before.isNull() | ((gone >= gap_seconds * 1_000_000) & (gone > 0))).cast("int")
+
+    def marked(df: DataFrame) -> DataFrame:
+        before = F.lag(ts).over(inside)
+        return df.withColumn("_open", opens(F.coalesce(before, F.col("_before")) if cuts else before, F.col(ts)))
+
+    numbered = marked(rows).withColumn("_local", F.sum("_open").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)))
+    number = F.col("_local")
+    if cuts:
+        # All rows of an instant lie in the session that its first row opens or goes on with.
+        whole = opens(F.col("_before"), F.col("_first"))
+        hot = join_on(hot, F.broadcast(line), at, "left")
+        counts = marked(hot).groupBy(*at).agg(F.max(F.when(F.col("_instant"), whole)).alias("_once"), F.sum("_open").alias("_n"))
+        base = join_on(cuts.numbered(), counts, at, "left").select(
+            *at, F.coalesce(F.sum(F.coalesce("_once", "_n")).over(ahead), F.lit(0)).alias("_base"))
+        numbered = join_on(numbered, F.broadcast(base), at, "left")
+        number = F.coalesce("_base", F.lit(0)) + F.when(F.col("_instant"), whole).otherwise(F.col("_local"))
+    return numbered.withColumn("session", number).groupBy(user, "session").agg(
         F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), *[m.alias(n) for n, m in measures.items()]
     )
 

@@ -39,7 +39,7 @@ def test_range_join(spark, events):
     starts = pd.date_range("2023-12-20", periods=9, freq="5D")
     spans = pd.DataFrame({"a": starts, "b": starts + pd.Timedelta(days=12), "label": range(9)})
     spans.loc[8, "b"] = pd.NaT  # open end
-    out = J.join_range(spark.createDataFrame(events), spark.createDataFrame(spans), "ts", "a", "b", width_days=3)
+    out = J.join_range(spark.createDataFrame(events), spark.createDataFrame(spans), "ts", "a", "b")
     got = sorted((r.id, -1 if r.label is None else r.label) for r in out.select("id", "label").collect())
     want = []
     for e in events.itertuples():
@@ -93,12 +93,12 @@ def test_percentiles_are_exact(spark, events, accuracy):
 
 def test_percentile_of_one_value_and_nulls(spark):
     df = spark.createDataFrame([("a", 4.0), ("a", None), ("b", 1.0), ("b", 2.0), ("c", None)], "g string, v double")
-    assert {r.g: r.m for r in G.percentiles(df, ["g"], "v", {"m": (0.5, "cont")}).collect()} == {"a": 4.0, "b": 1.5}
+    assert {r.g: r.m for r in G.percentiles(df, ["g"], "v", {"m": (0.5, "cont")}).collect()} == {"a": 4.0, "b": 1.5, "c": None}
 
 
 def test_nth_by_value_counts_repeats(spark):
     df = spark.createDataFrame([("a", x) for x in (9.0, 9.0, 7.0, 5.0)] + [("b", 1.0)], "g string, v double")
-    assert {r.g: r.v3 for r in G.nth_by_value(df, ["g"], "v", 3, "v3").collect()} == {"a": 7.0}
+    assert {r.g: r.v3 for r in G.nth_by_value(df, ["g"], "v", 3, "v3").collect()} == {"a": 7.0, "b": None}
 
 
 def test_point_in_time_count(spark, events):
@@ -109,3 +109,121 @@ def test_point_in_time_count(spark, events):
         d = pd.Timestamp(r.day)
         a, b = span.a.dt.normalize(), span.b.dt.normalize()
         assert r.active == ((a <= d) & (b.isna() | (d < b)) & (b.isna() | (a < b))).sum()
+
+
+def tasks_with_rows(df):
+    """How many partitions of the result hold rows."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+@pytest.fixture
+def shuffled(spark):
+    """No broadcast and no merging of small partitions, as where all sides are large."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def lengths_of_all_kinds():
+    """Intervals of a second to centuries, open, empty and inverted ones, and a repeated one."""
+    at = pd.Timestamp("2024-01-03")
+    spans = [(at, at + pd.Timedelta(seconds=1)), (at, at + pd.Timedelta(hours=7)), (at - pd.Timedelta(days=3), at + pd.Timedelta(days=3)),
+             (pd.Timestamp("1800-01-01"), pd.Timestamp("2100-01-01")), (None, at), (at, None), (None, None), (at, at), (at, at - pd.Timedelta(days=1)),
+             (at, at + pd.Timedelta(hours=7))]
+    return [(a, b, i % 2, i) for i, (a, b) in enumerate(spans)]
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("picked", [slice(None), slice(1, 2), slice(0, 3), slice(0, 0)])
+def test_range_join_of_all_lengths(spark, how, keyed, picked):
+    spans = lengths_of_all_kinds()[picked]
+    at = pd.Timestamp("2024-01-03")
+    rows = [(at + pd.Timedelta(minutes=m), m % 3, m // 400) for m in range(-900, 900, 100)] + [(None, 0, 0), (at, None, 5), (at, 1, 5), (at, 1, 5)]
+    none = lambda x: None if pd.isna(x) else x.to_pydatetime()
+    left = spark.createDataFrame([(none(t) if t is not None else None, k, v) for t, k, v in rows], "ts timestamp, k int, v int")
+    right = spark.createDataFrame([(a and none(a), b and none(b), k, i) for a, b, k, i in spans], "a timestamp, b timestamp, g int, i int")
+    out = J.join_range(left, right, "ts", "a", "b", keys=[("k", "g")] if keyed else (), how=how)
+    got = sorted(((r.ts, r.k, r.v, r.i if how in ("left", "inner") else None) for r in out.collect()), key=str)
+    want = []
+    for t, k, v in rows:
+        hit = [i for a, b, g, i in spans if t is not None and (not keyed or k == g) and (a is None or t >= a) and (b is None or t < b)]
+        row = (None if t is None else t.to_pydatetime(), k, v)
+        if how == "inner" or (how == "left" and hit):
+            want += [(*row, i) for i in hit]
+        elif how == "left" or (how == "left_semi") == bool(hit):
+            want.append((*row, None))
+    assert got == sorted(want, key=str)
+
+
+def test_range_join_without_keys_is_many_tasks(spark, shuffled):
+    rows = spark.range(4000, numPartitions=4).select((F.lit("2024-01-03").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 0, id % 9)")).alias("ts"))
+    spans = spark.createDataFrame([("2024-01-01", "2024-01-08", 1)], "a string, b string, i int").select(F.col("a").cast("timestamp"), F.col("b").cast("timestamp"), "i")
+    out = J.join_range(rows, spans, "ts", "a", "b", how="inner")
+    assert out.count() == 4000 and tasks_with_rows(out) == 8
+    same = rows.select(F.lit("2024-01-03").cast("timestamp").alias("ts"))  # one row, four thousand times
+    assert tasks_with_rows(J.join_range(same, spans, "ts", "a", "b")) > 2
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") + df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_sides_are_read_once(spark, t):
+    lines = t.lineitem.select("l_shipdate", "l_quantity")
+    spans = t.orders.select(F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("b"))
+    assert scans(J.join_range(lines, spans, "l_shipdate", "a", "b")) == 2
+    buys = t.events.select("event_id", "user_id", "ts")
+    clicks = t.events.select("user_id", F.col("ts").alias("at"), "value")
+    assert scans(J.join_asof(buys, clicks, ["user_id"], "ts", "at", ["value"])) == 2
+    assert scans(S.sessions(t.events, "user_id", "ts", 7200, {"n": F.count("*")})) == 1
+
+
+def hot_events():
+    """Nine tenths of the events on one user and one day, a third of all at one instant; some without user or time."""
+    rng = np.random.default_rng(8)
+    day = pd.Timestamp("2024-01-05")
+    ts = [day + pd.Timedelta(seconds=int(s)) for s in rng.integers(0, 86_400, 1200)] + [day + pd.Timedelta(hours=9)] * 800
+    users = [1] * 2000
+    ts += [day + pd.Timedelta(minutes=int(m)) for m in rng.integers(0, 9000, 300)]
+    users += [None if u == 0 else int(u) for u in rng.integers(0, 20, 300)]
+    return pd.DataFrame({"id": range(2300), "user": pd.array(users, "Int64"), "ts": ts, "value": rng.integers(0, 50, 2300)})
+
+
+def as_rows(df):
+    return [(int(r.id), None if pd.isna(r.user) else int(r.user), r.ts.to_pydatetime(), int(r.value)) for r in df.itertuples()]
+
+
+HOT = "id int, user int, ts timestamp, value int"
+
+
+def test_asof_of_a_hot_key(spark, shuffled):
+    e = hot_events()
+    left, right = e[e.id % 3 > 0], e[e.id % 3 == 0]
+    rows = [*as_rows(left), (9001, 1, None, 0), (9002, None, None, 0)]
+    hits = spark.createDataFrame([*as_rows(right), (9003, 1, None, 99)], HOT).select("user", F.col("ts").alias("at"), F.col("value").alias("v"))
+    out = J.join_asof(spark.createDataFrame(rows, HOT), hits, ["user"], "ts", "at", ["v"])
+    got = {r.id: (r["at"], r.v) for r in out.collect()}
+    known = {}
+    for r in right.dropna().itertuples():
+        known.setdefault(int(r.user), []).append((r.ts.to_pydatetime(), int(r.value)))
+    want = {i: max([x for x in known.get(u, []) if t is not None and x[0] <= t], default=(None, None)) for i, u, t, _ in rows}
+    assert got == want
+    assert tasks_with_rows(out.where("user = 1")) > 4
+
+
+def test_sessions_of_a_hot_user(spark, shuffled):
+    for gap in (20, 600):
+        e = hot_events().sort_values(["user", "ts", "id"])
+        ago = e.ts - e.groupby("user", dropna=False).ts.shift()
+        opens = ago.fillna(pd.Timedelta(days=99)) >= pd.Timedelta(seconds=gap)
+        number = opens.groupby(e.user, dropna=False).cumsum()
+        want = e.assign(s=number).groupby(["user", "s"], dropna=False).agg(n=("id", "size"), a=("ts", "min"), b=("ts", "max")).reset_index()
+        out = S.sessions(spark.createDataFrame(as_rows(e), HOT), "user", "ts", gap, {"n": F.count("*")})
+        got = [(r.user, r.session, r.n, r.session_start, r.session_end) for r in out.collect()]
+        key = lambda r: (str(r[0]), r[1])
+        want = [(None if pd.isna(r.user) else int(r.user), r.s, r.n, r.a.to_pydatetime(), r.b.to_pydatetime()) for r in want.itertuples()]
+        assert sorted(got, key=key) == sorted(want, key=key)
