@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.catalogue.registry import query
-from orrery.operators import joins as J, lod as L
+from orrery.operators import joins as J, levels as V, lod as L
+from orrery.operators.rollups import Measure
 
 c = F.col
 R = F.round
@@ -31,16 +32,17 @@ def ctx(t, dims=("r_name", "n_name")):
     })
 
 
-total = lambda: R(F.sum("o_totalprice"), 2)
+def total(name, **more):
+    """The rounded sum of prices as a value of a question."""
+    return V.Value(Measure(name, "SUM", "o_totalprice"), then=lambda x: R(x, 2), **more)
 
 
-def beside(name: str, grouping, scope, sub: str, on: str, measure=total):
+def beside(name: str, grouping, scope, sub: str, on: str):
     """Record a query that puts one LOD value beside sales by region and nation."""
     join = f"LEFT JOIN ({sub}) s ON {on}" if on else f"CROSS JOIN ({sub}) s"
 
     def run(t):
-        x = ctx(t)
-        return x.lod(x.result({"sales": total()}), "lod", measure(), grouping(), scope())
+        return V.beside(ctx(t), [total("sales"), total("lod", grouping=grouping(), scope=scope())])
 
     query(name, f"WITH {BASE}, {MAIN} SELECT q.r_name, q.n_name, q.sales, s.lod FROM q {join}")(run)
 
@@ -66,15 +68,27 @@ beside("lod_only_filter", _REGION, lambda: L.Scope(only=("c_mktsegment",)),
 @query("lod_include", f"""WITH {BASE}, {MAIN} SELECT q.*, s.lod FROM q JOIN (SELECT r_name, n_name, round(avg(v), 4) AS lod
     FROM (SELECT r_name, n_name, o_custkey, sum(o_totalprice) AS v FROM m WHERE {SEL} GROUP BY 1, 2, 3) GROUP BY 1, 2) s ON q.r_name = s.r_name AND q.n_name = s.n_name""")
 def lod_include(t):
-    x = ctx(t)
-    out = x.lod(x.result({"sales": total()}), "lod", F.sum("o_totalprice"), L.Grouping(plus=("o_custkey",)), again=F.avg)
-    return out.withColumn("lod", R("lod", 4))
+    sums = V.Value(Measure("lod", "SUM", "o_totalprice"), L.Grouping(plus=("o_custkey",)), again=F.avg, then=lambda x: R(x, 4))
+    return V.beside(ctx(t), [total("sales"), sums])
 
 
 @query("remove_filter_context", f"WITH {BASE}, {MAIN} SELECT q.*, s.lod FROM q LEFT JOIN (SELECT r_name, {_SUM} FROM m WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1) s ON {ON_R}")
 def remove_filter_context(t):
-    x = ctx(t)
-    return L.remove_filter_context(x, x.result({"sales": total()}), "lod", total(), ["n_name", "o_orderstatus"])
+    free = V.without(Measure("lod", "SUM", "o_totalprice"), ["n_name", "o_orderstatus"], then=lambda x: R(x, 2))
+    return V.beside(ctx(t), [total("sales"), free])
+
+
+@query("lod_unique_count", f"""WITH {BASE}, q AS (SELECT r_name, n_name, count(DISTINCT o_custkey) AS buyers, round(sum(o_totalprice), 2) AS sales FROM m WHERE {SEL} GROUP BY 1, 2)
+    SELECT q.*, s.lod, a.average FROM q LEFT JOIN (SELECT r_name, count(DISTINCT o_custkey) AS lod FROM m WHERE o_orderstatus = 'O' GROUP BY 1) s ON {ON_R}
+    LEFT JOIN (SELECT r_name, round(avg(o_totalprice), 4) AS average FROM m GROUP BY 1) a ON q.r_name = a.r_name""")
+def lod_unique_count(t):
+    """Distinct counts and averages of several groupings and scopes from one pass."""
+    region = L.Grouping(fixed=("r_name",))
+    return V.beside(ctx(t), [
+        V.Value(Measure("buyers", "UNIQUE_COUNT", "o_custkey")), total("sales"),
+        V.Value(Measure("lod", "UNIQUE_COUNT", "o_custkey"), region, L.Scope(minus=("c_mktsegment",))),
+        V.Value(Measure("average", "AVG", "o_totalprice"), region, L.Scope(inherit=False), then=lambda x: R(x, 4)),
+    ])
 
 
 @query("set_override", f"""WITH {BASE}, {MAIN} SELECT q.r_name, q.n_name, q.sales, a.v AS replaced, b.v AS added, d.v AS removed, e.v AS everything FROM q
@@ -84,11 +98,11 @@ def remove_filter_context(t):
     LEFT JOIN (SELECT r_name, n_name, round(sum(o_totalprice), 2) AS v FROM m GROUP BY 1, 2) e ON e.n_name = q.n_name""")
 def set_override(t):
     x = ctx(t)
-    out = x.result({"sales": total()})
-    out = L.set_override(x, out, "replaced", total(), replace={"o_orderstatus": ["F"]})
-    out = L.set_override(x, out, "added", total(), add={"c_mktsegment": ["FURNITURE"]})
-    out = L.set_override(x, out, "removed", total(), remove={"c_mktsegment": ["MACHINERY"]})
-    return L.set_override(x, out, "everything", total(), everything=True)
+    again = lambda name, **edit: V.reselected(x, Measure(name, "SUM", "o_totalprice"), then=lambda v: R(v, 2), **edit)
+    return V.beside(x, [
+        total("sales"), again("replaced", replace={"o_orderstatus": ["F"]}), again("added", add={"c_mktsegment": ["FURNITURE"]}),
+        again("removed", remove={"c_mktsegment": ["MACHINERY"]}), again("everything", everything=True),
+    ])
 
 
 for _name, _f, _sql in (

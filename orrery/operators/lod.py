@@ -7,7 +7,7 @@ query result, so only group rows meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -69,6 +69,11 @@ class Context:
     def scoped(self, scope: Scope) -> DataFrame:
         return reduce(DataFrame.filter, scope.predicates(self.filters), self.rows)
 
+    def scoped_predicate(self, scope: Scope) -> Column | None:
+        """The scope's filters as one condition; None where it has none."""
+        kept = scope.predicates(self.filters)
+        return reduce(Column.__and__, kept) if kept else None
+
     def result(self, measures: Mapping[str, Column]) -> DataFrame:
         """The query itself: filtered rows grouped by its dimensions."""
         return self.scoped(Scope()).groupBy(*self.dims).agg(*[m.alias(n) for n, m in measures.items()])
@@ -97,39 +102,6 @@ class Context:
         return join_on(result, fine, shared, "left")
 
 
-def remove_filter_context(ctx: Context, result: DataFrame, name: str, measure: Column, columns: Iterable[str]) -> DataFrame:
-    """The measure as if the columns were neither grouped by nor filtered on."""
-    gone = tuple(columns)
-    return ctx.lod(result, name, measure, Grouping(minus=gone), Scope(minus=gone))
-
-
-def set_override(
-    ctx: Context,
-    result: DataFrame,
-    name: str,
-    measure: Column,
-    replace: Mapping[str, Sequence] | None = None,
-    add: Mapping[str, Sequence] | None = None,
-    remove: Mapping[str, Sequence] | None = None,
-    everything: bool = False,
-) -> DataFrame:
-    """The measure under an edited selection, per row of the result.
-
-    `replace` selects other values for a column, `add` and `remove` change the
-    selected values, `everything` ignores the selection first.
-    """
-    base = {} if everything else dict(ctx.filters)
-    for c, v in (replace or {}).items():
-        base[c] = F.col(c).isin(list(v))
-    for c, v in (add or {}).items():
-        if c in base:
-            base[c] = base[c] | F.col(c).isin(list(v))
-    for c, v in (remove or {}).items():
-        keep = ~F.col(c).isin(list(v))
-        base[c] = base[c] & keep if c in base else keep
-    return Context(ctx.rows, ctx.dims, base).lod(result, name, measure)
-
-
 def group_value(df: DataFrame, dims: Sequence[str], measure: Column, to: str) -> DataFrame:
     """A fixed LOD value on every raw row.
 

@@ -33,7 +33,7 @@ class Measure:
         """The measure computed from base rows."""
         c = F.col(self.column)
         if self.kind == "RATIO":
-            return self._divide(_FUNC[self.of](c), _FUNC[self.per_of](self.per)).alias(self.name)
+            return self._divide(COMBINE[self.of](c), COMBINE[self.per_of](self.per)).alias(self.name)
         fn = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "AVG": F.avg, "UNIQUE_COUNT": F.count_distinct}
         return fn[self.kind](c).alias(self.name)
 
@@ -101,7 +101,7 @@ def stored(m: Measure) -> Plan:
     return Plan(m, tuple(parts), None if parts else getattr(m, IN_GRAIN[m.kind]))
 
 
-_FUNC = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count}
+COMBINE = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count}
 
 
 def build_rollup(df: DataFrame, dims: Sequence[str], grains: Mapping[str, str | None], measures: Sequence[Measure]) -> DataFrame:
@@ -114,7 +114,7 @@ def build_rollup(df: DataFrame, dims: Sequence[str], grains: Mapping[str, str |
     if lacking:
         raise ValueError(f"the grain lacks {lacking}")
     keys = [*dims, *[(F.col(c) if b is None else date_bucket(F.col(c), b)).alias(c) for c, b in grains.items()]]
-    parts = {c.alias: _FUNC[c.func](c.column).alias(c.alias) for p in plans for c in p.components}
+    parts = {c.alias: COMBINE[c.func](c.column).alias(c.alias) for p in plans for c in p.components}
     return df.groupBy(*keys).agg(*(parts.values() or [F.count("*").alias("rows")]))
 
 
@@ -122,7 +122,7 @@ def reaggregate(rollup: DataFrame, dims: Sequence[str], grains: Mapping[str, str
     """Answer a coarser query from a rollup."""
     plans = [stored(m) for m in measures]
     keys = [*dims, *[date_bucket(F.col(c), b).alias(c) for c, b in grains.items()]]
-    parts = {c.alias: _FUNC[c.again](c.alias).alias(c.alias) for p in plans for c in p.components}
+    parts = {c.alias: COMBINE[c.again](c.alias).alias(c.alias) for p in plans for c in p.components}
     unique = {p.measure.name: F.count_distinct(p.requires).alias(p.measure.name) for p in plans if p.requires}
     grouped = rollup.groupBy(*keys).agg(*parts.values(), *unique.values())
     names = [*dims, *grains]
