@@ -172,7 +172,7 @@ def candidates(t):
         "region_month": ["r_name", D.date_bucket(c("o_orderdate"), "MONTHLY")], "nation_region": ["n_name", "r_name"],
         "wide_month": ["n_name", "r_name", "c_mktsegment", "o_orderstatus", D.date_bucket(c("o_orderdate"), "MONTHLY")],
         "status_quarter": ["o_orderstatus", D.date_bucket(c("o_orderdate"), "QUARTERLY")]}, exact=True)
-    return f.join(size.select(c("grain").alias("rollup_id"), "agg_rows"), "rollup_id")
+    return f.join(size.select(c("grain").alias("rollup_id"), "agg_rows", "base_rows"), "rollup_id")
 
 
 CANDS = f"""base AS ({TOP}), cands AS (
@@ -189,7 +189,7 @@ SERVED = """served AS (SELECT rollup_id, agg_rows, shape_id, weight FROM shapes
     SELECT c.rollup_id, c.agg_rows, coalesce(g.shapes, 0) AS shapes, coalesce(g.weight, 0) AS weight, round(100 * coalesce(g.weight, 0) / (SELECT sum(weight) FROM shapes), 1) AS coverage_pct,
            coalesce(g.weight, 0) * greatest(base_rows - c.agg_rows, 0) AS rows_saved FROM cands c LEFT JOIN g USING (rollup_id), n""")
 def coverage_report(t):
-    return A.coverage_report(shapes(t), candidates(t), PLANS, t.lineitem.count())
+    return A.coverage_report(shapes(t), candidates(t), PLANS)
 
 
 @query("consolidation_report", f"""WITH {LOG}, {SHAPES}, {CANDS}, {SERVED}, narrow AS (SELECT * FROM cands WHERE len(dims) = 1)
@@ -214,10 +214,89 @@ def candidate_grains(t):
     return out.select("rollup_id", "bucket", "covered", "wide_grain")
 
 
+# Shapes with two dates: the day of the order and the day of the shipment.
+_O = f"CASE WHEN value > 15 THEN CASE WHEN {_K} < 50 THEN 'MONTHLY' ELSE 'QUARTERLY' END END"
+_S = f"CASE WHEN {_K} % 3 = 0 THEN 'DAILY' WHEN {_K} % 3 = 1 THEN 'YEARLY' END"
+LOG2 = f"""log AS (SELECT CASE event_type WHEN 'view' THEN ['region'] WHEN 'click' THEN ['nation', 'region'] WHEN 'purchase' THEN ['nation', 'segment'] ELSE ['status'] END AS dimensions,
+    {_O} AS ob, {_S} AS sb, event_type = 'signup' AND {_K} % 3 = 1 AS raw,
+    CASE WHEN {_K} > 90 THEN ['status'] WHEN {_K} > 80 THEN ['ship_date'] ELSE [] END AS filter_columns FROM events),
+  shapes AS (SELECT concat_ws('|', array_to_string(dimensions, '+'), concat_ws('+', 'order_date@' || ob, CASE WHEN raw THEN 'ship_date' ELSE 'ship_date@' || sb END), array_to_string(filter_columns, '+')) AS shape_id,
+    dimensions, ob, CASE WHEN NOT raw THEN sb END AS sb, raw OR sb IS NOT NULL AS ships, filter_columns, count(*)::DOUBLE AS weight FROM log GROUP BY ALL)"""
+
+
+def shapes2(t):
+    names = lambda *n: F.array(*[F.lit(x) for x in n]) if n else F.array().cast("array<string>")
+    k, kind = F.get_json_object("props", "$.k").cast("bigint"), c("event_type")
+    date = lambda name, bucket: F.struct(F.lit(name).alias("column"), bucket.alias("bucket"))
+    ordered = F.when(k < 50, "MONTHLY").otherwise("QUARTERLY")
+    shipped = F.when((k % 3 == 1) & (kind == "signup"), None).otherwise(F.when(k % 3 == 0, "DAILY").otherwise("YEARLY"))
+    dates = F.array_compact(F.array(F.when(c("value") > 15, date("order_date", ordered)), F.when(k % 3 < 2, date("ship_date", shipped))))
+    log = t.events.select(
+        F.when(kind == "view", names("region")).when(kind == "click", names("nation", "region")).when(kind == "purchase", names("nation", "segment")).otherwise(names("status")).alias("dimensions"),
+        dates.cast(A.DATES).alias("dates"), F.when(k > 90, names("status")).when(k > 80, names("ship_date")).otherwise(names()).alias("filter_columns"))
+    return A.query_shapes(log, ["dimensions", "dates", "filter_columns"]).withColumn("measures", names("revenue"))
+
+
+@query("query_shapes_dates", f"WITH {LOG2} SELECT shape_id, weight FROM shapes")
+def query_shapes_dates(t):
+    """Shapes that group by two dates, each with its own bucket."""
+    return shapes2(t).select("shape_id", "weight")
+
+
+# Buckets by fineness; -1 is the raw date.
+_FINE = "CASE {b} WHEN 'DAILY' THEN 1 WHEN 'MONTHLY' THEN 3 WHEN 'QUARTERLY' THEN 4 WHEN 'YEARLY' THEN 5 ELSE -1 END"
+_DATED = f"""(ob IS NULL OR (co IS NOT NULL AND co <= {_FINE.format(b='ob')} )) AND (NOT ships OR (cs IS NOT NULL AND cs <= {_FINE.format(b='sb')}))
+    AND list_has_all(dims, list_filter(filter_columns, lambda x: NOT (ships AND x = 'ship_date')))"""
+CANDS2 = f"""base AS ({TOP}), cands AS (
+    SELECT 'region_month_ship' AS rollup_id, ['region', 'status'] AS dims, 3 AS co, 1 AS cs, (SELECT count(*) FROM (SELECT DISTINCT r_name, o_orderstatus, date_trunc('month', o_orderdate), l_shipdate::DATE FROM base)) AS agg_rows
+    UNION ALL SELECT 'nation_year', ['nation', 'region', 'segment'], 3, 5, (SELECT count(*) FROM (SELECT DISTINCT n_name, r_name, c_mktsegment, date_trunc('month', o_orderdate), year(l_shipdate) FROM base))
+    UNION ALL SELECT 'all_ship', ['nation', 'region', 'segment', 'status'], NULL, 1, (SELECT count(*) FROM (SELECT DISTINCT n_name, r_name, c_mktsegment, o_orderstatus, l_shipdate::DATE FROM base)))"""
+
+
+def candidates2(t):
+    """Three grains of two dates, their sizes from one lattice."""
+    order = lambda b: D.date_bucket(c("o_orderdate"), b)
+    ship = lambda b: D.date_bucket(c("l_shipdate"), b)
+    size = P.profile_grains(rows(t), {
+        "region_month_ship": ["r_name", "o_orderstatus", order("MONTHLY"), ship("DAILY")],
+        "nation_year": ["n_name", "r_name", "c_mktsegment", order("MONTHLY"), ship("YEARLY")],
+        "all_ship": ["n_name", "r_name", "c_mktsegment", "o_orderstatus", ship("DAILY")]}, exact=True)
+    listed = [("region_month_ship", ["region", "status"], [("order_date", "MONTHLY"), ("ship_date", "DAILY")]),
+              ("nation_year", ["nation", "region", "segment"], [("order_date", "MONTHLY"), ("ship_date", "YEARLY")]),
+              ("all_ship", ["nation", "region", "segment", "status"], [("ship_date", "DAILY")])]
+    f = t.spark.createDataFrame(listed, f"rollup_id string, dimensions array<string>, dates {A.DATES}")
+    return f.join(size.select(c("grain").alias("rollup_id"), "agg_rows", "base_rows"), "rollup_id")
+
+
+@query("coverage_report_dates", f"""WITH {LOG2}, {CANDS2}, served AS (SELECT rollup_id, shape_id, weight FROM shapes JOIN cands ON list_has_all(dims, dimensions) AND {_DATED}),
+    n AS (SELECT count(*) AS base_rows FROM lineitem), g AS (SELECT rollup_id, count(*) AS shapes, sum(weight) AS weight FROM served GROUP BY 1)
+    SELECT c.rollup_id, c.agg_rows, coalesce(g.shapes, 0) AS shapes, coalesce(g.weight, 0) AS weight, round(100 * coalesce(g.weight, 0) / (SELECT sum(weight) FROM shapes), 1) AS coverage_pct,
+           coalesce(g.weight, 0) * greatest(base_rows - c.agg_rows, 0) AS rows_saved FROM cands c LEFT JOIN g USING (rollup_id), n""")
+def coverage_report_dates(t):
+    return A.coverage_report(shapes2(t), candidates2(t), PLANS)
+
+
+@query("candidate_grains_dates", f"""WITH {LOG2}, sh AS (SELECT *, list_sort(list_distinct(list_concat(dimensions, list_filter(filter_columns, lambda x: NOT (ships AND x = 'ship_date'))))) AS cols, ob IS NOT NULL AS orders FROM shapes),
+    base AS (SELECT DISTINCT cols AS dims, orders, ships FROM sh),
+    merged AS (SELECT list_sort(list_distinct(list_concat(a.dims, b.dims))) AS dims, a.orders, a.ships FROM base a JOIN base b ON a.orders = b.orders AND a.ships = b.ships AND a.dims < b.dims
+               AND len(list_intersect(a.dims, b.dims)) >= 0.5 * len(list_distinct(list_concat(a.dims, b.dims)))),
+    whole AS (SELECT list_sort(list_filter(list_distinct(flatten(list(dims))), lambda x: x <> 'ship_date')) AS dims, orders, ships FROM base GROUP BY 2, 3),
+    g AS (SELECT * FROM base UNION SELECT * FROM merged UNION SELECT * FROM whole),
+    s AS (SELECT g.dims, g.orders, g.ships, count(*) AS covered, min(CASE WHEN sh.orders THEN {_FINE.format(b='ob')} END) AS fo, min(CASE WHEN sh.ships THEN {_FINE.format(b='sb')} END) AS fs
+          FROM g JOIN sh ON list_has_all(g.dims, sh.cols) AND (g.orders OR NOT sh.orders) AND (g.ships OR NOT sh.ships) GROUP BY 1, 2, 3)
+    SELECT array_to_string(dims, '+') || '|' || CASE WHEN orders OR ships THEN concat_ws('+', CASE WHEN orders THEN 'order_date' END, CASE WHEN ships THEN 'ship_date' END) ELSE '-' END AS rollup_id,
+      concat_ws('+', CASE WHEN orders THEN 'order_date@' || CASE fo WHEN 3 THEN 'MONTHLY' ELSE 'QUARTERLY' END END,
+        CASE WHEN ships THEN 'ship_date' || CASE fs WHEN 1 THEN '@DAILY' WHEN 5 THEN '@YEARLY' ELSE '' END END) AS buckets, covered FROM s""")
+def candidate_grains_dates(t):
+    out = A.candidate_grains(shapes2(t), PLANS, consolidatable=["nation", "region", "segment", "status"])
+    named = F.transform("dates", lambda d: F.concat_ws("@", d["column"], d["bucket"]))
+    return out.select("rollup_id", F.array_join(named, "+").alias("buckets"), "covered")
+
+
 @query("choose_rollups")
 def choose_rollups(t):
     """A greedy loop; the unit test checks each step against brute force."""
-    return A.choose_rollups(shapes(t), candidates(t), PLANS, t.lineitem.count())
+    return A.choose_rollups(shapes(t), candidates(t), PLANS)
 
 
 _TEXT = """CASE event_type WHEN 'view' THEN 'SELECT r_name, sum(x) FROM o GROUP BY region.r_name ORDER BY 1' WHEN 'click' THEN 'select 1 from o group by "NATION"."N_NAME", region.r_name having count(*) > 1'

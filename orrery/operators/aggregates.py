@@ -8,9 +8,13 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from orrery.functions.search import blocks, place
 from orrery.operators.keys import beside, join_on
 from orrery.session import settled
 
+# A bracket with more distinct values is cut into so many ranges.
+HELD, RANGES = 4096, 64
+
 
 def _named(measures: Mapping[str, Column]) -> list[Column]:
     return [m.alias(n) for n, m in measures.items()]
@@ -32,84 +36,111 @@ def mode(df: DataFrame, groups: Sequence[str], value: str, to: str) -> DataFrame
     return counted.groupBy(*groups).agg(F.min_by(F.col(value), order).alias(to))
 
 
-def _every_group(df: DataFrame, groups: Sequence[str], found: DataFrame) -> DataFrame:
-    """The results with a row of NULLs for each group that has none."""
-    return join_on(df.select(*groups).distinct(), found, list(groups), "left") if groups else found
-
-
 def percentiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    wanted: Mapping[str, tuple[float, str]],
-    accuracy: int = 10_000,
+    df: DataFrame, groups: Sequence[str], value: str, wanted: Mapping[str, tuple[float, str]], accuracy: int = 10_000, held: int = HELD,
 ) -> DataFrame:
-    """Exact percentiles per group, without shuffling the rows or gathering a group.
-
-    `wanted` maps an output name to (p, "cont" | "disc"). A first scan brackets every
-    wanted percentile with a mergeable quantile sketch. Then each task counts its rows
-    below a bracket into one number and keeps only the values inside it, counted per value;
-    these few are put in order. A rank that a bracket should not hold, which the
-    error bound of the sketch excludes, raises an error instead of a wrong answer. Discrete
-    percentiles alone keep the column's type. A group without values gives NULL.
+    """Exact percentiles per group by selection: the range with the wanted rank is opened until it is small.
+
+    `wanted` maps an output name to (p, "cont" | "disc"). One scan sketches each group's quantiles and counts its
+    values, groups of NULLs included. A second one counts, per group, the rows below each wanted percentile's bracket
+    and the rows of every value inside it, with the nearest values outside; only those few values are
+    shuffled. While a bracket holds more than `held` distinct values, they are cut into ranges, the ranges counted,
+    and only those with a wanted rank kept (`_narrowed`). No group and no bracket is put in order by one task.
+
+    A rank that lies outside its bracket, which the error bound of the sketch excludes, raises an error instead of
+    a wrong answer. Discrete percentiles alone keep the column's type. A group without values gives NULL.
     """
-    g = list(groups)
+    g = list(groups) or ["_everything"]
     exact = all(kind == "disc" for _, kind in wanted.values()) and df.schema[value].dataType.typeName() != "string"
     v = F.col(value) if exact else F.col(value).cast("double")
-    rows = df.filter(F.col(value).isNotNull()).select(*g, v.alias("_v"))
+    rows = df.select(*groups, v.alias("_v"))
     kind_of = rows.schema["_v"].dataType
+    whole = lambda d: d if groups else d.withColumn("_everything", F.lit(0))
     slack = 4.0 / accuracy
     edge = {n: (max(0.0, p - slack), min(1.0, p + slack)) for n, (p, _) in wanted.items()}
     probs = sorted({e for pair in edge.values() for e in pair})
     ask = F.array(*[F.lit(p) for p in probs])
-    sketch = rows.groupBy(*g).agg(F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("*").alias("_all"))
-    framed = join_on(rows, settled(sketch) if g else sketch, g)
-
-    few = F.col("_all") <= accuracy  # such a group is ordered whole
-
-    def bracket(name: str) -> tuple[Column, Column, Column]:
-        """Is the value below, is it inside, and the 0-based rank that is wanted."""
-        p, kind = wanted[name]
-        lo, hi = (F.get("_q", F.lit(probs.index(e))) for e in edge[name])
+    sketch = settled(rows.groupBy(*groups).agg(F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("_v").alias("_all")))
+
+    bounds = [tuple(F.get("_q", F.lit(probs.index(e))) for e in edge[n]) for n in wanted]
+    framed = whole(join_on(rows.where(F.col("_v").isNotNull()), sketch, groups))
+    sketch = whole(sketch)
+    inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in bounds])
+    tallies = [c for i, (lo, hi) in enumerate(bounds) for c in (
+        F.count(F.when(F.col("_v") < lo, 1)).alias(f"_b{i}"), F.max(F.when(F.col("_v") < lo, F.col("_v"))).alias(f"_lower{i}"),
+        F.min(F.when(F.col("_v") > hi, F.col("_v"))).alias(f"_upper{i}"))]
+    tallied = settled(framed.groupBy(*g, F.when(inside, F.col("_v")).alias("_kept")).agg(F.count("*").alias("_n"), *tallies))
+
+    again = [c for i in range(len(bounds)) for c in (
+        F.sum(f"_b{i}").alias(f"_b{i}"), F.max(f"_lower{i}").alias(f"_lower{i}"), F.min(f"_upper{i}").alias(f"_upper{i}"))]
+    state = join_on(sketch, tallied.groupBy(*g).agg(*again), g)
+    # One row a group and percentile: its bracket, the 0-based ranks on either side of the wanted one, what lies around.
+    marks = []
+    for i, ((lo, hi), (p, kind)) in enumerate(zip(bounds, wanted.values())):
         rank = F.lit(p) * (F.col("_all") - 1) if kind == "cont" else F.greatest(F.ceil(F.lit(p) * F.col("_all")) - 1, F.lit(0))
-        return ~few & (F.col("_v") < lo), few | F.col("_v").between(lo, hi), rank.cast("double")
-
-    parts = [bracket(n) for n in wanted]
-    below = framed.groupBy(*g).agg(*[F.count(F.when(under, 1)).alias(f"_b{i}") for i, (under, _, _) in enumerate(parts)])
-    near = framed.filter(reduce(or_, [inside for _, inside, _ in parts]))
-    marks = [F.when(inside, F.struct(F.lit(i).alias("i"), rank.alias("rank"))) for i, (_, inside, rank) in enumerate(parts)]
-    counted = near.select(*g, "_v", F.explode(F.array_compact(F.array(*marks))).alias("_m")).groupBy(
-        *g, F.col("_m.i").alias("i"), F.col("_m.rank").alias("rank"), F.col("_v").alias("v")
-    ).agg(F.count("*").alias("_n"))
-    ahead = F.coalesce(*[F.when(F.col("i") == i, F.col(f"_b{i}")) for i in range(len(parts))])
-    order = W.partitionBy(*g, "i").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    placed = join_on(counted, below, g).withColumn("_below", ahead).withColumn("_upto", F.col("_below") + F.sum("_n").over(order))
-    out = []
-    for i, (name, (_, kind)) in enumerate(wanted.items()):
-        mine = F.col("i") == i
-        at = lambda r, mine=mine: F.min(F.when(mine & (F.col("_upto") > r), F.col("v")))
-        low, high = at(F.floor("rank")), at(F.ceil("rank"))
-        missed = F.coalesce(F.max(F.when(mine, F.col("_below") > F.floor("rank"))), F.lit(True)) | high.isNull()
-        part = F.max(F.when(mine, F.col("rank") - F.floor("rank")))
-        answer = low + (high - low) * part if kind == "cont" else low
-        lost = F.raise_error(F.lit(f"{name}: the bracket misses its rank; use a greater accuracy"))
-        out.append(F.when(F.count("*") == 0, F.lit(None)).when(missed, lost.cast(kind_of)).otherwise(answer).alias(name))
-    return _every_group(df, g, placed.groupBy(*g).agg(*out))
+        rank = rank.cast("double")
+        marks.append(F.struct(
+            F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), (F.floor(rank) - F.col(f"_b{i}")).alias("low_rank"), (F.ceil(rank) - F.col(f"_b{i}")).alias("high_rank"),
+            (rank - F.floor(rank)).alias("part"), F.col(f"_lower{i}").alias("lower"), F.col(f"_upper{i}").alias("upper")))
+    targets = state.where("_all > 0").select(*g, F.explode(F.array(*marks)).alias("_t")).select(*g, "_t.*")
+    near = join_on(tallied.where(F.col("_kept").isNotNull()).select(*g, F.col("_kept").alias("v"), F.col("_n").alias("n")), targets.select(*g, "i", "lo", "hi"), g) \
+        .where(F.col("v").between(F.col("lo"), F.col("hi"))).select(*g, "i", "v", "n")
+
+    at = [*g, "i"]
+    most = near.groupBy(*at).count().agg(F.max("count")).first()[0] or 0
+    while most > held:
+        near, targets = _narrowed(near, targets, at)
+        most = near.groupBy(*at).count().agg(F.max("count")).first()[0]
+    # At most `held` values a group and percentile from here on.
+    listed = near.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("_vs"))
+    picked = join_on(targets, listed, at, "left")
+    lost = F.raise_error(F.lit("a bracket misses its rank; use a greater accuracy")).cast(kind_of)
+    low, high = (F.coalesce(_nth(F.col(r), kind_of), lost) for r in ("low_rank", "high_rank"))
+    part = F.col("part")
+    answers = [F.when(F.col("i") == i, low + (high - low) * part if kind == "cont" else low) for i, (_, kind) in enumerate(wanted.values())]
+    found = picked.select(*g, *[x.alias(n) for x, n in zip(answers, wanted)]).groupBy(*g).agg(*[F.max(n).alias(n) for n in wanted])
+    return join_on(sketch.select(*g), found, g, "left").select(*groups, *wanted)
+
+
+def _nth(rank: Column, kind) -> Column:
+    """The value of a 0-based rank among the counted values `_vs` of a bracket, or its neighbour right outside; else NULL."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(kind).alias("hit"))
+    walked = F.aggregate("_vs", start, lambda acc, x: F.struct(
+        (acc["seen"] + x["n"]).alias("seen"), F.when(acc["hit"].isNull() & (acc["seen"] + x["n"] > rank), x["v"]).otherwise(acc["hit"]).alias("hit")))
+    outside = F.when(rank == F.coalesce(walked["seen"], F.lit(0)), F.col("upper"))
+    return F.when(rank == -1, F.col("lower")).when(rank >= 0, F.coalesce(walked["hit"], outside))
+
+
+def _narrowed(near: DataFrame, targets: DataFrame, at: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Only the values of the ranges with a wanted rank, of `RANGES` about equal ones, and the ranks among them."""
+    ask = F.array(*[F.lit(j / RANGES) for j in range(1, RANGES)])
+    cuts = near.groupBy(*at).agg(blocks(F.percentile_approx("v", ask, 16 * RANGES)).alias("_cuts"))
+    cut = join_on(near, settled(cuts), at).withColumn("_r", place(F.col("v"), F.col("_cuts"))).drop("_cuts")
+    along = W.partitionBy(*at).orderBy("_r")  # at most RANGES rows
+    counted = cut.groupBy(*at, "_r").agg(F.sum("n").alias("_c"))
+    counted = counted.withColumn("_upto", F.sum("_c").over(along)).withColumn("_ahead", F.col("_upto") - F.col("_c"))
+    holds = lambda r: (F.col("_ahead") <= F.col(r)) & (F.col(r) < F.col("_upto"))
+    opened = settled(join_on(counted, targets.select(*at, "low_rank", "high_rank"), at).where(holds("low_rank") | holds("high_rank")).select(*at, "_r", "_ahead"))
+    shift = opened.groupBy(*at).agg(F.min("_ahead").alias("_shift"))
+    none = F.when(F.col("low_rank") < 0, F.lit(0)).otherwise(F.col("low_rank"))
+    moved = join_on(targets, shift, at, "left").withColumn("_shift", F.coalesce("_shift", none))
+    moved = moved.withColumns({r: F.col(r) - F.col("_shift") for r in ("low_rank", "high_rank")}).drop("_shift")
+    return settled(join_on(cut, opened.drop("_ahead"), [*at, "_r"]).drop("_r")), settled(moved)
 
 
 def nth_by_value(df: DataFrame, groups: Sequence[str], value: str, n: int, to: str, largest: bool = True) -> DataFrame:
     """The nth largest (or smallest) value per group, repeated values counted separately; NULL if there are fewer.
 
-    Counted per value first; each group keeps at most n candidates per task before
-    anything is gathered.
+    Counted per value first, NULL too, so that no group is lost; each group keeps at most n + 1 candidates per
+    task before anything is gathered.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    by = F.col(value).desc() if largest else F.col(value).asc()
-    place = W.partitionBy(*groups).orderBy(by)
-    few = counted.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= n)
-    reached = few.withColumn("_upto", F.sum("_n").over(place.rowsBetween(W.unboundedPreceding, 0)))
+    counted = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    by = F.col(value).desc_nulls_last() if largest else F.col(value).asc_nulls_last()
+    place_of = W.partitionBy(*groups).orderBy(by)
+    few = counted.withColumn("_place", F.row_number().over(place_of)).filter(F.col("_place") <= n)
+    reached = few.withColumn("_upto", F.sum("_n").over(place_of.rowsBetween(W.unboundedPreceding, 0)))
     pick = F.max if largest else F.min
-    return _every_group(df, groups, reached.filter(F.col("_upto") >= n).groupBy(*groups).agg(pick(value).alias(to)))
+    return reached.groupBy(*groups).agg(pick(F.when(F.col("_upto") >= n, F.col(value))).alias(to))
 
 
 def string_list(df: DataFrame, groups: Sequence[str], value: str, to: str, delimiter: str = ", ") -> DataFrame:

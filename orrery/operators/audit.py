@@ -66,13 +66,19 @@ def join_key_types(joins: Mapping[str, tuple[DataFrame, str, DataFrame, str]]) -
 
 
 def distinct_ratios(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Distinct values of every column over the rows, in one pass of sketches or exactly."""
-    count = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.02))
-    one = df.agg(F.count("*").alias("rows"), *[count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("distinct_values")) for i, c in enumerate(df.columns)])
-    return one.select("rows", F.inline(rows)).withColumn(
-        "ratio", F.try_divide(F.col("distinct_values").cast("double"), F.col("rows"))
-    )
+    """Distinct values of every column over the rows: in one pass of sketches, or exactly.
+
+    Exact counts group each column by itself, which reads every column once and combines repeated values in
+    each task; no row is repeated for each column.
+    """
+    if exact:
+        grouped = [df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")).agg(
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.lit(c).alias("column_name"), F.count("_v").alias("distinct_values")) for c in df.columns]
+        counted = _stack(grouped)
+    else:
+        one = df.agg(F.count("*").alias("rows"), *[F.approx_count_distinct(F.col(c), 0.02).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        counted = one.select("rows", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("distinct_values")) for i, c in enumerate(df.columns)])))
+    return counted.withColumn("ratio", F.try_divide(F.col("distinct_values").cast("double"), F.col("rows")))
 
 
 cardinality = distinct_ratios

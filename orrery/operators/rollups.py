@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.dates import BUCKETS, date_bucket
 from orrery.operators.joins import drill_across
+from orrery.session import settled
 
 
 @dataclass(frozen=True)
@@ -207,12 +209,11 @@ def sketch_count(rollup: DataFrame, dims: Sequence[str], to: str, sketch: str =
 def profile_grains(df: DataFrame, grains: Mapping[str, Sequence[Column | str]], exact: bool = False) -> DataFrame:
     """Rows of each candidate grain beside the base rows, and the compression.
 
-    One scan for all of them: with sketches by default; `exact` counts the distinct groups,
-    which are combined in each task before they are shuffled. A base smaller than a grain
-    marks the base as suspect.
+    One scan for all of them: with sketches by default; `exact` counts the groups of a lattice of grains. A base
+    smaller than a grain marks the base as suspect.
     """
     if exact:
-        out = _exact_grains(df, grains)
+        out = grain_lattice(df, grains)
     else:
         one = df.agg(F.count("*").alias("base_rows"), *[F.approx_count_distinct(F.struct(*cols), 0.02).alias(f"g{i}") for i, cols in enumerate(grains.values())])
         rows = F.array(*[F.struct(F.lit(n).alias("grain"), F.col(f"g{i}").alias("agg_rows")) for i, n in enumerate(grains)])
@@ -224,20 +225,27 @@ def profile_grains(df: DataFrame, grains: Mapping[str, Sequence[Column | str]],
     )
 
 
-def _exact_grains(df: DataFrame, grains: Mapping[str, Sequence[Column | str]]) -> DataFrame:
-    """Groups of every grain by one pass of grouping sets."""
+def grain_lattice(df: DataFrame, grains: Mapping[str, Sequence[Column | str]]) -> DataFrame:
+    """The exact rows of each grain (grain, agg_rows, base_rows).
+
+    The rows are grouped once, to all columns that any grain holds, and that table is written; each grain is then
+    grouped from the narrowest wider grain at hand, which carries the number of base rows along. A grain
+    that others come from is written too.
+    """
     named: dict[str, str] = {}
     for cols in grains.values():
         for c in cols:
             named.setdefault(str(c), f"k{len(named)}")
     exprs = {str(c): (F.col(c) if isinstance(c, str) else c) for cols in grains.values() for c in cols}
-    keys = list(named.values())
-    sets = [[named[str(c)] for c in cols] for cols in grains.values()]
-    keyed = df.select(*[exprs[e].alias(k) for e, k in named.items()])
-    groups = keyed.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(
-        F.grouping_id().alias("gid"), F.count("*").alias("n")
-    )
-    # A column outside a set has its bit set in the grouping id, the first column's being the highest.
-    gid = {n: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for n, s in zip(grains, sets)}
-    grain = F.coalesce(*[F.when(F.col("gid") == v, F.lit(n)) for n, v in gid.items()])
-    return groups.groupBy(grain.alias("grain")).agg(F.count("*").alias("agg_rows"), F.sum("n").alias("base_rows"))
+    wanted = {n: frozenset(named[str(c)] for c in cols) for n, cols in grains.items()}
+    every = frozenset(named.values())
+    fine = df.select(*[exprs[e].alias(k) for e, k in named.items()]).groupBy(*sorted(every)).agg(F.count("*").alias("n"))
+    at_hand = {every: settled(fine)}
+    nearest = lambda g: min((h for h in at_hand if h >= g), key=lambda h: (len(h), sorted(h)))
+    sets = sorted({*wanted.values()}, key=lambda g: (-len(g), sorted(g)))
+    for i, g in enumerate(sets):
+        if g not in at_hand:
+            grouped = at_hand[nearest(g)].groupBy(*sorted(g)).agg(F.sum("n").alias("n"))
+            at_hand[g] = settled(grouped) if any(h < g for h in sets[i + 1:]) else grouped
+    sizes = [at_hand[g].agg(F.lit(n).alias("grain"), F.count("*").alias("agg_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("base_rows")) for n, g in wanted.items()]
+    return reduce(DataFrame.unionByName, sizes)

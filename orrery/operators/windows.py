@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from orrery.functions.dates import period_index
+from orrery.functions.search import blocks, place
 
 _AGG = {
     "sum": F.sum, "average": F.avg, "max": F.max, "min": F.min, "count": F.count,
@@ -127,9 +128,8 @@ def _ranged(df: DataFrame, value: str, ranges: int, to: str) -> DataFrame:
     h = F.xxhash64(value)
     some = df.select(value).distinct().orderBy(h, value).limit(16 * ranges)
     sample = some.agg(F.sort_array(F.collect_list(value)).alias("s"))
-    cuts = sample.select(F.filter("s", lambda v, i: i % 16 == 15)).scalar()
-    place = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    return df.withColumn("_cuts", cuts).withColumn(to, place).drop("_cuts")
+    cuts = sample.select(blocks(F.filter("s", lambda v, i: i % 16 == 15))).scalar()
+    return df.withColumn("_cuts", cuts).withColumn(to, place(F.col(value), F.col("_cuts"))).drop("_cuts")
 
 
 def ordered(df: DataFrame, value: str, descending: bool = False, ranges: int | None = None) -> DataFrame:

@@ -121,7 +121,7 @@ def test_greedy_choice_and_coverage(spark, t):
         got[r.rollup_id].add(r.shape_id)
     assert got == want
     base = t.lineitem.count()
-    curve = [(r.rollup_id, r.benefit, r.coverage_pct) for r in A.choose_rollups(shapes, cands, Q.PLANS, base).orderBy("step").collect()]
+    curve = [(r.rollup_id, r.benefit, r.coverage_pct) for r in A.choose_rollups(shapes, cands, Q.PLANS).orderBy("step").collect()]
     assert curve == brute_greedy({s: r.weight for s, r in sr.items()}, {c: r.agg_rows for c, r in cr.items()}, want, base)
 
 
@@ -158,3 +158,39 @@ def test_semi_join_never_raises_a_sum(spark, t):
     many = t.lineitem.select("l_orderkey")  # keys repeat
     kept = semi_join(t.orders, many, [("o_orderkey", "l_orderkey")])
     assert kept.count() <= t.orders.count() and kept.groupBy("o_orderkey").count().filter("count > 1").count() == 0
+
+
+def test_dates_are_covered_one_by_one(spark):
+    """A grain serves a shape of two dates if it holds both, each by a bucket that makes the one asked for."""
+    made = lambda i, dates, filters=(): (i, ["a"], dates, ["m"], list(filters), 1.0)
+    shapes = spark.createDataFrame([
+        made("none", []), made("x", [("x", "MONTHLY")]), made("both", [("x", "MONTHLY"), ("y", "YEARLY")]), made("raw", [("x", None), ("y", "YEARLY")]),
+        made("weeks", [("x", "WEEKLY"), ("y", "WEEKLY")]), made("filter", [("x", "MONTHLY")], ["x", "a"]), made("other", [("x", "MONTHLY")], ["y"]),
+    ], f"shape_id string, dimensions array<string>, dates {A.DATES}, measures array<string>, filter_columns array<string>, weight double")
+    cands = spark.createDataFrame([
+        ("x", ["a"], [("x", "DAILY")]), ("xy", ["a"], [("y", "MONTHLY"), ("x", "MONTHLY")]), ("raw", ["a"], [("x", None), ("y", None)]), ("week", ["a"], [("x", "WEEKLY"), ("y", "DAILY")]),
+    ], f"rollup_id string, dimensions array<string>, dates {A.DATES}")
+    plans = [P.stored(P.Measure("m", "SUM", "v"))]
+    got = {}
+    for r in A.coverage(shapes, cands, plans).collect():
+        got.setdefault(r.rollup_id, set()).add(r.shape_id)
+    assert got == {
+        "x": {"none", "x", "filter"}, "xy": {"none", "x", "both", "filter"},
+        "raw": {"none", "x", "both", "raw", "weeks", "filter"}, "week": {"none", "weeks"},
+    }
+    grains = {r.rollup_id: [(d.column, d.bucket) for d in r.dates] for r in A.candidate_grains(shapes, plans).collect()}
+    # Weeks beside years make the second date daily; the raw date makes the first one raw.
+    assert grains["a|x+y"] == [("x", None), ("y", "DAILY")]
+    assert grains["a|x"] == [("x", "MONTHLY")] and grains["a|-"] == []
+
+
+def test_lattice_against_separate_counts(spark, t):
+    df = t.lineitem.withColumn("l_tax", F.when(F.col("l_tax") > 0.04, F.col("l_tax")))
+    month = F.trunc("l_shipdate", "month")
+    grains = {"flag": ["l_returnflag"], "both": ["l_returnflag", "l_linestatus"], "month": ["l_returnflag", month], "tax": ["l_tax"], "again": ["l_linestatus", "l_returnflag"],
+              "wide": ["l_returnflag", "l_linestatus", "l_tax", month]}
+    got = {r.grain: (r.agg_rows, r.base_rows) for r in P.grain_lattice(df, grains).collect()}
+    assert got == {n: (df.select(*g).distinct().count(), df.count()) for n, g in grains.items()}
+    assert {r.grain: (r.agg_rows, r.base_rows) for r in P.grain_lattice(df.limit(0), {"flag": ["l_returnflag"]}).collect()} == {"flag": (0, 0)}
+    plan = P.grain_lattice(df, grains)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "FileScan" not in plan

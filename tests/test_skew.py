@@ -81,10 +81,10 @@ def test_rank_puts_nulls_last(spark):
     assert {r.id: r["rank"] for r in V.rank(df, "v").collect()} == {3: 1, 1: 2, 2: 3, 4: 3}
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_percentiles_are_exact(spark, events, accuracy):
+@pytest.mark.parametrize("accuracy, held", [(100, 4096), (100, 70), (10_000, 4096)])
+def test_percentiles_are_exact(spark, events, accuracy, held):
     df = spark.createDataFrame(events)
-    out = G.percentiles(df, ["user"], "value", {"m": (0.5, "cont"), "p": (0.93, "cont"), "d": (0.25, "disc"), "lo": (0.0, "disc"), "hi": (1.0, "cont")}, accuracy)
+    out = G.percentiles(df, ["user"], "value", {"m": (0.5, "cont"), "p": (0.93, "cont"), "d": (0.25, "disc"), "lo": (0.0, "disc"), "hi": (1.0, "cont")}, accuracy, held)
     got = out.toPandas().set_index("user").sort_index()
     g = events.groupby("user").value
     for name, want in (("m", g.quantile(0.5)), ("p", g.quantile(0.93)), ("d", g.apply(lambda x: np.quantile(x, 0.25, method="inverted_cdf"))), ("lo", g.min()), ("hi", g.max())):
@@ -227,3 +227,28 @@ def test_sessions_of_a_hot_user(spark, shuffled):
         key = lambda r: (str(r[0]), r[1])
         want = [(None if pd.isna(r.user) else int(r.user), r.s, r.n, r.a.to_pydatetime(), r.b.to_pydatetime()) for r in want.itertuples()]
         assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_percentiles_of_every_group_size(spark):
+    """Groups of 1 to 60 rows with ties, at many shares, where brackets are single values and ranks lie beside them."""
+    rng = np.random.default_rng(12)
+    data = pd.DataFrame([(n, float(v)) for n in range(1, 61) for v in rng.integers(0, 40, n)], columns=["g", "v"])
+    shares = (0.0, 0.05, 0.25, 1 / 3, 0.5, 0.75, 0.9, 1.0)
+    wanted = {f"c{i}": (p, "cont") for i, p in enumerate(shares)} | {f"d{i}": (p, "disc") for i, p in enumerate(shares)}
+    for groups in (["g"], []):
+        got = G.percentiles(spark.createDataFrame(data), groups, "v", wanted).toPandas()
+        got = got.sort_values("g") if groups else got
+        parts = [x.v for _, x in data.groupby("g")] if groups else [data.v]
+        for i, p in enumerate(shares):
+            np.testing.assert_allclose(got[f"c{i}"], [x.quantile(p) for x in parts], rtol=0, atol=1e-9)
+            np.testing.assert_allclose(got[f"d{i}"], [np.quantile(x, p, method="inverted_cdf") for x in parts])
+
+
+def test_percentiles_open_large_brackets(spark):
+    """All values are distinct and in one group: brackets are narrowed by ranges until few values are left."""
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("v"))
+    got = G.percentiles(df, [], "v", {"a": (0.5, "cont"), "b": (0.123, "cont"), "c": (0.9, "disc"), "z": (1.0, "cont")}, accuracy=50, held=200).first()
+    assert (got.a, got.c, got.z) == (24_999.5, 44_999.0, 49_999.0)
+    assert got.b == pytest.approx(0.123 * 49_999)
+    none = G.percentiles(df.where("v < 0"), [], "v", {"a": (0.5, "cont")}).collect()
+    assert [r.a for r in none] == [None]
