@@ -64,6 +64,32 @@ def column_rules_masked(t):
     return Y.column_rules(t.customer, RULES, ANA, mask=True)
 
 
+# Rules of two organisations; nations are a table of their own and, under another name, the sellers'.
+MANIFEST = [
+    ("north", "customer", "c_name", ""), ("north", "customer", "c_acctbal", "BUILDING"), ("south", "customer", "c_acctbal", "finance"),
+    ("north", "nation", "n_name", ""), ("", "sellers", "n_regionkey", "geo"),
+]
+
+
+def manifest(t):
+    names = "org_name string, table_name string, column_name string, group_name string"
+    return Y.rules_of(t.spark.createDataFrame(MANIFEST, names).collect())
+
+
+@query("column_rules_by_table", """SELECT 'north' AS org, c_custkey, NULL::VARCHAR AS c_name, c_acctbal, NULL::VARCHAR AS n_name, n_regionkey, NULL::BIGINT AS seller_region, n_name AS seller FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 'south', c_custkey, c_name, NULL, n_name, n_regionkey, NULL, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def column_rules_by_table(t):
+    """Two tables with the same columns under different rules, for users of two organisations."""
+    def seen(user):
+        part = lambda df, name: Y.column_rules(df, manifest(t), user, mask=True, table=name)
+        customer, nation, sellers = part(t.customer, "customer"), part(t.nation, "nation"), part(t.nation, "sellers")
+        other = sellers.select(c("n_nationkey").alias("seller_key"), c("n_regionkey").alias("seller_region"), c("n_name").alias("seller"))
+        met = J.star_join(customer, J.Dim(nation, [("c_nationkey", "n_nationkey")]), J.Dim(other, [("c_nationkey", "seller_key")]))
+        return met.select(F.lit(user.org).alias("org"), "c_custkey", "c_name", "c_acctbal", "n_name", "n_regionkey", "seller_region", "seller")
+
+    return seen(ANA).unionByName(seen(Y.User("bo", groups=("BUILDING",), org="south")))
+
+
 @query("mask_column", "SELECT c_custkey, sha256(c_name) AS hashed, repeat('*', greatest(length(c_name) - 4, 0)) || right(c_name, 4) AS tail, regexp_replace(c_name, '[0-9]', '#', 'g') AS shape FROM customer")
 def mask_column(t):
     return t.customer.select("c_custkey", Y.mask_column(c("c_name"), "hash").alias("hashed"), Y.mask_column(c("c_name"), "last4").alias("tail"), Y.mask_column(c("c_name"), "digits").alias("shape"))

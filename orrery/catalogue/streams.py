@@ -62,8 +62,8 @@ def rollup_stream_late(t):
 
     arrived()
     t.events.filter("event_type = 'error'").write.mode("append").parquet(folder)
-    rows, progress = arrived()
-    return rows.agg(F.count("*").alias("kept")).withColumn("dropped", F.lit(S.late_rows(progress)).cast("bigint"))
+    rows, _ = arrived()
+    return S.progress_of(t.spark, paths[1]).select(rows.agg(F.count("*")).scalar().alias("kept"), "dropped")
 
 
 SESSIONS = """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS o FROM events),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from orrery.operators.keys import beside, equal_pairs, join_on
 from orrery.operators.ranges import join_range  # noqa: F401
 from orrery.operators.segments import cut_hot
+from orrery.session import settled
 
 
 @dataclass(frozen=True)
@@ -168,13 +169,26 @@ def join_asof(
         "_row.*", F.col("_found.at").alias(right_ts), *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
+# Distinct keys up to which a sketch holds them all, so that what two sketches share is exact.
+SKETCH_BITS = 14
+
+
+def _key_type(kind: str) -> str:
+    """The type under which keys are compared: like types as they are, whole numbers of any width alike."""
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+
+
 def discover_joins(tables: Mapping[str, DataFrame], name_of=lambda c: c.lower()) -> DataFrame:
     """Candidate joins between tables whose columns share a name.
 
-    `name_of` maps a column to the name under which it is compared. A column is a
-    candidate target if its non-null rows are all distinct there; the cardinality
-    follows from the most rows per key on the source side. `inclusion` is the share of
-    distinct source keys found in the target.
+    `name_of` maps a column to the name under which it is compared. A column is a candidate target if its
+    non-null rows are all distinct there; the cardinality follows from the most rows per key on the source
+    side. `inclusion` is the share of distinct source keys found in the target. Keys of unlike types are
+    compared as text.
+
+    Each column is grouped once, to its keys, which are written; one row of each tells rows, keys, most rows a
+    key, least and greatest key, and a sketch of the keys. These rows decide most pairs: the target is not
+    unique, the ranges lie apart, or both sketches hold all keys. Only for the others are keys joined.
     """
     pairs = [
         (s, sc, t, tc)
@@ -185,30 +199,51 @@ def discover_joins(tables: Mapping[str, DataFrame], name_of=lambda c: c.lower())
         for tc in tdf.columns
         if name_of(sc) == name_of(tc)
     ]
+    if not pairs:
+        raise ValueError("no two tables share a column name")
+    columns = sorted({(s, sc) for s, sc, _, _ in pairs} | {(t, tc) for _, _, t, tc in pairs})
+    kinds = {(t, c): _key_type(tables[t].schema[c].dataType.simpleString()) for t, c in columns}
     keyed = {
-        (t, c): tables[t].filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("k")).agg(F.count("*").alias("n"))
-        for t, c in {(s, sc) for s, sc, _, _ in pairs} | {(t, tc) for _, _, t, tc in pairs}
+        (t, c): settled(tables[t].where(F.col(c).isNotNull()).groupBy(F.col(c).cast(kinds[t, c]).alias("k")).agg(F.count("*").alias("n")))
+        for t, c in columns
     }
-    out = []
-    for s, sc, t, tc in pairs:
-        src = keyed[(s, sc)].select("k", F.col("n").alias("sn"))
-        tgt = keyed[(t, tc)].select("k", F.col("n").alias("tn"))
-        # One full join of the two key lists yields every figure of the pair.
-        out.append(
-            src.join(tgt, "k", "full").agg(
-                F.sum("tn").alias("target_rows"),
-                F.count("tn").alias("target_keys"),
-                F.max("sn").alias("max_rows_per_key"),
-                F.count("sn").alias("source_keys"),
-                F.count(F.when(F.col("sn").isNotNull() & F.col("tn").isNotNull(), 1)).alias("shared"),
-            ).select(
-                F.lit(s).alias("source_table"), F.lit(sc).alias("source_column"),
-                F.lit(t).alias("target_table"), F.lit(tc).alias("target_column"),
-                "target_rows", "target_keys", "max_rows_per_key",
-                F.when(F.col("max_rows_per_key") == 1, "ONE_TO_ONE").otherwise("MANY_TO_ONE").alias("cardinality"),
-                F.try_divide(F.col("shared").cast("double"), F.col("source_keys")).alias("inclusion"),
-            )
-        )
-    if not out:
-        raise ValueError("no two tables share a column name")
-    return reduce(DataFrame.unionByName, out).filter(F.col("target_rows") == F.col("target_keys"))
+    told = []
+    for i, column in enumerate(columns):
+        hashed = F.xxhash64("k")
+        told.append(keyed[column].agg(
+            F.lit(i).alias("i"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("keys"), F.max("n").alias("most"),
+            F.to_json(F.struct(F.min("k").alias("k"))).alias("least"), F.to_json(F.struct(F.max("k").alias("k"))).alias("greatest"),
+            F.theta_sketch_agg(hashed, F.lit(SKETCH_BITS)).alias("sketch")))
+    summary = settled(reduce(DataFrame.unionByName, told))
+
+    spark = summary.sparkSession
+    number = {c: i for i, c in enumerate(columns)}
+    listed = spark.createDataFrame(
+        [(p, number[s, sc], number[t, tc], s, sc, t, tc, kinds[s, sc] if kinds[s, sc] == kinds[t, tc] else "") for p, (s, sc, t, tc) in enumerate(pairs)],
+        "pair int, si int, ti int, source_table string, source_column string, target_table string, target_column string, kind string")
+    side = lambda tag: summary.select(*[F.col(c).alias(f"{tag}_{c}") for c in summary.columns])
+    known = listed.join(side("s"), F.col("si") == F.col("s_i")).join(side("t"), F.col("ti") == F.col("t_i")).where("t_rows = t_keys")
+    key = lambda c, kind: F.from_json(c, f"k {kind}")["k"]
+    apart = F.lit(False)
+    for kind in sorted(set(kinds.values())):
+        beyond = (key("s_greatest", kind) < key("t_least", kind)) | (key("t_greatest", kind) < key("s_least", kind))
+        apart = apart | ((F.col("kind") == kind) & F.coalesce(beyond, F.lit(False)))
+    empty = (F.col("s_keys") == 0) | (F.col("t_keys") == 0)
+    # A sketch holds every key of a column with fewer than 2**SKETCH_BITS of them.
+    whole = (F.col("kind") != "") & (F.greatest("s_keys", "t_keys") < (1 << SKETCH_BITS))
+    met = F.theta_sketch_estimate(F.theta_intersection("s_sketch", "t_sketch"))
+    decided = settled(known.withColumn("shared", F.when(empty | apart, 0).when(whole, met).cast("bigint")).drop("s_sketch", "t_sketch"))
+
+    joined = []
+    for r in decided.where("shared IS NULL").select("pair", "si", "ti", "kind").collect():
+        a, b = keyed[columns[r.si]].select("k"), keyed[columns[r.ti]].select("k")
+        same = r.kind or "string"
+        both = a.select(F.col("k").cast(same).alias("a")).join(b.select(F.col("k").cast(same).alias("b")), F.col("a") == F.col("b"))
+        joined.append(both.agg(F.lit(r.pair).alias("of"), F.count_distinct("a").alias("met") if not r.kind else F.count("*").alias("met")))
+    exact = reduce(DataFrame.unionByName, joined) if joined else spark.createDataFrame([], "of int, met long")
+    return decided.join(exact, F.col("pair") == F.col("of"), "left").select(
+        "source_table", "source_column", "target_table", "target_column",
+        F.col("t_rows").alias("target_rows"), F.col("t_keys").alias("target_keys"), F.col("s_most").alias("max_rows_per_key"),
+        F.when(F.col("s_most") == 1, "ONE_TO_ONE").otherwise("MANY_TO_ONE").alias("cardinality"),
+        F.try_divide(F.coalesce("shared", "met").cast("double"), F.col("s_keys")).alias("inclusion"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from orrery.operators.joins import Dim, semi_join, star_join
 
@@ -64,20 +64,59 @@ def row_filter_joined(df: DataFrame, dims: Sequence[Dim], column: str, predicate
     return joined.filter(F.coalesce(predicate(F.col(column)), F.lit(False))).select(*[joined[c] for c in df.columns])
 
 
+@dataclass(frozen=True)
+class ColumnRule:
+    """Restricts a column: members of `group` read it, where several rules name the column members of any of
+    their groups; '' as group means nobody. '' as organisation or table means every one."""
+
+    column: str
+    group: str
+    table: str = ""
+    org: str = ""
+
+
+def rules_of(rows: Sequence[Mapping | Row]) -> list[ColumnRule]:
+    """Rules from a manifest of (org_name, table_name, column_name, group_name), repeated rows once. A row without
+    a column or a table is refused, since no one could tell what it closes; a missing group closes to everybody."""
+    out: dict[ColumnRule, None] = {}
+    for row in rows:
+        named = {k.strip().lower(): (v or "").strip() for k, v in (row.asDict() if isinstance(row, Row) else row).items()}
+        rule = ColumnRule(named.get("column_name", ""), named.get("group_name", ""), named.get("table_name", ""), named.get("org_name", ""))
+        if not rule.column or not rule.table:
+            raise ValueError(f"a column rule must name its table and column: {named}")
+        out[rule] = None
+    return list(out)
+
+
+def closed_columns(columns: Sequence[str], rules: Sequence[ColumnRule], user: User, table: str = "") -> list[str]:
+    """The columns of a table that the user may not read. Names are compared as Spark does, without regard to case."""
+    groups: dict[str, set[str]] = {}
+    for r in rules:
+        if r.org in ("", user.org) and r.table.lower() in ("", table.lower()):
+            groups.setdefault(r.column.lower(), set()).update({r.group} - {""})
+    return [c for c in columns if c.lower() in groups and not groups[c.lower()] & set(user.groups)]
+
+
 def allowed_columns(columns: Sequence[str], rules: Sequence[tuple[str, str]], groups: Sequence[str]) -> list[str]:
     """Columns a user may read by rules (column, group); '' as group means nobody. Others are open."""
-    secured: dict[str, set[str]] = {}
-    for column, group in rules:
-        secured.setdefault(column, set()).update({group} - {""})
-    return [c for c in columns if c not in secured or secured[c] & set(groups)]
+    closed = closed_columns(columns, [ColumnRule(*r) for r in rules], User("", tuple(groups)))
+    return [c for c in columns if c not in closed]
 
 
-def column_rules(df: DataFrame, rules: Sequence[tuple[str, str]], user: User, mask: bool = False) -> DataFrame:
-    """Drop the columns the user may not read, or keep them as NULL."""
-    open_ = set(allowed_columns(df.columns, rules, user.groups))
+def column_rules(df: DataFrame, rules: Sequence[ColumnRule | tuple[str, str]], user: User, mask: bool = False, table: str = "") -> DataFrame:
+    """Drop the columns of `table` that the user may not read, or keep them as NULL.
+
+    A rule on this table that names no column of it is refused: a column it was meant for may be open under another name.
+    """
+    rules = [r if isinstance(r, ColumnRule) else ColumnRule(*r) for r in rules]
+    known = {c.lower() for c in df.columns}
+    lost = sorted({r.column for r in rules if r.table and r.table.lower() == table.lower() and r.column.lower() not in known})
+    if lost:
+        raise ValueError(f"{table} has no columns {lost}, which rules restrict")
+    closed = set(closed_columns(df.columns, rules, user, table))
     if not mask:
-        return df.select(*[c for c in df.columns if c in open_])
-    return df.select(*[F.col(c) if c in open_ else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+        return df.select(*[c for c in df.columns if c not in closed])
+    return df.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) if c in closed else F.col(c) for c in df.columns])
 
 
 def mask_column(c: Column, how: str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orrery.functions.dates import date_bucket
 from orrery.operators.filters import Filter, Parameter, rolling_date_constraint
 from orrery.operators.joins import Dim, drill_across, star_join
-from orrery.operators.security import User, allowed_columns
+from orrery.operators.security import ColumnRule, User, closed_columns
 from orrery.operators.timeintel import edge_value
 
 
@@ -90,7 +90,7 @@ class Model:
     filters: Sequence[Filter] = ()
     constraints: Mapping[str, Sequence[Sequence[tuple[str, int, str]]]] = field(default_factory=dict)
     row_rules: Sequence[RowRule] = ()
-    column_rules: Sequence[tuple[str, str]] = ()
+    column_rules: Sequence[ColumnRule | tuple[str, str]] = ()
     formula_depth: int = 3
 
     # -- metadata ------------------------------------------------------------------------
@@ -145,26 +145,52 @@ class Model:
         return paths
 
     def _reads(self, expr: str, names: Sequence[str]) -> set[str]:
-        """The columns and formulas of a SQL text, and what those formulas are made of."""
-        words = {w for w in re.findall(r"\w+", expr)} | set(names)
+        """The columns and formulas of a SQL text, and what those formulas are made of, in lower case.
+
+        Names in backquotes must be columns or formulas; one that is neither cannot be resolved, and the
+        question is refused.
+        """
+        quoted = {w.lower() for w in re.findall(r"`([^`]*)`", expr)}
+        known = {(t.prefix + c).lower() for t in self.tables for c in t.frame.columns} | {f.name.lower() for f in self.formulas}
+        if quoted - known:
+            raise PermissionError(f"{sorted(quoted - known)} cannot be resolved, so that nobody may read them")
+        words = {w.lower() for w in re.findall(r"\w+", expr)} | quoted | {n.lower() for n in names}
         out = set(words)
         for f in self.formulas:
-            if f.name in words:
-                out |= {f.name} | self._reads(f.expr, [*f.uses])
+            if f.name.lower() in words:
+                out |= {f.name.lower()} | self._reads(f.expr, [*f.uses])
         return out
 
+    def _closed(self, user: User) -> set[str]:
+        """Everything the user may not read, in lower case: columns under their names in the model, and formulas,
+        attributes or measures that a rule names without a table. A rule must name something of the model."""
+        rules = [r if isinstance(r, ColumnRule) else ColumnRule(*r) for r in self.column_rules]
+        names = {x.name for kind in (self.formulas, self.attributes, self.measures) for x in kind}
+        everywhere = names | {t.prefix + c for t in self.tables for c in t.frame.columns}
+        for r in rules:
+            held = [t for t in self.tables if t.name.lower() == r.table.lower()]
+            of = {c.lower() for t in held for c in t.frame.columns} if r.table else {n.lower() for n in everywhere}
+            if r.column.lower() not in of:
+                raise ValueError(f"a column rule names {r.table + '.' if r.table else ''}{r.column}, which the model does not have")
+        free = [r for r in rules if not r.table]
+        closed = {c.lower() for c in closed_columns(sorted(everywhere), free, user)}
+        for t in self.tables:
+            mine = [ColumnRule(r.column, r.group, r.table, r.org) for r in rules if r.table]
+            closed |= {(t.prefix + c).lower() for c in closed_columns(t.frame.columns, mine, user, t.name)}
+        return closed
+
     def _check_columns(self, user: User, attributes, measures, filters, having: str | None) -> None:
         """Refuse a question that shows, groups or filters by anything the user may not read."""
+        closed = self._closed(user)
         texts = {a.name: (a.expr, ()) for a in attributes} | {m.name: (m.expr, m.uses) for m in measures}
         texts |= {f"filter {i + 1}": (p, fs) for i, (_, fs, p) in enumerate(filters)}
         texts |= {f"dates of {m.name}": (f"{m.last_by or ''} {m.first_by or ''}", ()) for m in measures}
         if having is not None:
             texts["having"] = (having, ())
         for name, (expr, uses) in texts.items():
-            read = {name} | self._reads(expr, uses)
-            closed = sorted(read - set(allowed_columns(sorted(read), self.column_rules, user.groups)))
-            if closed:
-                raise PermissionError(f"{name} reads {closed}, which {user.name} may not")
+            read = sorted(({name.lower()} | self._reads(expr, uses)) & closed)
+            if read:
+                raise PermissionError(f"{name} reads {read}, which {user.name} may not")
 
     def joins_for(self, start: str, needed: set[str]) -> list[Join]:
         """Joins to make from a fact: those that lead to needed tables, and every other that changes rows.

@@ -7,14 +7,21 @@ with its checkpoint in the shared folder, so a restarted query goes on where it
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from threading import Event
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from orrery.operators.keys import join_on
 from orrery.operators.segments import cut_hot, micros
 from orrery.session import fresh_path
 
+RUNS = "run string, batches long, rows long, dropped long"
+LISTENER_SECONDS = 120
+
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", max_files: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; `ts` becomes an instant, which watermarks need."""
@@ -43,33 +50,80 @@ def deduplicated(events: DataFrame, keys: Sequence[str], late: str) -> DataFrame
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
+@dataclass
+class Progress:
+    """What a run did: batches, rows read, and rows that came behind the watermark and were dropped."""
+
+    batches: int = 0
+    rows: int = 0
+    dropped: int = 0
+
+
+class _Tally(StreamingQueryListener):
+    """Adds up the progress of every run as its batches end, whatever number of them there is."""
+
+    def __init__(self):
+        self.runs: dict[str, Progress] = defaultdict(Progress)
+        self.ended: dict[str, Event] = defaultdict(Event)
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p, run = event.progress, self.runs[str(event.progress.runId)]
+        run.batches += 1
+        run.rows += max(0, p.numInputRows)
+        run.dropped += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended[str(event.runId)].set()
+
+
 def run_available(
     df: DataFrame, label: str, mode: str = "append", paths: tuple[str, str] | None = None
-) -> tuple[DataFrame, list[dict]]:
-    """Process what is available, to parquet; returns the written rows and the progress of each batch.
+) -> tuple[DataFrame, Progress]:
+    """Process what is available, to parquet; returns the written rows and the progress of this run.
 
-    Spark keeps the progress of the last `spark.sql.streaming.numRecentProgressUpdates`
-    batches; without a limit of files per batch, a run is one batch and its closing one.
+    A listener counts while the batches run, so the session's options stay as they are. The counts of every
+    finished run are also appended to a table beside the state, which `progress_of` adds up.
     `paths` (output, state) of an earlier run go on from where it ended.
     In update mode each batch's changed rows are written under its number, so a batch
     that is run again replaces its own output; the last version of a row has the
     greatest `batch`.
     """
     spark = df.sparkSession
-    # Counts over all batches need the progress of all batches.
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(1 << 20))
     out, state = paths or (fresh_path(spark, label), fresh_path(spark, label + "-state"))
     writer = df.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        q = writer.outputMode("append").format("parquet").option("path", out).start()
-    else:
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-        q = writer.outputMode(mode).foreachBatch(keep).start()
-    q.awaitTermination()
+    tally = _Tally()
+    spark.streams.addListener(tally)
+    try:
+        if mode == "append":
+            q = writer.outputMode("append").format("parquet").option("path", out).start()
+        else:
+            def keep(batch: DataFrame, number: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+            q = writer.outputMode(mode).foreachBatch(keep).start()
+        q.awaitTermination()
+        # The end is told after all progress, on the listener's own thread.
+        if not tally.ended[str(q.runId)].wait(LISTENER_SECONDS):
+            raise TimeoutError(f"the end of stream {label} was not told within {LISTENER_SECONDS} s: its counts are not whole")
+    finally:
+        spark.streams.removeListener(tally)
+    run = tally.runs[str(q.runId)]
+    spark.createDataFrame([(str(q.runId), run.batches, run.rows, run.dropped)], RUNS).write.mode("append").parquet(f"{state}-runs")
     schema = df.schema if mode == "append" else T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(schema).parquet(out), list(q.recentProgress)
+    return spark.read.schema(schema).parquet(out), run
+
+
+def progress_of(spark: SparkSession, state: str) -> DataFrame:
+    """Runs, batches, rows and dropped rows of all finished runs over one state, restarts included."""
+    runs = spark.read.schema(RUNS).parquet(f"{state}-runs")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return runs.agg(F.count_distinct("run").alias("runs"), total("batches"), total("rows"), total("dropped"))
 
 
 def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -78,11 +132,6 @@ def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def late_rows(progress: Sequence[Mapping]) -> int:
-    """Rows that came behind the watermark and were dropped, over all batches."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))
-
-
 def sessions(events: DataFrame, user: str, ts: str, gap_seconds: int, measures: Mapping[str, Column]) -> DataFrame:
     """Sessions of a batch of events: a new one starts after `gap_seconds` without an event. Events without a time have none.
 

@@ -113,3 +113,48 @@ def test_two_ways_to_a_table(t):
     two = dataclasses.replace(m, joins=[*m.joins, M.Join("supplier", "nation", [("s_nationkey", "n_nationkey")])])
     with pytest.raises(ValueError, match="more than one way"):
         two.query(["nation"], ["lines"], unsecured=True)
+
+
+def two_nations(t, rules):
+    """Nations twice, once as the sellers' under a prefix, with rules of their own."""
+    return M.Model(
+        tables=[M.Table("customer", t.customer), M.Table("nation", t.nation), M.Table("sellers", t.nation, prefix="seller_")],
+        joins=[M.Join("customer", "nation", [("c_nationkey", "n_nationkey")]), M.Join("customer", "sellers", [("c_nationkey", "seller_n_nationkey")])],
+        attributes=[M.Attribute("nation", "nation", "n_name"), M.Attribute("seller", "sellers", "seller_n_name"), M.Attribute("label", "sellers", "upper(SELLER_N_NAME)"),
+                    M.Attribute("odd", "nation", "`no such column`")],
+        measures=[M.Measure("n", "customer", "count(*)"), M.Measure("named", "customer", "count(tag)", uses=("tag",))],
+        formulas=[M.Formula("tag", ("sellers",), "concat('x', seller_n_name)")],
+        column_rules=rules,
+    )
+
+
+def test_rules_by_organisation_and_table(t):
+    rules = Y.rules_of([
+        {"ORG_NAME": "north", "table_name": "sellers", "column_name": "N_NAME", "group_name": ""},
+        {"org_name": "south", "table_name": "nation", "column_name": "n_name", "group_name": "geo"},
+    ])
+    m = two_nations(t, rules)
+    north, south, geo = Y.User("a", org="north"), Y.User("b", org="south"), Y.User("c", groups=("geo",), org="south")
+    assert m.query(["nation"], ["n"], user=north).count() > 0
+    for closed in ("seller", "label"):
+        with pytest.raises(PermissionError, match="seller_n_name"):
+            m.query([closed], ["n"], user=north)
+    with pytest.raises(PermissionError):  # a formula that is made of the column
+        m.query(["nation"], ["named"], user=north)
+    with pytest.raises(PermissionError):
+        m.query(["nation"], ["n"], user=south)
+    assert m.query(["seller"], ["named"], user=south).count() > 0
+    assert m.query(["nation"], ["n"], user=geo).count() > 0
+    with pytest.raises(PermissionError, match="resolved"):
+        m.query(["odd"], ["n"], user=geo)
+
+
+def test_rules_that_name_nothing_are_refused(t):
+    with pytest.raises(ValueError, match="does not have"):
+        two_nations(t, [Y.ColumnRule("gone", "", "nation")]).query(["nation"], ["n"], user=Y.User("a"))
+    with pytest.raises(ValueError, match="must name"):
+        Y.rules_of([{"table_name": "nation", "column_name": " ", "group_name": "geo"}])
+    with pytest.raises(ValueError, match="no columns"):
+        Y.column_rules(t.nation, [Y.ColumnRule("gone", "", "nation")], Y.User("a"), table="nation")
+    seen = Y.column_rules(t.nation, [Y.ColumnRule("N_NAME", "", "Nation"), Y.ColumnRule("n_regionkey", "", "other")], Y.User("a"), table="nation")
+    assert seen.columns == ["n_nationkey", "n_regionkey", *[c for c in t.nation.columns if c not in ("n_nationkey", "n_name", "n_regionkey")]]
