@@ -65,19 +65,20 @@ def audit_cardinality_sketch(t):
     return both.select("column_name", "rows", "distinct_values", within.alias("within"))
 
 
-_SETS = {"big": "o_totalprice > 400000", "urgent": "o_orderpriority = '1-URGENT'", "open": "o_orderstatus = 'O'"}
-_ONE = "(SELECT DISTINCT o_custkey FROM orders WHERE {w})"
+# Three tables that hold customers' keys.
+_KEYS = {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id"}
+_ONE = "(SELECT DISTINCT {c} FROM {t})"
 
 
 def _pair(a, b):
-    x, y = _ONE.format(w=_SETS[a]), _ONE.format(w=_SETS[b])
+    x, y = _ONE.format(t=a, c=_KEYS[a]), _ONE.format(t=b, c=_KEYS[b])
     s, e = f"(SELECT count(*) FROM ({x} INTERSECT {y}))", f"(SELECT count(*) FROM ({x} UNION {y}))"
     return f"SELECT '{a}' AS left_table, '{b}' AS right_table, {s} AS shared, {e} AS either, round({s} / {e}::DOUBLE, 6) AS jaccard, {s} / {e}::DOUBLE > 0.5 AS flagged"
 
 
-@query("audit_overlap", " UNION ALL ".join(_pair(a, b) for a, b in (("big", "urgent"), ("big", "open"), ("urgent", "open"))))
+@query("audit_overlap", " UNION ALL ".join(_pair(a, b) for a, b in (("customer", "orders"), ("customer", "events"), ("orders", "events"))))
 def audit_overlap(t):
-    return A.column_overlap({n: t.orders.filter(w).select("o_custkey") for n, w in _SETS.items()}).withColumn("jaccard", R("jaccard", 6))
+    return A.column_overlap({n: getattr(t, n).select(k) for n, k in _KEYS.items()}).withColumn("jaccard", R("jaccard", 6))
 
 
 @query("audit_duplicates", "SELECT 'customer, customer_copy' AS tables, count(*) AS rows FROM customer")
@@ -88,9 +89,9 @@ def audit_duplicates(t):
 
 
 @query("audit_conformed_dims", """SELECT count(*) FILTER (c IS NOT NULL AND s IS NOT NULL) AS shared, count(*) FILTER (s IS NULL) AS left_only, count(*) FILTER (c IS NULL) AS right_only,
-    round(count(*) FILTER (c IS NULL OR s IS NULL) / count(*)::DOUBLE, 6) AS one_sided_share FROM (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_totalprice > 300000) FULL JOIN (SELECT DISTINCT o_custkey AS s FROM orders WHERE o_orderpriority = '2-HIGH') ON c = s""")
+    round(count(*) FILTER (c IS NULL OR s IS NULL) / count(*)::DOUBLE, 6) AS one_sided_share FROM (SELECT DISTINCT o_custkey AS c FROM orders) FULL JOIN (SELECT DISTINCT user_id AS s FROM events) ON c = s""")
 def audit_conformed_dims(t):
-    return A.conformed_dims(t.orders.filter("o_totalprice > 300000"), "o_custkey", t.orders.filter("o_orderpriority = '2-HIGH'"), "o_custkey").withColumn("one_sided_share", R("one_sided_share", 6))
+    return A.conformed_dims(t.orders, "o_custkey", t.events, "user_id").withColumn("one_sided_share", R("one_sided_share", 6))
 
 
 @query("audit_pii_columns", "SELECT 'people' AS table_name, n AS column_name, k AS category, l AS confidence, (SELECT count(*) FROM customer) AS filled FROM (VALUES ('email_addr', 'email', 'HIGH'), ('mobile', 'phone', 'HIGH'), ('full_name', 'person_name', 'MEDIUM'), ('zip_code', 'address', 'MEDIUM')) v(n, k, l)")

@@ -72,13 +72,11 @@ def join_using(t):
     return t.documents.join(t.labels, on=["doc_id"]).groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("join_composite", """SELECT a.l_partkey, a.l_suppkey, n, days FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) a
-    JOIN (SELECT l_partkey AS pk, l_suppkey AS sk, count(DISTINCT l_shipdate) AS days FROM lineitem GROUP BY 1, 2) b ON a.l_partkey = b.pk AND a.l_suppkey = b.sk""")
+@query("join_composite", """SELECT o_orderpriority, count(*) AS lines, sum(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linestatus = o_orderstatus GROUP BY 1""")
 def join_composite(t):
-    counted = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    shipped = t.lineitem.groupBy(c("l_partkey").alias("pk"), c("l_suppkey").alias("sk")).agg(
-        F.count_distinct("l_shipdate").alias("days"))
-    return J.star_join(counted, J.Dim(shipped, [("l_partkey", "pk"), ("l_suppkey", "sk")])).select("l_partkey", "l_suppkey", "n", "days")
+    """Lines that have the status of their order: two tables, two columns as key."""
+    met = J.star_join(t.lineitem, J.Dim(t.orders, [("l_orderkey", "o_orderkey"), ("l_linestatus", "o_orderstatus")]))
+    return met.groupBy("o_orderpriority").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("qty"))
 
 
 @query("join_multi_hop", "SELECT r_name, n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -162,15 +160,15 @@ def semi_join(t):
         F.count("*").alias("n"), R(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
 def anti_join(t):
-    return J.anti_join(t.customer, t.orders.filter(c("o_orderpriority") == "1-URGENT"), [("c_custkey", "o_custkey")]).select("c_custkey", "c_name")
+    return J.anti_join(t.customer, t.events, [("c_custkey", "user_id")]).select("c_custkey", "c_name")
 
 
-@query("outer_members", "SELECT c_custkey, round(s, 2) AS urgent FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS s FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON c_custkey = o_custkey")
+@query("outer_members", "SELECT c_custkey, round(s, 2) AS events_value FROM customer LEFT JOIN (SELECT user_id, sum(value) AS s FROM events GROUP BY 1) ON c_custkey = user_id")
 def outer_members(t):
-    out = J.outer_members(t.customer, "c_custkey", t.orders.filter(c("o_orderpriority") == "1-URGENT"), "o_custkey", {"urgent": R(F.sum("o_totalprice"), 2)})
-    return out.select("c_custkey", "urgent")
+    out = J.outer_members(t.customer, "c_custkey", t.events, "user_id", {"events_value": R(F.sum("value"), 2)})
+    return out.select("c_custkey", "events_value")
 
 
 @query("drill_across", """WITH s AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, sum(l_quantity) AS shipped FROM lineitem GROUP BY 1),
@@ -189,10 +187,10 @@ def fan_trap_safe_agg(t):
 
 
 @query("blend_left", """WITH a AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice), 2) AS sales FROM orders GROUP BY 1),
-    b AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, sum(l_quantity) AS target FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT month, sales, target FROM a LEFT JOIN b USING (month)""")
+    b AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, sum(l_quantity) AS target FROM lineitem GROUP BY 1) SELECT month, sales, target FROM a LEFT JOIN b USING (month)""")
 def blend_left(t):
     orders = t.orders.withColumn("month", D.date_bucket(c("o_orderdate"), "MONTHLY"))
-    targets = t.lineitem.filter(c("l_returnflag") == "R").withColumn("month", D.date_bucket(c("l_shipdate"), "MONTHLY"))
+    targets = t.lineitem.withColumn("month", D.date_bucket(c("l_shipdate"), "MONTHLY"))
     return J.blend_left(orders, targets, ["month"], {"sales": R(F.sum("o_totalprice"), 2)}, {"target": F.sum("l_quantity")})
 
 
@@ -214,9 +212,9 @@ def lookup_value(t):
     return out.select("c_custkey", F.to_date("first_order").alias("first_order"))
 
 
-@query("exists_in", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+@query("exists_in", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events)")
 def exists_in(t):
-    return J.exists_in(t.part, t.lineitem.filter(c("l_quantity") == 50), [("p_partkey", "l_partkey")]).select("p_partkey", "p_name")
+    return J.exists_in(t.orders, t.events, [("o_custkey", "user_id")]).select("o_orderkey", "o_custkey")
 
 
 _PAIRS = [  # (source table, column, target table, column) that share a name once prefixes are cut

@@ -143,9 +143,9 @@ def topn_per_group_ties(t):
         "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "rank")
 
 
-C1, C2 = "SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'", "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"
-one = lambda t: t.orders.filter(c("o_orderstatus") == "O").select("o_custkey")
-two = lambda t: t.orders.filter(c("o_orderpriority") == "1-URGENT").select("o_custkey")
+C1, C2 = "SELECT o_custkey FROM orders", "SELECT user_id AS o_custkey FROM events"
+one = lambda t: t.orders.select("o_custkey")
+two = lambda t: t.events.select(c("user_id").cast("bigint").alias("o_custkey"))
 query("union_all", f"{C1} UNION ALL {C2}")(lambda t: one(t).union(two(t)))
 query("union_distinct", f"{C1} UNION {C2}")(lambda t: one(t).union(two(t)).distinct())
 query("except", f"{C1} EXCEPT {C2}")(lambda t: one(t).subtract(two(t)))
