@@ -63,12 +63,30 @@ def infer_types(t):
     texts = t.orders.select(
         "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", F.to_date("o_orderdate").alias("day"),
         (c("o_orderkey") % 2).alias("flag"), F.when(c("o_orderkey") % 3 == 0, " ").alias("blank"))
-    return L.infer_types(texts.select(*[c(n).cast("string").alias(n) for n in texts.columns]))
+    return L.infer_types(texts.select(*[c(n).cast("string").alias(n) for n in texts.columns])).drop("rows")
 
 
 @query("infer_types_text", " UNION ALL ".join(_TYPE.format(n=n, e=n, t="documents") for n in ("doc_id", "text", "lang", "source", "n_chars")))
 def infer_types_text(t):
-    return L.infer_types(t.documents)
+    return L.infer_types(t.documents).drop("rows")
+
+
+_SOURCE = {"customer": ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"], "supplier": ["s_suppkey", "s_name", "s_acctbal"]}
+_GIVEN = {"Customer": {"C_NAME": "VARCHAR(99)", "c_gone": "DATE"}}
+
+
+def _report(name, position, column):
+    kind = _TYPE.format(n=column, e=column, t=name)
+    given = "'VARCHAR(99)'" if column == "c_name" else "inferred_type"
+    return f"SELECT '{name}' AS table_name, column_name, {position} AS position, {given} AS type, {column == 'c_name'} AS declared, filled, (SELECT count(*) FROM {name}) AS rows FROM ({kind})"
+
+
+@query("source_types", " UNION ALL ".join(_report(n, i + 1, x) for n, cols in _SOURCE.items() for i, x in enumerate(cols))
+       + " UNION ALL SELECT 'customer', 'c_gone', NULL, 'DATE', true, NULL, NULL")
+def source_types(t):
+    """Two text tables of a source, one column's type declared, and one declared that is not there."""
+    texts = {n: getattr(t, n).select(*[c(x).cast("string").alias(x) for x in cols]) for n, cols in _SOURCE.items()}
+    return L.source_types(texts, _GIVEN)
 
 
 @query("profile_rows", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in ("orders", "customer", "lineitem", "events")))

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.dates import date_bucket
+from orrery.operators import rollups as P
 from orrery.operators.filters import Filter, Parameter, rolling_date_constraint
 from orrery.operators.joins import Dim, drill_across, star_join
 from orrery.operators.security import ColumnRule, User, closed_columns
 from orrery.operators.timeintel import edge_value
+from orrery.plans.stages import Question, Stage
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,8 @@ class Measure:
     """An aggregate SQL text over one fact and what hangs on it.
 
     With `last_by` (a date column), `expr` is a value that is summed at the last date
-    present in each group; `first_by` takes the first date.
+    present in each group; `first_by` takes the first date. `parts` declares the same measure by kind over a column
+    or formula (its name is not used), so that a stored rollup can keep it.
     """
 
     name: str
@@ -69,14 +72,26 @@ class Measure:
     uses: tuple[str, ...] = ()
     last_by: str | None = None
     first_by: str | None = None
+    parts: P.Measure | None = None
+    digits: int | None = None
 
 
 @dataclass(frozen=True)
 class RowRule:
-    """A row filter on a table: given the user, a predicate over its columns."""
+    """A row filter on a table: given the user, a predicate over its columns. A rollup can be read under a rule only
+    where `columns` names all that the predicate reads, and the rollup holds them."""
 
     table: str
     predicate: Callable[[User], Column]
+    columns: tuple[str, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A rollup of one fact's measures that a model made (`Model.rollup`)."""
+
+    fact: str
+    kept: P.Rollup
 
 
 @dataclass(frozen=True)
@@ -92,6 +107,8 @@ class Model:
     row_rules: Sequence[RowRule] = ()
     column_rules: Sequence[ColumnRule | tuple[str, str]] = ()
     formula_depth: int = 3
+    # Tables that the way to a table must lead through, where several lead there.
+    via: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     # -- metadata ------------------------------------------------------------------------
 
@@ -127,21 +144,35 @@ class Model:
             visit(n, ())
         return done
 
+    def _ways(self, start: str) -> dict[str, list[list[Join]]]:
+        """All ways of many-to-one joins from a table to each table it reaches."""
+        ways: dict[str, list[list[Join]]] = {start: [[]]}
+
+        def walk(at: str, path: list[Join]) -> None:
+            for j in self.joins:
+                if j.many == at and j.one != start and j.one not in {x.one for x in path}:
+                    ways.setdefault(j.one, []).append([*path, j])
+                    walk(j.one, [*path, j])
+
+        walk(start, [])
+        return ways
+
     def _reach(self, start: str) -> dict[str, list[Join]]:
         """Tables reachable from a table by many-to-one joins, each with the joins that lead there.
 
-        A table that two ways lead to is refused: give it a second name and prefix.
+        Where two ways lead to a table, the question must say which it means: `via` names tables on the way.
+        Without that, the table and those behind it are refused (`joins_for`), not the model.
         """
-        paths: dict[str, list[Join]] = {start: []}
-        queue = [start]
-        while queue:
-            at = queue.pop(0)
-            for j in self.joins:
-                if j.many == at:
-                    if j.one in paths:
-                        raise ValueError(f"more than one way leads from {start} to {j.one}")
-                    paths[j.one] = [*paths[at], j]
-                    queue.append(j.one)
+        paths: dict[str, list[Join]] = {}
+        for table, ways in self._ways(start).items():
+            kept = ways
+            for on_way, stops in self.via.items():
+                # What is named for a table also holds for the tables behind it.
+                kept = [w for w in kept if on_way not in {j.one for j in w} or {*stops} <= {start, *(j.one for j in w[:[j.one for j in w].index(on_way) + 1])}]
+            if len(kept) == 1:
+                paths[table] = kept[0]
+            elif not kept:
+                raise ValueError(f"no way from {start} to {table} leads through {[*self.via.get(table, ())]}")
         return paths
 
     def _reads(self, expr: str, names: Sequence[str]) -> set[str]:
@@ -200,6 +231,11 @@ class Model:
         and is left out unless needed.
         """
         paths = self._reach(start)
+        ways = self._ways(start)
+        # An inner, right or full join changes rows, so its table must not be left out just because its way is open.
+        open_ = {t for t, w in ways.items() if t not in paths and (t in needed or any(p[-1].how != "left" for p in w))}
+        if open_:
+            raise ValueError(f"more than one way leads from {start} to {sorted(open_)}: name a table on the way with via")
         lost = needed - set(paths)
         if lost:
             raise ValueError(f"{sorted(lost)} cannot be reached from {start} without multiplying its rows")
@@ -207,7 +243,7 @@ class Model:
         for table, path in paths.items():
             if table in needed or (path and path[-1].how != "left"):
                 used += [j for j in path if j not in used]
-        return [j for p in paths.values() for j in p[-1:] if j in used]
+        return [j for p in sorted(paths.values(), key=len) for j in p[-1:] if j in used]
 
     # -- frames --------------------------------------------------------------------------
 
@@ -257,6 +293,9 @@ class Model:
         having: str | None = None,
         ref: Column | None = None,
         unsecured: bool = False,
+        stages: Sequence[Stage] = (),
+        via: Mapping[str, Sequence[str]] | None = None,
+        rollups: Sequence[Stored] = (),
     ) -> DataFrame:
         """Attributes and measures, grouped.
 
@@ -265,7 +304,19 @@ class Model:
         on tables of one fact alone filters that fact; another fact, which cannot reach
         them, keeps its rows. Where the model has rules, a question needs a user;
         `unsecured` says that it is meant to be asked without.
+
+        `stages` add levels of detail, windows and sets. `via` names, for a table that several ways lead to,
+        tables on the way that is meant. A question of one fact that a rollup among `rollups` can answer in full,
+        filters and row rules included, is answered from the smallest such one.
         """
+        if via is not None:
+            return replace(self, via=via).query(attributes, measures, filters, parameters, user, having, ref, unsecured, stages, None, rollups)
+        if stages:
+            ask = lambda atts, mes, fs: self.query(atts, mes, filters if fs is None else fs, parameters, user, None, ref, unsecured, (), None, rollups)
+            out, q = ask(attributes, measures, None), Question(tuple(attributes), tuple(filters), ask)
+            for stage in stages:
+                out = stage.apply(out, q)
+            return out if having is None else out.filter(having)
         atts = [self._one("attributes", a) for a in attributes]
         mes = [self._one("measures", m) for m in measures]
         if user is None and not unsecured and (self.row_rules or self.column_rules):
@@ -273,6 +324,10 @@ class Model:
         if user is not None:
             self._check_columns(user, atts, mes, filters, having)
         facts = list(dict.fromkeys(m.fact for m in mes))
+        if rollups and len(facts) == 1:
+            answered = self._from_rollup(atts, mes, filters, parameters, user, rollups)
+            if answered is not None:
+                return answered if having is None else answered.filter(having)
 
         def needs(flt) -> set[str]:
             return set(flt[0]) | {t for f in self._formulas(list(flt[1])) for t in f.tables}
@@ -317,3 +372,80 @@ class Model:
         out = parts[0] if len(parts) == 1 else drill_across(parts, list(attributes))
         out = out.select(*attributes, *measures)
         return out if having is None else out.filter(having)
+
+    # -- rollups -------------------------------------------------------------------------
+
+    def _date(self, a: Attribute) -> str | None:
+        """The date column behind a bucketed attribute."""
+        return a.expr if a.bucket is not None and re.fullmatch(r"\w+", a.expr) else None
+
+    def rollup(self, name: str, attributes: Sequence[str], measures: Sequence[str]) -> Stored:
+        """The rows of one fact grouped to the attributes, with the parts of declared measures.
+
+        The model's own filters are in it, its rules are not: they apply when it is read. The columns that row
+        rules read are added to the attributes, and a rule that does not name its columns, or names one that no
+        attribute holds, refuses the rollup; so do date constraints, which change with the day. The frame is lazy:
+        write it and put the stored one in its place.
+        """
+        atts, mes = [self._one("attributes", a) for a in attributes], [self._one("measures", m) for m in measures]
+        facts = {m.fact for m in mes}
+        if len(facts) != 1 or any(m.parts is None for m in mes):
+            raise ValueError("a rollup keeps declared measures of one fact")
+        if self.constraints:
+            raise ValueError("rows under a date constraint change with the day: they cannot be kept")
+        fact = facts.pop()
+        for rule in self.row_rules:
+            if rule.table in self._reach(fact):
+                if rule.columns is None:
+                    raise ValueError(f"a row rule on {rule.table} does not say which columns it reads: the rollup could not be secured")
+                for c in rule.columns:
+                    held = next((a for a in self.attributes if a.expr == c and a.bucket is None and a.table == rule.table), None)
+                    if held is None:
+                        raise ValueError(f"no attribute holds {c}, which a row rule on {rule.table} reads: the rollup could not be secured")
+                    if held not in atts:
+                        atts.append(held)
+        dims = [a for a in atts if a.bucket is None]
+        grains = {self._date(a): a.bucket for a in atts if a.bucket is not None}
+        if None in grains or len(grains) < len([a for a in atts if a.bucket is not None]):
+            raise ValueError("a rollup keeps one bucket of each date column")
+        formulas = self._formulas([u for m in mes for u in m.uses])
+        rows = self._rows(fact, {a.table for a in atts} | {t for f in formulas for t in f.tables}, formulas, None, None)
+        for a in dims:
+            rows = rows.withColumn(a.name, F.expr(a.expr))
+        frame = P.build_rollup(rows, [a.name for a in dims], grains, [replace(m.parts, name=m.name) for m in mes])
+        return Stored(fact, P.Rollup(name, frame, tuple(a.name for a in dims), grains, tuple(m.name for m in mes), 0))
+
+    def _from_rollup(self, atts, mes, filters, parameters, user: User | None, rollups: Sequence[Stored]) -> DataFrame | None:
+        """The answer from the smallest rollup that has all it takes, or None."""
+        if any(m.parts is None for m in mes) or self.via:
+            return None
+        dated = [a for a in atts if a.bucket is not None]
+        grains = {self._date(a): a.bucket for a in dated}
+        if None in grains or len(grains) < len(dated):
+            return None
+        by_column = {a.expr: a.name for a in self.attributes if a.bucket is None and re.fullmatch(r"\w+", a.expr)}
+        rules = [r for r in self.row_rules if user is not None and r.table in self._reach(mes[0].fact)]
+        if any(r.columns is None for r in rules) or any(fs for _, fs, _ in filters):
+            return None
+        # Every column of the fact's tables that a filter reads must be an attribute of the rollup.
+        every = {t.prefix + c for t in self.tables for c in t.frame.columns}
+        read = {c for _, _, text in filters for c in re.findall(r"\w+", text) if c in every} | {c for r in rules for c in r.columns}
+        if not read <= set(by_column):
+            return None
+        measures = tuple(replace(m.parts, name=m.name) for m in mes)
+        q = P.Request(tuple(a.name for a in atts if a.bucket is None), grains, measures, {by_column[c]: F.lit(True) for c in read})
+        able = [s.kept for s in rollups if s.fact == mes[0].fact and not P.lacks(s.kept, q)]
+        if not able:
+            return None
+        rows = min(able, key=lambda r: r.rows).frame
+        for c in sorted(read):
+            rows = rows.withColumn(c, F.col(by_column[c]))
+        for p in self.parameters:
+            rows = rows.withColumn(f"_p_{p.name}", p.value((parameters or {}).get(p.name)))
+        for _, _, text in filters:
+            rows = rows.filter(F.expr(text.format(**{p.name: f"_p_{p.name}" for p in self.parameters})))
+        for r in rules:
+            rows = rows.filter(F.coalesce(r.predicate(user), F.lit(False)))
+        out = P.reaggregate(rows, q.dims, grains, measures)
+        named = [F.col(a.name) if a.bucket is None else F.col(self._date(a)).alias(a.name) for a in atts]
+        return out.select(*named, *[(F.col(m.name) if m.digits is None else F.round(m.name, m.digits)).alias(m.name) for m in mes])

@@ -77,7 +77,7 @@ FLOAT_PATTERN = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinit
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """One row per column with the first type that every non-blank value fits.
+    """One row per column with the first type that every non-blank value fits, the values and the rows.
 
     A single aggregation over all rows, map-side combined; nothing is sampled. Each value
     is put into one class, with the likelier patterns tried first.
@@ -106,8 +106,8 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.coalesce(F.max(f"l{i}"), F.lit(0)).alias("longest"), *[F.count(F.when(k == x, 1)).alias(x) for x in "ifdt"],
         )
 
-    one = classed.agg(*[summary(i).alias(f"c{i}") for i in every])
-    seen = one.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])))
+    one = classed.agg(F.count("*").alias("rows"), *[summary(i).alias(f"c{i}") for i in every])
+    seen = one.select("rows", F.inline(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])))
     all_are = lambda *k: reduce(lambda a, b: a + b, [F.col(x) for x in k]) == F.col("filled")
     wide = F.greatest(F.lit(256), F.ceil(F.col("longest") * 1.5))
     kind = (
@@ -115,7 +115,34 @@ def infer_types(df: DataFrame) -> DataFrame:
         .when(all_are("i", "f"), "FLOAT").when(all_are("d"), "DATE").when(all_are("t"), "TIMESTAMP")
         .otherwise(F.concat(F.lit("VARCHAR("), wide.cast("string"), F.lit(")")))
     )
-    return seen.select("column_name", kind.alias("inferred_type"), "filled")
+    return seen.select("column_name", kind.alias("inferred_type"), "filled", "rows")
+
+
+REPORT = "table_name string, column_name string, position int, type string, declared boolean, filled long, rows long"
+
+
+def source_types(tables: Mapping[str, DataFrame], declared: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """Tables, columns, types and rows of a whole source in one report, a scan a table.
+
+    `declared` holds types by table and column, whatever their case; they are kept, as `declared`, and all other
+    types are inferred. A declared column that a table lacks is reported with neither values nor a position.
+    """
+    known = {t.lower(): {c.lower(): kind for c, kind in cols.items()} for t, cols in (declared or {}).items()}
+    parts = []
+    for name, df in tables.items():
+        mine = known.get(name.lower(), {})
+        held = {c.lower() for c in df.columns}
+        place = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i + 1)])
+        kind = F.create_map(*[F.lit(x) for c in df.columns if c.lower() in mine for x in (c, mine[c.lower()])]) if held & mine.keys() else None
+        given = F.try_element_at(kind, F.col("column_name")) if kind is not None else F.lit(None).cast("string")
+        parts.append(infer_types(df).select(
+            F.lit(name).alias("table_name"), "column_name", F.element_at(place, F.col("column_name")).alias("position"),
+            F.coalesce(given, "inferred_type").alias("type"), given.isNotNull().alias("declared"), "filled", "rows"))
+        lost = sorted(set(mine) - held)
+        if lost:
+            missing = df.sparkSession.createDataFrame([(name, c, None, mine[c], True, None, None) for c in lost], REPORT)
+            parts.append(missing)
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Names of other systems, as Spark's type parser knows them.

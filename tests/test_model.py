@@ -158,3 +158,60 @@ def test_rules_that_name_nothing_are_refused(t):
         Y.column_rules(t.nation, [Y.ColumnRule("gone", "", "nation")], Y.User("a"), table="nation")
     seen = Y.column_rules(t.nation, [Y.ColumnRule("N_NAME", "", "Nation"), Y.ColumnRule("n_regionkey", "", "other")], Y.User("a"), table="nation")
     assert seen.columns == ["n_nationkey", "n_regionkey", *[c for c in t.nation.columns if c not in ("n_nationkey", "n_name", "n_regionkey")]]
+
+
+def test_ways_must_be_named(t):
+    from orrery.catalogue.models import two_ways
+
+    m = two_ways(t)
+    assert m.query(["segment"], ["orders"], unsecured=True).count() == 5  # orders reach nations by customers alone
+    with pytest.raises(ValueError, match="more than one way"):
+        m.query(["region"], ["lines"], unsecured=True)
+    with pytest.raises(ValueError, match="no way"):
+        m.query(["region"], ["lines"], via={"nation": ["part"]}, unsecured=True)
+    by = {w: {r.region: r.lines for r in m.query(["region"], ["lines"], via={"nation": [w]}, unsecured=True).collect()} for w in ("customer", "supplier")}
+    assert by["customer"] != by["supplier"] and sum(by["customer"].values()) == sum(by["supplier"].values()) == t.lineitem.count()
+
+
+def test_stages_keep_the_rules(t):
+    from orrery.operators.lod import Grouping
+    from orrery.plans import stages as G
+
+    user = Y.User("ana", user_variables={"region": ["ASIA"]})
+    ask = lambda *s, **k: trade(t).query(["nation"], ["lines"], user=user, stages=s, **k)
+    rows = ask(G.Level("all", "lines", Grouping(fixed=()), filtered=False), G.Share("share", "lines")).collect()
+    assert len({r["all"] for r in rows}) == 1 and rows[0]["all"] == sum(r.lines for r in rows)
+    assert sum(r.share for r in rows) == pytest.approx(1)
+    with pytest.raises(PermissionError):  # a stage reads no measure that the question could not
+        ask(G.Level("closed", "charge", Grouping()))
+    with pytest.raises(ValueError, match="again"):
+        ask(G.Level("fine", "lines", Grouping(plus=("segment",))))
+    with pytest.raises(ValueError, match="one attribute"):
+        trade(t).query(["nation", "segment"], ["lines"], user=user, stages=[G.Others("nation", "lines", 2)])
+    kept = ask(G.Members("nation", "lines", n=2), having="lines > 0").collect()
+    assert {r.nation for r in kept} == {r.nation for r in sorted(rows, key=lambda r: (-r.lines, r.nation))[:2]}
+    assert {r.nation for r in ask(G.Members("nation", "lines", n=1, top=False)).collect()} == {min(rows, key=lambda r: (r.lines, r.nation)).nation}
+
+
+def test_rollups_answer_only_what_they_hold(t):
+    m = trade(t)
+    kept = m.rollup("months", ["nation", "order_month"], ["revenue", "lines"])
+    assert set(kept.kept.dims) == {"nation", "region"}  # the row rule's column came along
+    empty = M.Stored(kept.fact, M.replace(kept.kept, frame=kept.kept.frame.limit(0)))
+    ask = lambda atts, mes, **k: m.query(atts, mes, unsecured=True, rollups=[empty], **k).count()
+    assert ask(["nation", "order_year"], ["lines"]) == 0  # answered by the rollup, which is empty here
+    assert ask(["segment"], ["lines"]) > 0 and ask(["nation"], ["charge"]) > 0  # a column and a measure it lacks
+    assert ask(["order_month", "order_year"], ["lines"]) > 0  # two buckets of one date
+    assert ask(["nation"], ["lines"], filters=[(("orders",), (), "o_totalprice > 10")]) > 0  # a filter on what it lacks
+    assert ask(["nation"], ["lines"], filters=[(("region",), (), "r_name = 'ASIA'")]) == 0
+    silent = M.replace(m, row_rules=[M.RowRule("region", m.row_rules[0].predicate)])
+    with pytest.raises(ValueError, match="secured"):
+        silent.rollup("months", ["nation"], ["lines"])
+    lost = M.replace(m, row_rules=[M.RowRule("region", m.row_rules[0].predicate, ("r_regionkey",))])
+    with pytest.raises(ValueError, match="no attribute holds"):
+        lost.rollup("months", ["nation"], ["lines"])
+    with pytest.raises(ValueError, match="declared"):
+        m.rollup("x", ["nation"], ["charge"])
+    user = Y.User("ana", user_variables={"region": ["ASIA"]})
+    full = lambda **k: sorted(tuple(r) for r in m.query(["nation", "order_year"], ["revenue", "lines"], user=user, **k).collect())
+    assert full(rollups=[kept]) == full()
