@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -40,6 +42,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_worker(name: str, key, make):
+    """What `make` makes, once for each key in a Python worker that goes on to further tasks; the last key's only."""
+    kept = sys.modules.setdefault("_orrery_worker", types.ModuleType("_orrery_worker")).__dict__
+    if kept.get(name, (None,))[0] != key:
+        kept[name] = key, make()
+    return kept[name][1]
+
+
 def built_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """`df` with more columns, as a generator's output: filters on them stay above it, so that heavy
     expressions are evaluated once a row and are never written out inside each other's lambdas."""

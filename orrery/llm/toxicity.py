@@ -3,7 +3,8 @@
 The kernel of two words sums over the character subsequences of length two and three that they
 share, each weighted by DECAY to the length it spans in both, so that gaps and inserted
 characters lower it only a little. It is normalised to 1 for equal words, raised to a power, and
-zero for words that lack over a quarter of the landmark's letters. A text is the set of its
+zero for words that lack over a quarter of the landmark's letters, or over half of its neighbouring letter
+pairs even with up to two letters in between. A text is the set of its
 words (runs of single letters count as one word as well), and its kernel with a landmark is the
 largest of its words. Landmarks are words and word beginnings that labelled texts show to mark
 toxicity: each toxic training text names the strongest marks it has, so that every text with a mark
@@ -12,7 +13,8 @@ with squared hinge loss and Platt's sigmoid scores them.
 
 Null and empty texts have no word and get the score of the bias. Rows repeat as they come, ties
 in the choice of landmarks are settled by text, extra columns stay untouched, and an empty
-table gives an empty one. Without labels of both kinds every score is 0.
+table gives an empty one. Without labels of both kinds every score is 0; where no word passes as a
+mark, as with few labels, every score is the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from orrery.llm.common import flat, small_batches, text_of, written
+from orrery.llm.common import flat, per_worker, small_batches, text_of, written
 
 DECAY = 0.5
 # The normalised kernel is taken to this power (a kernel again): likeness by chance fades.
@@ -43,6 +45,9 @@ TRAIN_ROWS, TEXTS_A_MARK = 4000, 8
 SUPPORT, ODDS, NAMED = 3, 24, 8
 # Labels and candidates that are broadcast at once; more take more passes over the texts.
 LABELS_A_PASS, CANDIDATES_A_PASS = 1_000_000, 200_000
+# Places of letter pairs, words compared with all landmarks at once, and pairs of a word and a landmark whose
+# kernels are formed at once.
+PLACES, WORDS, PAIRS = 251, 4096, 2048
 RIDGE = 2e-4
 CACHE = 300_000
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -74,12 +79,14 @@ def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return joined, sizes, np.cumsum(sizes) - sizes
 
 
-def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
-    """Words as rows of character codes, filled up with `pad`."""
+def _codes(words: list[str], width: int, pad: int, cut: bool = False) -> np.ndarray:
+    """Words as rows of character codes, filled up with `pad`; with `cut`, longer words lose their ends."""
     joined, sizes, starts = _letters(words)
-    out = np.full((len(words), width), pad, np.int64)
+    out = np.full((len(words), width), pad, np.int32)
     row = np.repeat(np.arange(len(words)), sizes)
-    out[row, np.arange(joined.size) - starts[row]] = joined
+    place = np.arange(joined.size) - starts[row]
+    held = place < width if cut else slice(None)
+    out[row[held], place[held]] = joined[held]
     return out
 
 
@@ -93,24 +100,36 @@ def _masks(words: list[str]) -> np.ndarray:
     return out
 
 
+def _pair_marks(words: list[str], reach: int) -> np.ndarray:
+    """The ordered letter pairs of each word, up to `reach` letters apart, as a row of zeros and ones; two pairs may share a place."""
+    joined, sizes, _ = _letters(words)
+    out = np.zeros((len(words), PLACES), np.float32)
+    row, joined = np.repeat(np.arange(len(words)), sizes), joined.astype(np.int64)
+    for d in range(1, reach + 1):
+        same = row[d:] == row[:-d]
+        out[row[d:][same], ((joined[:-d] * 37 + joined[d:]) % PLACES)[same]] = 1
+    return out
+
+
 def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Row-wise kernel of two code matrices (pads of s and t differ): lengths 2 and 3, 3 counted fourfold."""
     rows, width = t.shape
     j = np.arange(width)
-    carry = np.where(j[None, :] >= j[:, None], DECAY ** (2.0 + j[None, :] - j[:, None]), 0.0)
-    one, two = (np.zeros((rows, width)) for _ in range(2))
-    total = np.zeros(rows)
+    carry = np.where(j[None, :] >= j[:, None], DECAY ** (2.0 + j[None, :] - j[:, None]), 0.0).astype(np.float32)
+    one, two = (np.zeros((rows, width), np.float32) for _ in range(2))
+    total = np.zeros((rows, width), np.float32)
     for a in range(s.shape[1]):
-        hit = (s[:, a:a + 1] == t).astype(float)
+        hit = (s[:, a:a + 1] == t).astype(np.float32)
         longer, pair = hit.copy(), hit.copy()
         longer[:, 1:] *= two[:, :-1]
         longer[:, 0] = 0
         pair[:, 1:] *= one[:, :-1]
         pair[:, 0] = 0
-        total += DECAY ** 2 * (pair.sum(1) + 4 * longer.sum(1))
+        total += pair
+        total += 4 * longer
         two = DECAY * two + pair @ carry
         one = DECAY * one + hit @ carry
-    return total
+    return DECAY ** 2 * total.sum(1, dtype=np.float64)
 
 
 @dataclass
@@ -125,6 +144,8 @@ class WordKernel:
         self.codes = _codes(self.landmarks, self.width, -2)
         self.bits = _masks(self.landmarks)
         self.need = np.ceil(np.bitwise_count(self.bits) * 0.75).astype(np.int64)
+        self.pairs = np.ascontiguousarray(_pair_marks(self.landmarks, 1).T)
+        self.need_pairs = np.ceil(self.pairs.sum(axis=0) / 2)
         own = _codes(self.landmarks, self.width, -1)
         self.norm = np.sqrt(subsequence_kernel(own, self.codes)) if self.landmarks else np.zeros(0)
         self.exact = {m: i for i, m in enumerate(self.landmarks)}
@@ -136,29 +157,38 @@ class WordKernel:
         masks = _masks(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         w, mark = [], []
-        for m, (bits, need) in enumerate(zip(self.bits, self.need, strict=True)):
-            near = np.flatnonzero((np.bitwise_count(masks & bits) >= need) & (sizes > 1))
-            w.append(near)
-            mark.append(np.full(len(near), m))
+        for at in range(0, len(words), WORDS):
+            # One product counts the neighbouring pairs that each word shares with each landmark.
+            shared = _pair_marks(words[at:at + WORDS], 3) @ self.pairs
+            i, m = np.nonzero(shared >= self.need_pairs)
+            i += at
+            near = (np.bitwise_count(masks[i] & self.bits[m]) >= self.need[m]) & (sizes[i] > 1)
+            w.append(i[near])
+            mark.append(m[near])
         w, mark = flat(w, np.int64), flat(mark, np.int64)
         order = np.argsort(sizes[w], kind="stable")
         w, mark = w[order], mark[order]
         # Adjacent letters alone give every word this much of a kernel with itself.
         least = (sizes - 1) * DECAY ** 4 + 4 * np.maximum(sizes - 2, 0) * DECAY ** 6
-        for at in range(0, len(w), 8192):
-            i, m = w[at:at + 8192], mark[at:at + 8192]
-            distinct, back = np.unique(i, return_inverse=True)
-            texts = [words[k] for k in distinct]
-            k = subsequence_kernel(_codes(texts, max(map(len, texts)), -1)[back], self.codes[m]) / self.norm[m]
+        codes = _codes(words, int(sizes[w].max(initial=1)), -1, cut=True)
+        good_i, good_m, good_k = [], [], []
+        for at in range(0, len(w), PAIRS):
+            i, m = w[at:at + PAIRS], mark[at:at + PAIRS]
+            k = subsequence_kernel(codes[i, :sizes[i[-1]]], self.codes[m]) / self.norm[m]
             good = k >= FLOOR * np.sqrt(least[i])
-            if good.any():
-                i, m, k = i[good], m[good], k[good]
-                distinct, back = np.unique(i, return_inverse=True)
-                texts = [words[n] for n in distinct]
-                width = max(map(len, texts))
-                own = subsequence_kernel(_codes(texts, width, -1), _codes(texts, width, -2))
-                k = k / np.sqrt(own[back])
-                out[i, m] = np.where(k >= FLOOR, k ** POWER, 0)
+            good_i.append(i[good])
+            good_m.append(m[good])
+            good_k.append(k[good])
+        i, m, k = flat(good_i, np.int64), flat(good_m, np.int64), flat(good_k, float)
+        distinct = np.unique(i)
+        distinct = distinct[np.argsort(sizes[distinct], kind="stable")]
+        own = np.ones(len(words))
+        for at in range(0, len(distinct), PAIRS):
+            part = distinct[at:at + PAIRS]
+            mine = codes[part, :sizes[part[-1]]]
+            own[part] = subsequence_kernel(mine, np.where(mine < 0, -2, mine))
+        k = k / np.sqrt(own[i])
+        out[i, m] = np.where(k >= FLOOR, k ** POWER, 0)
         for i, word in enumerate(words):
             for n in range(2, min(len(word), self.width) + 1):
                 m = self.exact.get(word[:n])
@@ -177,7 +207,10 @@ class WordKernel:
         parts = [pieces(plain(w)) for w in new]
         kernels = self.kernels([p for ps in parts for p in ps])
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        best = np.maximum.reduceat(kernels, np.cumsum(sizes) - sizes, axis=0)
+        starts = np.cumsum(sizes) - sizes
+        best, long = kernels[starts], np.flatnonzero(sizes > 1)
+        for i in long:
+            best[i] = kernels[starts[i]:starts[i] + sizes[i]].max(axis=0)
         near = best.any(1)
         count = int(near.sum())
         while self.used + count > len(self.rows):
@@ -279,9 +312,11 @@ def candidate_counts(texts: DataFrame, among: set[str] | None = None) -> DataFra
 def marking(texts: DataFrame, bad_texts: int, good_texts: int) -> dict[str, float]:
     """Candidates with the support and the odds, over all labelled training texts, and their gain."""
     bad = written(candidate_counts(texts.where("toxic = 1")).where(F.col("n") >= SUPPORT), "toxicity-candidates")
-    parts = max(1, -(-bad.count() // CANDIDATES_A_PASS))
     tried, found = bad.count(), {}
     share = bad_texts / (bad_texts + good_texts)
+    # With fewer texts than this a candidate fails the chance rule even if no clean text has it.
+    bad = bad.where(F.col("n") * -float(np.log(share)) >= float(np.log(max(1, tried))))
+    parts = max(1, -(-bad.count() // CANDIDATES_A_PASS))
     for i in range(parts):
         counts = bad.where(F.pmod(F.xxhash64("mark"), F.lit(parts)) == i).toPandas()
         toxic = dict(zip(counts["mark"], counts["n"].tolist(), strict=True))
@@ -369,6 +404,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     named = written(named_marks(texts.where("toxic = 1"), gain), "toxicity-named")
     votes = {r["mark"]: r["count"] for r in named.select(F.explode("marks").alias("mark")).groupBy("mark").count().collect()}
     landmarks = choose_landmarks(votes)
+    if not landmarks:
+        return Machine([], np.zeros(0), float(np.log(totals[1] / totals[0])))
     usual = rows / totals[1]
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -393,7 +430,7 @@ def score(text: Column, machine: Machine | None) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        kernel = WordKernel(machine.landmarks)
+        kernel = per_worker("word kernel", tuple(machine.landmarks), lambda: WordKernel(machine.landmarks))
         for b in batches:
             yield pd.Series(machine.scores(kernel.features([text_of(x) for x in b]).astype(float)))
 

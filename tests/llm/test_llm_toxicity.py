@@ -22,7 +22,7 @@ def test_kernel_by_definition():
     for s, t in (("idiot", "id-iot"), ("abcab", "cabba"), ("aaaa", "aaa"), ("ab", "ba"), ("moron", "moron")):
         width = max(len(s), len(t))
         k = toxicity.subsequence_kernel(toxicity._codes([s], width, -1), toxicity._codes([t], width, -2))
-        assert abs(k[0] - plain(s, t)) < 1e-9
+        assert abs(k[0] - plain(s, t)) < 1e-6
 
 
 def test_kernel_tolerates_insertions():
@@ -87,3 +87,13 @@ def test_awkward_rows(spark):
     assert toxicity.toxicity(docs, odd).where("score > 0").count() == 0  # one class alone teaches nothing
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(awkward())
+
+
+def test_few_labels_without_marks(spark):
+    """Twelve labelled texts hold no mark that chance would not make: every row gets the share of toxic labels."""
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i)} other text here") for i in range(12)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 4 AS int) AS toxic")
+    out = toxicity.toxicity(docs, labels).collect()
+    kept = [r for r in out if not r.held_out]
+    share = sum(r.doc_id < 4 for r in kept) / len(kept)
+    assert len(out) == 12 and all(abs(r.score - share) < 1e-9 and r.predicted == int(share >= 0.5) for r in out)
