@@ -293,12 +293,34 @@ def candidate_grains_dates(t):
     return out.select("rollup_id", F.array_join(named, "+").alias("buckets"), "covered")
 
 
-@query("choose_rollups")
+def _greedy(steps, served, base):
+    """The greedy choice as one CTE a step: the gains against what is chosen, and the first of them."""
+    out, chosen = [], "SELECT NULL AS rollup_id WHERE false"
+    for k in range(1, steps + 1):
+        out.append(f"""best{k} AS (SELECT shape_id, min(agg_rows) AS best FROM {served} WHERE rollup_id IN ({chosen}) GROUP BY 1),
+    pick{k} AS (SELECT {k} AS step, * FROM (SELECT rollup_id, any_value(agg_rows) AS agg_rows, sum(weight * greatest(coalesce(best, {base}) - agg_rows, 0))::DOUBLE AS benefit FROM {served} LEFT JOIN best{k} USING (shape_id)
+        WHERE rollup_id NOT IN ({chosen}) GROUP BY 1) WHERE benefit > 0 ORDER BY benefit DESC, rollup_id LIMIT 1)""")
+        chosen = " UNION ALL ".join(f"SELECT rollup_id FROM pick{i}" for i in range(1, k + 1))
+    picks = " UNION ALL ".join(f"SELECT * FROM pick{i}" for i in range(1, steps + 1))
+    return ", ".join(out) + f""", picks AS ({picks}) SELECT p.step, p.rollup_id, p.benefit,
+    round(100 * (SELECT sum(weight) FROM (SELECT DISTINCT shape_id, weight FROM {served} WHERE rollup_id IN (SELECT rollup_id FROM picks q WHERE q.step <= p.step))) / (SELECT sum(weight) FROM shapes), 1) AS coverage_pct"""
+
+
+_BASE = "(SELECT count(*) FROM lineitem)"
+
+
+@query("choose_rollups", f"WITH {LOG}, {SHAPES}, {CANDS}, {SERVED}, {_greedy(4, 'served', _BASE)}, round({_BASE} / p.agg_rows::DOUBLE, 1) AS compression FROM picks p")
 def choose_rollups(t):
-    """A greedy loop; the unit test checks each step against brute force."""
+    """A greedy loop over the candidates of the sized kind."""
     return A.choose_rollups(shapes(t), candidates(t), PLANS)
 
 
+@query("choose_rollups_unsized", f"WITH {LOG}, {SHAPES}, {CANDS}, {SERVED}, free AS (SELECT * REPLACE (0 AS agg_rows) FROM served), {_greedy(4, 'free', 1)}, NULL::DOUBLE AS compression FROM picks p")
+def choose_rollups_unsized(t):
+    """Candidates whose sizes nobody counted are chosen by the weight they newly serve."""
+    return A.choose_rollups(shapes(t), candidates(t).drop("agg_rows", "base_rows"), PLANS)
+
+
 _TEXT = """CASE event_type WHEN 'view' THEN 'SELECT r_name, sum(x) FROM o GROUP BY region.r_name ORDER BY 1' WHEN 'click' THEN 'select 1 from o group by "NATION"."N_NAME", region.r_name having count(*) > 1'
     WHEN 'purchase' THEN 'SELECT 1 FROM o GROUP BY date_trunc(''MONTH'', orders.o_orderdate), region.r_name LIMIT 5' WHEN 'signup' THEN 'SELECT 1 FROM o GROUP BY customer.c_mktsegment;' ELSE 'SELECT count(*) FROM o' END"""
 

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orrery.functions.dates import BUCKETS
 from orrery.operators.keys import join_on
 from orrery.operators.rollups import MAKES, Plan
-from orrery.session import settled, shared_dir
+from orrery.session import fresh_path, settled
 
 
 
+CURVE = "step int, rollup_id string, benefit double, coverage_pct double, compression double"
 DATES = "array<struct<column: string, bucket: string>>"
 
 
@@ -219,32 +220,42 @@ def candidate_grains(
 
 
 def choose_rollups(shapes: DataFrame, candidates: DataFrame, plans: Sequence[Plan], rounds: int | None = None) -> DataFrame:
-    """Greedy choice by rows saved times weight against the best choice so far.
-
-    Goes on until no rollup gains, or for `rounds` picks. Each round groups the coverage once and
-    brings one row to the driver. Returns the
-    curve: (step, rollup_id, benefit, coverage_pct, compression).
+    """Greedy choice: each step takes the rollup that saves most rows times weight against the best choice so far.
+
+    Rollups without `agg_rows` cannot be costed and are left out; where none has a size, or there is no
+    `base_rows`, a step takes the rollup that serves most weight not yet served, and no compression is told. Goes on until no
+    rollup gains, or for `rounds` picks; equal gains go to the smaller id. Each step depends on the one before, so
+    steps are jobs of their own: a step groups the coverage against the best choice of each shape, and that choice and
+    the pick are written. Only the pick's id and gain come to the driver. Returns the curve, read back: (step,
+    rollup_id, benefit, coverage_pct, compression).
     """
     spark = shapes.sparkSession
-    shared_dir(spark)
-    served = join_on(coverage(shapes, candidates, plans), candidates.select("rollup_id", "agg_rows"), ["rollup_id"]).checkpoint()
-    total = shapes.agg(F.sum("weight")).first()[0] or 1.0
-    base_rows = candidates.agg(F.max("base_rows")).first()[0] or 0
-    chosen: list[str] = []
-    curve = []
-    while rounds is None or len(chosen) < rounds:
-        mine = F.col("rollup_id").isin(chosen)
-        best = served.filter(mine).groupBy("shape_id").agg(F.min("agg_rows").alias("_best"))
-        now = F.coalesce(F.col("_best"), F.lit(base_rows))
-        gain = F.sum(F.col("weight") * F.greatest(now - F.col("agg_rows"), F.lit(0)))
-        pick = (
-            join_on(served.filter(~mine), best, ["shape_id"], "left")
-            .groupBy("rollup_id", "agg_rows").agg(gain.alias("benefit"))
-            .orderBy(F.col("benefit").desc(), "rollup_id").first()
-        )
+    for name in ("agg_rows", "base_rows"):
+        if name not in candidates.columns:
+            candidates = candidates.withColumn(name, F.lit(None).cast("long"))
+    sized = candidates.where("agg_rows IS NOT NULL AND base_rows IS NOT NULL").limit(1).count() > 0
+    # Unsized, every rollup costs nothing and the base one: what is saved is the weight served for the first time.
+    costs = candidates.where("agg_rows IS NOT NULL").select("rollup_id", "agg_rows", "base_rows") if sized \
+        else candidates.select("rollup_id", F.lit(0).alias("agg_rows"), F.lit(1).alias("base_rows"))
+    served = settled(join_on(coverage(shapes, candidates, plans), costs, ["rollup_id"]))
+    best = served.groupBy("shape_id").agg(F.max("base_rows").alias("_best"))
+    total = shapes.agg(F.sum("weight")).scalar()
+    path = fresh_path(spark, "rollup-curve")
+    spark.createDataFrame([], CURVE).write.parquet(path)
+    step = 0
+    while rounds is None or step < rounds:
+        best, step = settled(best), step + 1
+        gain = F.sum(F.col("weight") * F.greatest(F.col("_best") - F.col("agg_rows"), F.lit(0)))
+        gains = join_on(served, best, ["shape_id"]).groupBy("rollup_id").agg(gain.alias("benefit"), F.min("agg_rows").alias("agg_rows"), F.max("base_rows").alias("base_rows"))
+        pick = gains.orderBy(F.col("benefit").desc(), "rollup_id").first()
         if pick is None or pick.benefit <= 0:
             break
-        chosen.append(pick.rollup_id)
-        reached = served.filter(F.col("rollup_id").isin(chosen)).select("shape_id", "weight").distinct().agg(F.sum("weight")).first()[0]
-        curve.append((len(chosen), pick.rollup_id, float(pick.benefit), round(100.0 * reached / total, 1), round(base_rows / float(pick.agg_rows), 1)))
-    return spark.createDataFrame(curve, "step int, rollup_id string, benefit double, coverage_pct double, compression double")
+        mine = served.where(F.col("rollup_id") == pick.rollup_id).select("shape_id", F.col("agg_rows").alias("_mine"))
+        # A rollup that was taken gains nothing again, since its shapes now cost no more than it.
+        best = join_on(best, mine, ["shape_id"], "left").select("shape_id", F.least("_best", "_mine").alias("_best"))
+        reached = join_on(served, best, ["shape_id"]).where("_best < base_rows").select("shape_id", "weight").distinct().agg(F.sum("weight")).scalar()
+        compression = F.round(F.lit(pick.base_rows) / F.lit(pick.agg_rows), 1) if sized and pick.agg_rows else F.lit(None)
+        spark.range(1).select(
+            F.lit(step).alias("step"), F.lit(pick.rollup_id).alias("rollup_id"), F.lit(float(pick.benefit)).alias("benefit"),
+            F.round(100.0 * reached / total, 1).alias("coverage_pct"), compression.cast("double").alias("compression")).write.mode("append").parquet(path)
+    return spark.read.schema(CURVE).parquet(path)
