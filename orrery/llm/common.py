@@ -42,6 +42,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, *names: str) -> DataFrame:
+    """Some columns of `df` beside its whole rows as one struct, so that no column of the caller meets a helper's name."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return df.select(*names, whole.alias("_row"))
+
+
+def put_back(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The rows that `carried` set aside, under their own names, with some columns changed."""
+    changed = changed or {}
+    return df.select(*[(changed[c] if c in changed else F.col(f"_row.c{i}")).alias(c) for i, c in enumerate(columns)])
+
+
 def per_worker(name: str, key, make):
     """What `make` makes, once for each key in a Python worker that goes on to further tasks; the last key's only."""
     kept = sys.modules.setdefault("_orrery_worker", types.ModuleType("_orrery_worker")).__dict__

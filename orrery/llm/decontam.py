@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.llm.common import small_batches, spans_of, text_of, written
+from orrery.llm.common import carried, put_back, small_batches, spans_of, text_of, written
 
 WINDOW = 13
 # Words of a block in the shift table.
@@ -137,7 +137,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    # Repeated rows of a benchmark are one item each, so that the parts stay about equal.
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
     parts = max(1, -(-chars // table_chars))
     names = docs.columns
@@ -167,6 +168,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their own columns only."""
-    out = benchmark_hits(docs, benchmark)
+    out = benchmark_hits(carried(docs, "text"), benchmark)
     bad = contaminated(F.col("_bench.n_words"), _covered(F.col("_bench.hits")))
-    return out.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return put_back(out.where(~bad), docs.columns)

@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from orrery.llm.common import WORD, small_batches, text_of, tidy_shuffles, written
+from orrery.llm.common import WORD, carried, put_back, small_batches, text_of, tidy_shuffles, written
 from orrery.llm.graph import components
 
 WORDS = 5
@@ -208,14 +208,14 @@ def keep_first(docs: DataFrame, similarity: float = ABOVE / BELOW) -> DataFrame:
     repeats = rows - kept.where("n > 0 AND doc_id IS NOT NULL").count()
     kept = kept.select(*[F.col(c).alias(f"_near_{c}") for c in kept.columns])
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumns({"_near_1": F.xxhash64(text), "_near_2": F.xxhash64(F.lit(1), text)}).join(kept.hint("merge"), F.expr(
+    out = carried(docs, "doc_id", "text").withColumns({"_near_1": F.xxhash64(text), "_near_2": F.xxhash64(F.lit(1), text)}).join(kept.hint("merge"), F.expr(
         "doc_id <=> _near_doc_id AND _near_1 = _near_k1 AND _near_2 = _near_k2"
     ))
     if repeats:
         same = Window.partitionBy("_near_doc_id", "_near_1", "_near_2").orderBy("_near_n")
         out = out.withColumn("_near_row", F.row_number().over(same)) \
             .where("_near_row = 1 OR _near_n = 0 OR doc_id IS NULL")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return put_back(out, docs.columns)
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:

@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.llm.common import built_once
+from orrery.llm.common import built_once, carried, put_back
 
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 # The whole match must have the given number of characters; of `assign`, the value must.
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
 def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """`docs` with every run of overlapping spans in `text` replaced by one MASK and `n_chars`, where there is one, counted anew."""
     names = docs.columns
-    found = with_spans(docs, ratios).withColumn("_spans", _named([*PATTERNS, "markov"]))
+    found = with_spans(carried(docs, "text"), ratios).withColumn("_spans", _named([*PATTERNS, "markov"]))
     body = F.col("text")
 
     def step(acc, s):
@@ -174,6 +174,8 @@ def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
         F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))
     ))
     found = found.withColumn("_text", F.when(F.size("_spans") > 0, masked).otherwise(body))
-    count = {"n_chars": F.when(F.size("_spans") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {}
-    found = found.withColumns(count | {"text": F.col("_text")})
-    return found.select(*[F.col(f"`{c}`") for c in names])
+    changed = {"text": F.col("_text")}
+    if "n_chars" in names:
+        before = F.col(f"_row.c{names.index('n_chars')}")
+        changed["n_chars"] = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(before)
+    return put_back(found, names, changed)

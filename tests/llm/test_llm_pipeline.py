@@ -9,6 +9,7 @@ import __spark_entry__ as entry_points
 from brute import awkward, bench_words, contaminated, documents, near, base_spans, packed
 from conftest import SMALL
 from orrery.llm import encode, secret_scan, toxicity
+from pyspark.sql import functions as F
 
 
 def texts(df):
@@ -74,4 +75,33 @@ def test_stages_keep_awkward_rows(spark):
 def test_queries_are_whole(spark):
     """One numbered query for each operator."""
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry_points.queries() if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
+
+
+CLASHES = ("_spans", "_text", "_assign", "_access", "_hex", "_markov", "_tokens", "_bench", "_bench_part", "_near_doc_id", "_near_1", "_near_2", "_near_row",
+           "_row", "k1", "k2", "c0", "root", "block", "share")
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    """Columns with the names of helpers come out as they went in, and a text `n_chars` stays one."""
+    rows = awkward([(60, "password=abcdefgh12 tail"), (61, None)])
+    docs = documents(spark, rows).withColumn("n_chars", F.col("n_chars").cast("string")).select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.schema == docs.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema], name
+        for r in out.collect():
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHES), name
+    masked = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["secret scans"](spark, docs, SMALL).collect()}
+    assert masked[60].text == "[SECRET] tail" and masked[60].n_chars == "13" and masked[61].n_chars is None
+
+
+def test_run_on_awkward_and_empty_tables(spark, tmp_path):
+    labels, benchmark = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
+    for name, docs in (("some", documents(spark, awkward())), ("none", documents(spark, []))):
+        where = str(tmp_path / name)
+        docs.write.parquet(f"{where}/documents.parquet")
+        labels.write.parquet(f"{where}/labels.parquet")
+        benchmark.write.parquet(f"{where}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, where).collect()
+        assert all(0 < r.length <= 1024 and r.offset + r.length <= 1024 for r in out)
+        assert {r.doc_id for r in out} == ({d for d, *_ in awkward()} - {2, 8, 10, 14} if name == "some" else set())
