@@ -139,7 +139,7 @@ SMALL_LINES = [(("lineitem",), (), "l_quantity > 10")]
 
 @query("model_levels", f"""WITH q AS ({_BY_NATION}), r AS (SELECT r_name AS region, round(sum(net), 4) AS whole FROM {LIVE} GROUP BY 1),
     c AS (SELECT region, nation, avg(v) AS per_segment FROM (SELECT r_name AS region, n_name AS nation, c_mktsegment, round(sum(net), 4) AS v FROM {LIVE} WHERE l_quantity > 10 GROUP BY 1, 2, 3) GROUP BY 1, 2)
-    SELECT q.*, whole, round(per_segment, 4) AS per_segment, round(revenue / whole, 8) AS part FROM q JOIN r USING (region) JOIN c USING (region, nation)""")
+    SELECT q.*, whole, round(per_segment, 6) AS per_segment, round(revenue / whole, 8) AS part FROM q JOIN r USING (region) JOIN c USING (region, nation)""")
 def model_levels(t):
     """The region's revenue without the question's filter, the mean of the segments', and a share, in the model."""
     out = trade(t).query(["region", "nation"], ["revenue"], filters=SMALL_LINES, unsecured=True, stages=[
@@ -147,7 +147,7 @@ def model_levels(t):
         G.Level("per_segment", "revenue", Grouping(plus=("segment",)), again="AVG"),
         G.Computed("part", "round(revenue / whole, 8)"),
     ])
-    return out.withColumn("per_segment", R("per_segment", 4))
+    return out.withColumn("per_segment", R("per_segment", 6))
 
 
 @query("model_windows", f"""WITH q AS (SELECT r_name AS region, date_trunc('month', o_orderdate)::DATE AS order_month, count(*) AS lines FROM {LIVE} GROUP BY 1, 2)
