@@ -49,7 +49,8 @@ LABELS_A_PASS, CANDIDATES_A_PASS = 1_000_000, 200_000
 # kernels are formed at once.
 PLACES, WORDS, PAIRS = 251, 4096, 2048
 RIDGE = 2e-4
-CACHE = 300_000
+# Words whose kernels a worker keeps, and the size of their rows, but for a single text with more words.
+CACHE, ROW_BYTES = 300_000, 112 << 20
 NOT_LETTER = re.compile(r"[\W\d_]+")
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 
@@ -198,12 +199,16 @@ class WordKernel:
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.seen]
-        if not new:
-            return
-        if len(self.seen) + len(new) > CACHE:
+        most = ROW_BYTES // max(1, 4 * len(self.landmarks))
+        if new and (len(self.seen) + len(new) > CACHE or self.used + len(new) > most):
             self.seen.clear()
             self.used = 1
+            self.rows = self.rows[:1024].copy()
             new = list(words)
+        for at in range(0, len(new), WORDS):
+            self._add(new[at:at + WORDS])
+
+    def _add(self, new: list[str]) -> None:
         parts = [pieces(plain(w)) for w in new]
         kernels = self.kernels([p for ps in parts for p in ps])
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -213,8 +218,11 @@ class WordKernel:
             best[i] = kernels[starts[i]:starts[i] + sizes[i]].max(axis=0)
         near = best.any(1)
         count = int(near.sum())
-        while self.used + count > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if self.used + count > len(self.rows):
+            most = ROW_BYTES // (4 * self.rows.shape[1])
+            wider = np.zeros((max(self.used + count, min(2 * len(self.rows), most)), self.rows.shape[1]), np.float32)
+            wider[:self.used] = self.rows[:self.used]
+            self.rows = wider
         index = np.where(near, self.used + np.cumsum(near) - 1, 0)
         self.rows[self.used:self.used + count] = best[near]
         self.used += count
@@ -228,7 +236,7 @@ class WordKernel:
         at = 0
         while at < len(sets):  # as many texts at once as the cache can hold
             end, size = at, 0
-            while end < len(sets) and (end == at or size + len(sets[end]) <= CACHE // 2):
+            while end < len(sets) and (end == at or size + len(sets[end]) <= 4 * WORDS):
                 size += len(sets[end])
                 end += 1
             self.learn(set().union(*sets[at:end]))
