@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from orrery.catalogue.registry import query
 from orrery.functions import aggregates as A, numbers as N
 from orrery.operators import aggregates as G, joins as J
+from orrery.operators.keys import beside_group
+from orrery.session import settled
 
 c = F.col
 NET = "l_extendedprice * (1 - l_discount)"
@@ -85,8 +87,8 @@ def agg_percentile_disc(t):
 @query("agg_percentile_approx", "SELECT l_returnflag, count(*) AS lines, true AS within FROM lineitem GROUP BY 1")
 def agg_percentile_approx(t):
     """A sketch beside exact counts: do at least 89.9 % of the rows reach up to it, and at most 90.1 % stay below?"""
-    near = t.lineitem.groupBy(c("l_returnflag").alias("_f")).agg(F.percentile_approx("l_extendedprice", 0.9, 10_000).alias("_p"))
-    both = t.lineitem.join(near, c("l_returnflag") == c("_f"))
+    near = settled(t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.9, 10_000).alias("_p"), F.count("*").alias("_size")))
+    both = beside_group(t.lineitem, near, ["l_returnflag"], "_size")
     below, upto = (F.count(F.when(x, 1)) for x in (c("l_extendedprice") < c("_p"), c("l_extendedprice") <= c("_p")))
     n = F.count("*")
     return both.groupBy("l_returnflag").agg(n.alias("lines"), ((upto >= 0.899 * n) & (below <= 0.901 * n)).alias("within"))

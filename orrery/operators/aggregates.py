@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.functions.search import blocks, place
-from orrery.operators.keys import beside, join_on
+from orrery.operators.keys import beside, beside_group, join_on
 from orrery.session import settled
 
 # A bracket with more distinct values is cut into so many ranges.
@@ -43,9 +43,10 @@ def percentiles(
 
     `wanted` maps an output name to (p, "cont" | "disc"). One scan sketches each group's quantiles and counts its
     values, groups of NULLs included. A second one counts, per group, the rows below each wanted percentile's bracket
-    and the rows of every value inside it, with the nearest values outside; only those few values are
-    shuffled. While a bracket holds more than `held` distinct values, they are cut into ranges, the ranges counted,
-    and only those with a wanted rank kept (`_narrowed`). No group and no bracket is put in order by one task.
+    and the rows of every value inside it, with the nearest values outside; large groups' rows meet their brackets
+    where they lie (`beside_group`), and only those few values are shuffled. While a bracket holds more than `held`
+    distinct values, they are cut into ranges, the ranges counted, and only those with a wanted rank kept
+    (`_narrowed`). No group and no bracket is put in order by one task.
 
     A rank that lies outside its bracket, which the error bound of the sketch excludes, raises an error instead of
     a wrong answer. Discrete percentiles alone keep the column's type. A group without values gives NULL.
@@ -63,28 +64,30 @@ def percentiles(
     sketch = settled(rows.groupBy(*groups).agg(F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("_v").alias("_all")))
 
     bounds = [tuple(F.get("_q", F.lit(probs.index(e))) for e in edge[n]) for n in wanted]
-    framed = whole(join_on(rows.where(F.col("_v").isNotNull()), sketch, groups))
+    framed = whole(beside_group(rows.where(F.col("_v").isNotNull()), sketch, groups, "_all"))
     sketch = whole(sketch)
-    inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in bounds])
+    within = [F.col("_v").between(lo, hi) for lo, hi in bounds]
+    inside = reduce(or_, within)
     tallies = [c for i, (lo, hi) in enumerate(bounds) for c in (
         F.count(F.when(F.col("_v") < lo, 1)).alias(f"_b{i}"), F.max(F.when(F.col("_v") < lo, F.col("_v"))).alias(f"_lower{i}"),
         F.min(F.when(F.col("_v") > hi, F.col("_v"))).alias(f"_upper{i}"))]
-    tallied = settled(framed.groupBy(*g, F.when(inside, F.col("_v")).alias("_kept")).agg(F.count("*").alias("_n"), *tallies))
+    kept = [F.when(inside, F.col("_v")).alias("_kept"), F.when(inside, F.array(*within)).alias("_in")]  # the second follows from the first
+    tallied = settled(framed.groupBy(*g, *kept).agg(F.count("*").alias("_n"), *tallies))
 
     again = [c for i in range(len(bounds)) for c in (
         F.sum(f"_b{i}").alias(f"_b{i}"), F.max(f"_lower{i}").alias(f"_lower{i}"), F.min(f"_upper{i}").alias(f"_upper{i}"))]
     state = join_on(sketch, tallied.groupBy(*g).agg(*again), g)
-    # One row a group and percentile: its bracket, the 0-based ranks on either side of the wanted one, what lies around.
+    # One row a group and percentile: the 0-based ranks in its bracket on either side of the wanted one, what lies around.
     marks = []
-    for i, ((lo, hi), (p, kind)) in enumerate(zip(bounds, wanted.values())):
+    for i, (p, kind) in enumerate(wanted.values()):
         rank = F.lit(p) * (F.col("_all") - 1) if kind == "cont" else F.greatest(F.ceil(F.lit(p) * F.col("_all")) - 1, F.lit(0))
         rank = rank.cast("double")
         marks.append(F.struct(
-            F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), (F.floor(rank) - F.col(f"_b{i}")).alias("low_rank"), (F.ceil(rank) - F.col(f"_b{i}")).alias("high_rank"),
+            F.lit(i).alias("i"), (F.floor(rank) - F.col(f"_b{i}")).alias("low_rank"), (F.ceil(rank) - F.col(f"_b{i}")).alias("high_rank"),
             (rank - F.floor(rank)).alias("part"), F.col(f"_lower{i}").alias("lower"), F.col(f"_upper{i}").alias("upper")))
     targets = state.where("_all > 0").select(*g, F.explode(F.array(*marks)).alias("_t")).select(*g, "_t.*")
-    near = join_on(tallied.where(F.col("_kept").isNotNull()).select(*g, F.col("_kept").alias("v"), F.col("_n").alias("n")), targets.select(*g, "i", "lo", "hi"), g) \
-        .where(F.col("v").between(F.col("lo"), F.col("hi"))).select(*g, "i", "v", "n")
+    held_in = tallied.where(F.col("_kept").isNotNull()).select(*g, F.posexplode("_in").alias("i", "_holds"), F.col("_kept").alias("v"), F.col("_n").alias("n"))
+    near = held_in.where("_holds").drop("_holds")
 
     at = [*g, "i"]
     most = near.groupBy(*at).count().agg(F.max("count")).first()[0] or 0
@@ -114,8 +117,8 @@ def _nth(rank: Column, kind) -> Column:
 def _narrowed(near: DataFrame, targets: DataFrame, at: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Only the values of the ranges with a wanted rank, of `RANGES` about equal ones, and the ranks among them."""
     ask = F.array(*[F.lit(j / RANGES) for j in range(1, RANGES)])
-    cuts = near.groupBy(*at).agg(blocks(F.percentile_approx("v", ask, 16 * RANGES)).alias("_cuts"))
-    cut = join_on(near, settled(cuts), at).withColumn("_r", place(F.col("v"), F.col("_cuts"))).drop("_cuts")
+    cuts = near.groupBy(*at).agg(blocks(F.percentile_approx("v", ask, 16 * RANGES)).alias("_cuts"), F.count("*").alias("_size"))
+    cut = beside_group(near, settled(cuts), at, "_size").withColumn("_r", place(F.col("v"), F.col("_cuts"))).drop("_cuts", "_size")
     along = W.partitionBy(*at).orderBy("_r")  # at most RANGES rows
     counted = cut.groupBy(*at, "_r").agg(F.sum("n").alias("_c"))
     counted = counted.withColumn("_upto", F.sum("_c").over(along)).withColumn("_ahead", F.col("_upto") - F.col("_c"))

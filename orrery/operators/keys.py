@@ -39,6 +39,28 @@ def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner")
     return a.join(right, cond, how).drop(*[f"__{k}" for k in keys])
 
 
+def beside_group(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Each row beside its group's one row of `table`, in which the column `size` counts the group's rows.
+
+    Shuffled by their keys, the rows of a large group would all lie in one task. Groups with more rows than an average
+    shuffle partition are fewer than the partitions, whatever the data: their rows stay where they are and meet a
+    broadcast table of at most two rows a partition. Only the other groups' rows are left to Spark's choice of join. With
+    some of both kinds `rows` is read twice. `table` is read more than once; it should be settled.
+    """
+    if not keys:
+        return beside(rows, table)
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups, total = table.agg(F.count("*"), F.sum(size)).first()
+    if groups <= 2 * parts:
+        return join_on(rows, F.broadcast(table), keys)
+    is_hot = F.col(size) * parts > total
+    hot = table.where(is_hot)
+    if hot.isEmpty():
+        return join_on(rows, table, keys)
+    others = join_on(rows, F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return join_on(rows, F.broadcast(hot), keys).unionByName(join_on(others, table.where(~is_hot), keys))
+
+
 def beside(a: DataFrame, one: DataFrame) -> DataFrame:
     """Every column of a one-row frame on each row of `a`, through a single scalar subquery.
 

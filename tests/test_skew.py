@@ -5,7 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import aggregates as G, joins as J, timeintel as T, windows as V
+from conftest import SMALL
+from orrery.catalogue import QUERIES
+from orrery.operators import aggregates as G, joins as J, keys as K, timeintel as T, windows as V
+from orrery.session import settled
 from orrery.streaming import rollups as S
 
 
@@ -252,3 +255,65 @@ def test_percentiles_open_large_brackets(spark):
     assert got.b == pytest.approx(0.123 * 49_999)
     none = G.percentiles(df.where("v < 0"), [], "v", {"a": (0.5, "cont")}).collect()
     assert [r.a for r in none] == [None]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def tallying_plan(monkeypatch, query):
+    """The plan by which `query` counts the rows around its brackets, and its rows."""
+    plans = {}
+
+    def noted(df):
+        done = settled(df)
+        plans["_kept" in df.columns] = plan_of(df)
+        return done
+
+    monkeypatch.setattr(G, "settled", noted)
+    out = query().collect()
+    return plans[True], out
+
+
+def test_percentiles_leave_the_rows_of_large_groups_where_they_lie(spark, shuffled, monkeypatch):
+    """Three groups: shuffled by them, the rows would lie in three tasks, whatever their number."""
+    df = spark.range(30_000, numPartitions=4).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    wanted = {"m": (0.5, "cont"), "p": (0.25, "cont")}
+    plan, out = tallying_plan(monkeypatch, lambda: G.percentiles(df, ["g"], "v", wanted, accuracy=100, held=50))
+    assert {r.g: (r.m, r.p) for r in out} == {g: (g + 14_998.5, g + 7_499.25) for g in range(3)}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_percentiles_of_hot_and_many_small_groups(spark, shuffled):
+    """More groups than are broadcast at once; two of them, one of NULL keys, hold most rows; brackets are cut into ranges."""
+    rng = np.random.default_rng(3)
+    g = np.concatenate([np.zeros(9_000), np.full(5_000, np.nan), rng.integers(1, 60, 3_000)])
+    data = pd.DataFrame({"g": pd.array(g, "Int64"), "v": rng.permutation(len(g)).astype(float)})
+    df = spark.createDataFrame([(None if pd.isna(a) else int(a), float(b)) for a, b in zip(data.g, data.v)], "g int, v double")
+    for accuracy, held in ((10_000, 4096), (20, 100)):
+        got = G.percentiles(df, ["g"], "v", {"c": (0.9, "cont"), "d": (0.3, "disc")}, accuracy, held).collect()
+        want = {None if pd.isna(k) else int(k): x.v for k, x in data.groupby("g", dropna=False)}
+        assert len(got) == len(want)
+        for r in got:
+            assert r.c == pytest.approx(want[r.g].quantile(0.9), abs=1e-9)
+            assert r.d == np.quantile(want[r.g], 0.3, method="inverted_cdf")
+
+
+def test_rows_beside_their_group(spark, shuffled):
+    """Equal to a plain join, whatever the groups' sizes; rows of hot groups stay in the tasks that they lie in."""
+    for groups, share in ((1, 0.5), (12, 0.5), (200, 0.5), (200, 0.0)):
+        key = F.when(F.col("id") >= share * 4000, F.col("id") % groups)  # NULL for the others
+        df = spark.range(4000).repartition(8).select(key.alias("k"), (F.col("id") % 5).alias("v"))  # with equal rows
+        table = settled(df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("t")))
+        out = K.beside_group(df, table, ["k"], "n")
+        assert out.columns == ["k", "v", "n", "t"]
+        assert sorted(out.collect(), key=str) == sorted(K.join_on(df, table, ["k"]).collect(), key=str)
+        assert share == 0 or tasks_with_rows(out.where("k IS NULL")) > 4
+    few = table.where("k = 3")
+    assert K.beside_group(df, few, ["k"], "n").count() == few.first().n
+    assert K.beside_group(df, table.where("false"), ["k"], "n").count() == 0
+
+
+def test_approximate_percentiles_leave_rows_where_they_lie(spark, shuffled):
+    plan = plan_of(QUERIES["agg_percentile_approx"](spark, SMALL))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
