@@ -284,6 +284,13 @@ def test_percentiles_leave_the_rows_of_large_groups_where_they_lie(spark, shuffl
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
 
 
+def test_discrete_percentile_leaves_rows_where_they_lie(spark, t, shuffled, monkeypatch):
+    plan, out = tallying_plan(monkeypatch, lambda: QUERIES["agg_percentile_disc"](spark, SMALL))
+    want = t.lineitem.select("l_returnflag", "l_extendedprice").toPandas().groupby("l_returnflag").l_extendedprice
+    assert {r.l_returnflag: r.p90 for r in out} == {k: np.quantile(x, 0.9, method="inverted_cdf") for k, x in want}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_percentiles_of_hot_and_many_small_groups(spark, shuffled):
     """More groups than are broadcast at once; two of them, one of NULL keys, hold most rows; brackets are cut into ranges."""
     rng = np.random.default_rng(3)
